@@ -6,10 +6,11 @@ empty and links with nothing.  Null texts are empty; rows with one doc_id are on
 
 The plan, none of whose steps holds a group of documents in one task or lists pairs within one:
 
-1. A profile of every document: set size and a 128-bit fingerprint, with 65,536 counters of how common
-   shingles are (a fixed size).  Documents with equal sets form one class, kept by its smallest doc_id.
-2. A document can have a partner only if one of the first n - ceil(t n) + 1 shingles in the common order
-   (rarest first) is among those of another one.  Documents without such a shingle leave here.
+1. A profile of every document: set size and a 128-bit fingerprint, with counters of how common
+   shingles are (262,144 of them, whatever the input).  Documents with equal sets form one class, kept by its smallest doc_id.
+2. Of the first n - ceil(t n) + l shingles of a set in a common order, rarest first, at least l are among
+   those of a partner (l a tenth of n here, the smaller set's counting).  Documents that share fewer of them
+   with any others leave here.
 3. Those that stay are signed.  Sizes fall into bands a factor 1/t apart; a pair lies in one band or two
    neighbours, and a set signs for its own band and the one below.  For a band, symmetric difference of
    a linked pair is at most U.  The universe is hashed into segments of weight 1 (equal if no element
@@ -19,9 +20,11 @@ The plan, none of whose steps holds a group of documents in one task or lists pa
    and it leaves out the costliest (empty ones and those made of common shingles only).  How many
    segments of each kind a band has is chosen by the same estimate of cost.
 4. Signatures that several sets share give candidates: all pairs of up to eight sets, else each with the
-   smallest.  They are verified on the whole sets, and components are found.
-5. For signatures whose sets still lie in several components, the pairs across components are verified
-   as well, so no link between components is missed.
+   smallest.  A parity sketch, whose differing bits are at most the symmetric difference, drops pairs that
+   cannot link; the rest are verified on the whole sets, and components are found.
+5. Where more than eight sets share a signature and still lie in several components, the pairs between
+   components that also share a shingle of the common-order prefix are verified too, which loses none:
+   a linked pair shares both a signature and such a shingle.
 """
 
 from __future__ import annotations
@@ -37,9 +40,13 @@ from pyspark.sql import functions as F
 from .cluster import binary, buckets, connected_components, groups, staged
 from .words import U, Words, batches, mix, windows
 
-SLOTS = 1 << 16
+SLOTS = 1 << 18
+_SHIFT = 64 - 18
+_RANGES = 16
 SMALL = 8
 _FLUSH = 2_000_000
+#: In place of a doc_id: this entry has been counted already.
+_COUNTED = -(1 << 63)
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,7 +193,7 @@ class JaccardJoin:
     # ---- 1: profiles
 
     def profile(self, docs: DataFrame) -> DataFrame:
-        """Rows (doc_id, n, fp1, fp2) for documents, rows (slot, seen) for counters; the others null."""
+        """Rows (doc_id, n, fp1, fp2) for documents, rows (span, seen) for counters; the others null."""
         k = self.k
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,31 +204,43 @@ class JaccardJoin:
                     n.append(len(s))
                     one.append(int(mix(s ^ U(0x2545F4914F6CDD1D)).sum().view(np.int64)))
                     two.append(int(mix(s + U(0x9E6C63D0876A9A47)).sum().view(np.int64)))
-                    seen += np.bincount((s >> U(48)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
-                    if len(s) <= SLOTS // 8:
-                        np.add.at(seen, (s >> U(48)).astype(np.int64), 1)
+                    np.add.at(seen, (s >> U(_SHIFT)).astype(np.int64), 1)
                 none = pa.nulls(len(n), pa.int64())
-                yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "fp1": pa.array(one, pa.int64()), "fp2": pa.array(two, pa.int64()), "slot": none, "seen": none})
-            at = np.flatnonzero(seen)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.record_batch({"doc_id": none, "n": none, "fp1": none, "fp2": none, "slot": pa.array(at), "seen": pa.array(seen[at])})
+                yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "fp1": pa.array(one, pa.int64()), "fp2": pa.array(two, pa.int64()), "span": none, "seen": pa.nulls(len(n), pa.binary())})
+            none = pa.nulls(_RANGES, pa.int64())
+            yield pa.record_batch({"doc_id": none, "n": none, "fp1": none, "fp2": none, "span": pa.array(range(_RANGES), pa.int64()), "seen": pa.array([x.tobytes() for x in seen.reshape(_RANGES, -1)], pa.binary())})
 
-        return self._two(docs).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, slot long, seen long")
+        return self._two(docs).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, span long, seen binary")
+
+    @staticmethod
+    def _counted(profile: DataFrame) -> np.ndarray:
+        """The counters of a profile, summed by range on the executors: SLOTS numbers reach the driver."""
+
+        def add(t: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(x, np.int64) for x in t["seen"].to_pylist()], axis=0)
+            return pa.table({"span": t["span"][:1], "seen": pa.array([total.tobytes()], pa.binary())})
+
+        parts = profile.where("span IS NOT NULL").select("span", "seen").groupBy("span").applyInArrow(add, "span long, seen binary").collect()
+        out = np.zeros((_RANGES, SLOTS // _RANGES), np.int64)
+        for r in parts:
+            out[r.span] = np.frombuffer(bytes(r.seen), np.int64)
+        return out.reshape(-1)
 
     def _two(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
 
     # ---- 2: who can have a partner
 
-    def _survivors(self, docs: DataFrame, common) -> DataFrame:
+    def _survivors(self, docs: DataFrame, first: DataFrame, common) -> DataFrame:
         k, num, den, n_buckets = self.k, self.num, self.den, buckets(docs.sparkSession)
 
         def thin(cols):
-            """Of a shingle that several documents of the partition have, one goes on; they all survive."""
+            """A shingle that several documents of the partition have counts for each here, and goes on once, for the others to meet."""
             key, doc = cols
             order, run, size = _same_key(key)
             first = np.concatenate([[True], run[1:] != run[:-1]])
-            return [key[order][first], doc[order][first]], np.unique(doc[order][size > 1])
+            many = size > 1
+            return [key[order][first], np.where(many, _COUNTED, doc[order])[first]], np.stack(np.unique(doc[order][many], return_counts=True), axis=1)
 
         def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out, known, seen = _Exchange(n_buckets, ("key", "doc"), thin), common.value, set()
@@ -235,8 +254,8 @@ class JaccardJoin:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(mark)
-                    m = len(s) - needed(len(s), num, den) + 1
-                    rare = known[(s >> U(48)).astype(np.int64)]
+                    m = len(s) - needed(len(s), num, den) + max(1, len(s) // 10)
+                    rare = known[(s >> U(_SHIFT)).astype(np.int64)]
                     s = s[np.lexsort((s, rare))[:m]]
                     yield from out.add(s, np.full(len(s), ids[i], np.int64))
             yield from out.flush()
@@ -244,10 +263,14 @@ class JaccardJoin:
         def meet(t: pa.Table) -> pa.Table:
             key, doc = _joined(t, "key", np.uint64), _joined(t, "doc", np.int64)
             order, _, size = _same_key(key)
-            return pa.table({"doc_id": np.unique(np.concatenate([doc[order][size > 1], _joined(t, "direct", np.int64)]))})
+            met = doc[order][size > 1]
+            ids, hits = np.unique(met[met != _COUNTED], return_counts=True)
+            direct = _joined(t, "direct", np.int64).reshape(-1, 2)
+            return pa.table({"doc_id": np.concatenate([ids, direct[:, 0]]), "hits": np.concatenate([hits, direct[:, 1]])})
 
         sent = self._two(docs).mapInArrow(send, "bucket long, key binary, doc binary, direct binary")
-        return sent.groupBy("bucket").applyInArrow(meet, "doc_id long").distinct()
+        hits = sent.groupBy("bucket").applyInArrow(meet, "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+        return hits.join(first.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(f"hits >= greatest(1, ((n * {num} + {den - 1}) div {den}) div 10)").select("doc_id")
 
     # ---- 3 and 4: signatures, candidates
 
@@ -293,7 +316,7 @@ class JaccardJoin:
                 ids = b["doc_id"].to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(binary(b["text"]), k):
                     if len(s):
-                        key = signatures(s, known[(s >> U(48)).astype(np.int64)], num, den)
+                        key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den)
                         yield from out.add(key, np.full(len(key), ids[i], np.int64), np.full(len(key), len(s), np.int64))
             yield from out.flush()
 
@@ -324,7 +347,7 @@ class JaccardJoin:
                 place = b["component"].to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(binary(b["text"]), k):
                     if len(s):
-                        key = signatures(s, known[(s >> U(48)).astype(np.int64)], num, den)
+                        key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den)
                         yield from out.add(key, np.full(len(key), place[i], np.int64), np.ones(len(key), np.int64))
             yield from out.flush()
 
@@ -337,18 +360,29 @@ class JaccardJoin:
         def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = common.value
             for b in it:
-                ids, place = (b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+                ids = b["doc_id"].to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(binary(b["text"]), k):
                     if len(s):
-                        key = signatures(s, known[(s >> U(48)).astype(np.int64)], num, den).view(np.int64)
-                        full = lambda v, key=key: pa.array(np.full(len(key), v, np.int64))
-                        yield pa.record_batch({"key": pa.array(key), "doc_id": full(ids[i]), "n": full(len(s)), "component": full(place[i])})
+                        key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den).view(np.int64)
+                        yield pa.record_batch({"key": pa.array(key), "doc_id": pa.array(np.full(len(key), ids[i], np.int64))})
 
         sent = placed.mapInArrow(send, "bucket long, key binary, place binary, n binary, direct binary")
         keys = staged(sent.groupBy("bucket").applyInArrow(still_open, "key long"))
         if keys.isEmpty():
             return done.limit(0)
-        each = staged(placed.mapInArrow(spread, "key long, doc_id long, n long, component long").join(keys, "key", "left_semi"))
+
+        def prefix(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = common.value
+            for b in it:
+                ids, place = (b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+                for i, s in shingle_sets(binary(b["text"]), k):
+                    m = len(s) - needed(len(s), num, den) + 1
+                    rare = s[np.lexsort((s, known[(s >> U(_SHIFT)).astype(np.int64)]))[:m]].view(np.int64)
+                    full = lambda v, m=m: pa.array(np.full(m, v, np.int64))
+                    yield pa.record_batch({"key": pa.array(rare), "doc_id": full(ids[i]), "n": full(len(s)), "component": full(place[i])})
+
+        opened = placed.mapInArrow(spread, "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
+        each = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "key long, doc_id long, n long, component long"))
         x, y = each.alias("x"), each.alias("y")
         met = x.join(y, F.expr(f"x.key = y.key AND x.component < y.component AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
         pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
@@ -356,6 +390,38 @@ class JaccardJoin:
 
     # ---- exact verification
 
+    def _sketches(self, kept: DataFrame) -> DataFrame:
+        k = self.k
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                n, bits = [], []
+                for _, s in shingle_sets(binary(b["text"]), k):
+                    size = 1 << max(6, (2 * len(s)).bit_length())
+                    n.append(len(s))
+                    bits.append(np.packbits((np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes())
+                yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+        return kept.mapInArrow(run, "doc_id long, n long, bits binary")
+
+    def _possible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs whose sketches differ in no more bits than linked sets can."""
+        num, den = self.num, self.den
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                ok = []
+                for m, n, x, y in zip(*(b[c].to_pylist() for c in ("an", "bn", "abits", "bbits")), strict=True):
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    short = min(len(x), len(y))
+                    x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+                    ok.append(int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (den - num) * (m + n))
+                yield pa.record_batch({c: b[c].filter(pa.array(ok, pa.bool_())) for c in ("a", "b")})
+
+        one = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
+        two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
+        return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
     def _verified(self, pairs: DataFrame, kept: DataFrame) -> DataFrame:
         """Links among the pairs (a, b).  Each chunk of at most about 64 partners meets its a once."""
         k, num, den = self.k, self.num, self.den
@@ -388,19 +454,16 @@ class JaccardJoin:
         """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
         spark = docs.sparkSession
         profile = staged(self.profile(docs))
-        counted = profile.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).collect()  # 65,536 rows at most
-        seen = np.zeros(SLOTS, np.int64)
-        for r in counted:
-            seen[r.slot] = r.seen
-        common = spark.sparkContext.broadcast(seen)
-        doc = profile.where("slot IS NULL").select("doc_id", "n", "fp1", "fp2")
+        common = spark.sparkContext.broadcast(self._counted(profile))
+        doc = profile.where("span IS NULL").select("doc_id", "n", "fp1", "fp2")
         first = doc.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-        able = self._survivors(docs, common).join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        kept = staged(self._two(docs).join(able, "doc_id", "left_semi"))
+        kept = staged(self._two(docs).join(self._survivors(docs, first, common), "doc_id", "left_semi"))
+        common = spark.sparkContext.broadcast(self._counted(self.profile(kept)))
+        sketches = staged(self._sketches(kept))
         pairs = staged(self._candidates(kept, common))
-        links = staged(self._verified(pairs, kept))
+        links = staged(self._verified(staged(self._possible(pairs, sketches)), kept))
         comp = connected_components(links)
-        more = staged(self._across(kept, comp, pairs, common))
+        more = staged(self._possible(self._across(kept, comp, pairs, common), sketches))
         if not more.isEmpty():
             comp = connected_components(links.unionByName(self._verified(more, kept)))
         placed = doc.join(first, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
