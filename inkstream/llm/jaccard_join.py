@@ -19,12 +19,13 @@ The plan, none of whose steps holds a group of documents in one task or lists pa
    so some segment must agree.  Weights sum to U + 1 + 2q: each set may leave out segments of weight q,
    and it leaves out the costliest (empty ones and those made of common shingles only).  How many
    segments of each kind a band has is chosen by the same estimate of cost.
-4. Signatures that several sets share give candidates: all pairs of up to eight sets, else each with the
-   smallest.  A parity sketch, whose differing bits are at most the symmetric difference, drops pairs that
-   cannot link; the rest are verified on the whole sets, and components are found.
-5. Where more than eight sets share a signature and still lie in several components, the pairs between
-   components that also share a shingle of the common-order prefix are verified too, which loses none:
-   a linked pair shares both a signature and such a shingle.
+4. Signatures that several sets share give candidates, each with the smallest set that has it; within a
+   partition, with the set it meets most often.  A parity sketch, whose differing bits are at most the
+   symmetric difference, drops pairs that cannot link; the rest are verified on the whole sets, and
+   components are found.
+5. Where sets share a signature and still lie in several components, the pairs between components that also
+   share a shingle of the common-order prefix are verified too, which loses none: a linked pair shares both a
+   signature and such a shingle.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ from .words import U, Words, batches, mix, windows
 SLOTS = 1 << 18
 _SHIFT = 64 - 18
 _RANGES = 16
-SMALL = 8
+#: Candidates of a set within a partition, before components are known.
+PARTNERS = 6
 _FLUSH = 2_000_000
 #: In place of a doc_id: this entry has been counted already.
 _COUNTED = -(1 << 63)
@@ -141,6 +143,51 @@ def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np
     return np.unique(np.concatenate(out))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens in 2^j cells; two sketches differ in no more bits than the sets in elements."""
+    size = 1 << max(6, (2 * len(tokens)).bit_length())
+    return np.packbits((np.bincount((tokens & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
+def across_components(block, rows: list[tuple[int, int, int, bytes, bytes]], num: int, den: int) -> tuple[list[int], list[int]]:
+    """The pairs of a block of sets (document, component, size, sketch, prefix) that share its shingle, lie in
+    different components and may link.  A pair comes only from the least shingle that its prefixes share."""
+    out: tuple[list[int], list[int]] = ([], [])
+    if len(rows) < 2 or all(r[1] == rows[0][1] for r in rows):
+        return out
+    doc, place, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    width = np.array([len(r[3]) for r in rows])
+    key = np.uint64(block[0] & (1 << 64) - 1)
+    kinds = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    bits = {w: np.frombuffer(b"".join(rows[i][3] for i in at), np.uint8).reshape(len(at), w) for w, at in kinds.items()}
+    for w, x in kinds.items():
+        for v in (w, 2 * w):
+            if v not in kinds:
+                continue
+            y, far = kinds[v], _folded(bits[v], w)
+            for lo in range(0, len(x), 64):
+                i = x[lo : lo + 64]
+                ok = place[i][:, None] != place[y]
+                ok &= np.minimum(n[i][:, None], n[y]) * den >= np.maximum(n[i][:, None], n[y]) * num
+                if v == w:
+                    ok &= i[:, None] < y
+                p, q = np.nonzero(ok)
+                for cut in range(0, len(p), 1 << 16):
+                    s, t = p[cut : cut + (1 << 16)], q[cut : cut + (1 << 16)]
+                    differ = np.bitwise_count(bits[w][lo : lo + 64][s] ^ far[t]).sum(axis=1, dtype=np.int64)
+                    good = differ * (den + num) <= (den - num) * (n[i[s]] + n[y[t]])
+                    for a, b in zip(i[s[good]].tolist(), y[t[good]].tolist(), strict=True):
+                        both = np.intersect1d(np.frombuffer(rows[a][4], np.uint64), np.frombuffer(rows[b][4], np.uint64), assume_unique=True)
+                        if len(both) and both[0] == key:
+                            out[0].append(min(int(doc[a]), int(doc[b])))
+                            out[1].append(max(int(doc[a]), int(doc[b])))
+    return out
+
+
 class _Exchange:
     """Collects (key, columns) entries and yields them as one blob row per bucket."""
 
@@ -266,10 +313,16 @@ class JaccardJoin:
             met = doc[order][size > 1]
             ids, hits = np.unique(met[met != _COUNTED], return_counts=True)
             direct = _joined(t, "direct", np.int64).reshape(-1, 2)
-            return pa.table({"doc_id": np.concatenate([ids, direct[:, 0]]), "hits": np.concatenate([hits, direct[:, 1]])})
+            ids, hits = np.concatenate([ids, direct[:, 0]]), np.concatenate([hits, direct[:, 1]])
+            rows = [(to, ids[at].tobytes(), hits[at].tobytes()) for to, at in groups(ids % n_buckets)]
+            return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("to", pa.int64()), ("doc", pa.binary()), ("hits", pa.binary())))})
+
+        def total(t: pa.Table) -> pa.Table:
+            ids, at = np.unique(_joined(t, "doc", np.int64), return_inverse=True)
+            return pa.table({"doc_id": ids, "hits": np.bincount(at, weights=_joined(t, "hits", np.int64), minlength=len(ids)).astype(np.int64)})
 
         sent = self._two(docs).mapInArrow(send, "bucket long, key binary, doc binary, direct binary")
-        hits = sent.groupBy("bucket").applyInArrow(meet, "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+        hits = sent.groupBy("bucket").applyInArrow(meet, "to long, doc binary, hits binary").groupBy("to").applyInArrow(total, "doc_id long, hits long")
         return hits.join(first.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(f"hits >= greatest(1, ((n * {num} + {den - 1}) div {den}) div 10)").select("doc_id")
 
     # ---- 3 and 4: signatures, candidates
@@ -277,38 +330,26 @@ class JaccardJoin:
     def _candidates(self, kept: DataFrame, common) -> DataFrame:
         k, num, den, n_buckets = self.k, self.num, self.den, buckets(kept.sparkSession)
 
-        def pairs(key, doc, size):
-            order, run, many = _same_key(key * U(1))
-            d, s = doc[order], size[order]
-            found = []
-            for step in range(1, SMALL):
-                i = np.flatnonzero((run[step:] == run[:-step]) & (many[step:] <= SMALL)) if len(run) > step else []
-                if len(i):
-                    found.append((d[i], d[i + step], s[i], s[i + step]))
-            big = np.flatnonzero(many > SMALL)
-            if len(big):
-                r = run[big]
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                low = np.minimum.reduceat(d[big], first)
-                at = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(r)]])))
-                by = np.lexsort((d[big], at))
-                smallest = s[big][by][np.searchsorted(at[by], np.arange(len(first)))]
-                found.append((low[at], d[big], smallest[at], s[big]))
-            if not found:
-                return np.zeros((0, 2), np.int64)
-            a, b, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-            ok = (a != b) & (np.minimum(x, y) * den >= np.maximum(x, y) * num)
-            return np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1), axis=0)
+        def stars(key, doc, size):
+            """(smallest document of the key, another one) for every entry of a shared key whose sizes allow a link."""
+            order = np.lexsort((doc, key))
+            k, d, s = key[order], doc[order], size[order]
+            head = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            ok = (d != d[first]) & (np.minimum(s, s[first]) * den >= np.maximum(s, s[first]) * num)
+            return np.stack([d[first][ok], d[ok]], axis=1), order[head]
 
         def thin(cols):
-            """A key that more than SMALL sets of the partition share goes on with its smallest set only."""
+            """Of the partition's sets that share a key the smallest goes on; each other one is paired with
+            those it meets most often."""
             key, doc, size = cols
-            order, run, many = _same_key(key)
-            by = order[np.lexsort((doc[order], run))]
-            first = np.concatenate([[True], run[1:] != run[:-1]])
-            go = (many <= SMALL) | first
-            hot = by[many > SMALL]
-            return [key[by][go], doc[by][go], size[by][go]], pairs(key[hot], doc[hot], size[hot]) if len(hot) else None
+            met, first = stars(key, doc, size)
+            met, often = np.unique(met, axis=0, return_counts=True)
+            order = np.lexsort((met[:, 0], -often, met[:, 1]))
+            met = met[order]
+            head = np.concatenate([[True], met[1:, 1] != met[:-1, 1]])[: len(met)]
+            at = np.arange(len(met))
+            return [key[first], doc[first], size[first]], met[at - at[head][np.cumsum(head) - 1] < PARTNERS]
 
         def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out, known = _Exchange(n_buckets, ("key", "doc", "size"), thin), common.value
@@ -321,7 +362,7 @@ class JaccardJoin:
             yield from out.flush()
 
         def meet(t: pa.Table) -> pa.Table:
-            found = pairs(_joined(t, "key", np.uint64), _joined(t, "doc", np.int64), _joined(t, "size", np.int64))
+            found, _ = stars(_joined(t, "key", np.uint64), _joined(t, "doc", np.int64), _joined(t, "size", np.int64))
             found = np.unique(np.concatenate([found, _joined(t, "direct", np.int64).reshape(-1, 2)]), axis=0)
             return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
@@ -335,27 +376,26 @@ class JaccardJoin:
         placed = kept.join(comp, kept.doc_id == comp.node, "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
 
         def one_each(cols):
-            key, where, n = cols
+            key, where = cols
             order = np.lexsort((where, key))
-            key, where, n = key[order], where[order], n[order]
+            key, where = key[order], where[order]
             at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])]))
-            return [key[at], where[at], np.add.reduceat(n, at)], None
+            return [key[at], where[at]], None
 
         def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, known = _Exchange(n_buckets, ("key", "place", "n"), one_each), common.value
+            out, known = _Exchange(n_buckets, ("key", "place"), one_each), common.value
             for b in it:
                 place = b["component"].to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(binary(b["text"]), k):
                     if len(s):
                         key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den)
-                        yield from out.add(key, np.full(len(key), place[i], np.int64), np.ones(len(key), np.int64))
+                        yield from out.add(key, np.full(len(key), place[i], np.int64))
             yield from out.flush()
 
         def still_open(t: pa.Table) -> pa.Table:
-            (key, where, n), _ = one_each([_joined(t, "key", np.uint64), _joined(t, "place", np.int64), _joined(t, "n", np.int64)])
-            order, run, many = _same_key(key)
-            sets = np.bincount(run, weights=n[order])[run] if len(run) else run
-            return pa.table({"key": np.unique(key[order][(many > 1) & (sets > SMALL)]).view(np.int64)})
+            (key, _), _ = one_each([_joined(t, "key", np.uint64), _joined(t, "place", np.int64)])
+            order, _, many = _same_key(key)
+            return pa.table({"key": np.unique(key[order][many > 1]).view(np.int64)})
 
         def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = common.value
@@ -366,7 +406,7 @@ class JaccardJoin:
                         key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den).view(np.int64)
                         yield pa.record_batch({"key": pa.array(key), "doc_id": pa.array(np.full(len(key), ids[i], np.int64))})
 
-        sent = placed.mapInArrow(send, "bucket long, key binary, place binary, n binary, direct binary")
+        sent = placed.mapInArrow(send, "bucket long, key binary, place binary, direct binary")
         keys = staged(sent.groupBy("bucket").applyInArrow(still_open, "key long"))
         if keys.isEmpty():
             return done.limit(0)
@@ -374,18 +414,37 @@ class JaccardJoin:
         def prefix(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = common.value
             for b in it:
-                ids, place = (b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
-                for i, s in shingle_sets(binary(b["text"]), k):
+                rows = []
+                for _, s in shingle_sets(binary(b["text"]), k):
                     m = len(s) - needed(len(s), num, den) + 1
-                    rare = s[np.lexsort((s, known[(s >> U(_SHIFT)).astype(np.int64)]))[:m]].view(np.int64)
-                    full = lambda v, m=m: pa.array(np.full(m, v, np.int64))
-                    yield pa.record_batch({"key": pa.array(rare), "doc_id": full(ids[i]), "n": full(len(s)), "component": full(place[i])})
+                    rare = np.sort(s[np.lexsort((s, known[(s >> U(_SHIFT)).astype(np.int64)]))[:m]])
+                    rows.append((len(s), sketch(s), rare.tobytes(), rare.view(np.int64)))
+                n, bits, held, keys = zip(*rows, strict=True) if rows else ([], [], [], [])
+                yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
         opened = placed.mapInArrow(spread, "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
-        each = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "key long, doc_id long, n long, component long"))
-        x, y = each.alias("x"), each.alias("y")
-        met = x.join(y, F.expr(f"x.key = y.key AND x.component < y.component AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
-        pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "doc_id long, component long, n long, bits binary, held binary, keys array<long>"))
+        each = full.select(F.explode("keys").alias("key"), "doc_id", "component")
+        wide = each.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+        # The sets of a shingle are compared in a grid of blocks of about 1,024.
+        dealt = each.join(wide, "key").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
+        dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+        dealt = dealt.join(full.select("doc_id", "component", "n", "bits", "held"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+        def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, rows = None, []
+            for b in it:
+                found = []
+                for *block, doc, place, n, bits, held in zip(*(b[c].to_pylist() for c in ("key", "p", "q", "doc_id", "component", "n", "bits", "held")), strict=True):
+                    if block != at:
+                        found.append(across_components(at, rows, num, den))
+                        at, rows = block, []
+                    rows.append((doc, place, n, bits, held))
+                yield pa.record_batch({c: pa.array([x for f in found for x in f[i]], pa.int64()) for i, c in enumerate("ab")})
+            a, b = across_components(at, rows, num, den)
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        pairs = dealt.mapInArrow(meet, "a long, b long").distinct()
         return pairs.join(done, ["a", "b"], "left_anti")
 
     # ---- exact verification
@@ -397,9 +456,8 @@ class JaccardJoin:
             for b in it:
                 n, bits = [], []
                 for _, s in shingle_sets(binary(b["text"]), k):
-                    size = 1 << max(6, (2 * len(s)).bit_length())
                     n.append(len(s))
-                    bits.append(np.packbits((np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes())
+                    bits.append(sketch(s))
                 yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
         return kept.mapInArrow(run, "doc_id long, n long, bits binary")
@@ -463,7 +521,7 @@ class JaccardJoin:
         pairs = staged(self._candidates(kept, common))
         links = staged(self._verified(staged(self._possible(pairs, sketches)), kept))
         comp = connected_components(links)
-        more = staged(self._possible(self._across(kept, comp, pairs, common), sketches))
+        more = staged(self._across(kept, comp, pairs, common))
         if not more.isEmpty():
             comp = connected_components(links.unionByName(self._verified(more, kept)))
         placed = doc.join(first, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
