@@ -212,3 +212,33 @@ class Mixing:
         words = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.expr(f"regexp_extract_all({self.text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)").alias("w"))
         text = F.expr("array_join(slice(w, CAST(start + 1 AS INT), CAST(length AS INT)), ' ')")
         return draws.join(words, "doc_id").select("shard", "rank", "doc_id", text.alias("text")).repartition("shard").sortWithinPartitions("shard", "rank", "doc_id")
+
+    def mixed(self, documents: DataFrame) -> DataFrame:
+        """The documents' rows as the mix takes them, one per copy, with all columns: the whole text, or the
+        words of the blocks that the copy takes joined by one space."""
+        text, doc_id = self.text, self.doc_id
+        plan = self.plan(documents).where("size(draws) > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("transform(draws, d -> struct(d.copy, d.start, d.length))").alias("_draws")).dropDuplicates(["_id", "_size"])
+        joined = documents.join(plan, documents[doc_id].cast("long") == plan["_id"])
+        schema = documents.schema
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                at, texts = [], []
+                whole = binary(b[text])
+                for i, (t, size, draws) in enumerate(zip(whole, b["_size"].to_pylist(), b["_draws"].to_pylist(), strict=True)):
+                    copies: dict[int, list[tuple[int, int]]] = {}
+                    for d in draws:
+                        copies.setdefault(d["copy"], []).append((d["start"], d["length"]))
+                    words = None
+                    for _, parts in sorted(copies.items()):
+                        at.append(i)
+                        if sum(n for _, n in parts) == size:
+                            texts.append(t)
+                        else:
+                            words = words or (t or b"").split()
+                            texts.append(b" ".join(w for a, n in sorted(parts) for w in words[a : a + n]))
+                rows = b.take(pa.array(at, pa.int64()))
+                new = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.record_batch({f.name: new if f.name == text else rows[f.name] for f in schema})
+
+        return joined.mapInArrow(run, schema)

@@ -190,3 +190,17 @@ class QualityClassifier:
 
         out = featured.mapInArrow(run, "doc_id long, score double")
         return out.select("doc_id", (fold("doc_id", self.folds) == self.held_out).alias("held_out"), "score", F.expr(f"CAST(score >= {self.threshold} AS INT)").alias("predicted"))
+
+    def accepted(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of docs that the model accepts, with all their columns.
+
+        The features are computed again where the rows are, so no text is exchanged."""
+        model = docs.sparkSession.sparkContext.broadcast(self.fit(staged(self._featured(docs)), labels))
+        threshold, text = self.threshold, self.text
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                x = np.array([features(t) for t in binary(b[text])], np.float64).reshape(-1, len(FEATURES))
+                yield b.filter(pa.array(model.value.score(x) >= threshold))
+
+        return docs.mapInArrow(run, docs.schema)

@@ -139,7 +139,7 @@ def _op1() -> str:
     q = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({q(r.label)}, {q(r.regex())}, {r.priority}, {r.confidence}::DOUBLE, {r.base})" for r in rules())
     stem = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    return f"""
+    return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 norm AS (SELECT doc_id, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words, ' ' || trim(regexp_replace(lower(t), '{stem}', '  ', 'g'), ' ') || ' ' AS s FROM d),
 rule(label, regex, priority, confidence, base) AS (VALUES {values}),
@@ -159,7 +159,7 @@ def _op2() -> str:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
     failed = " OR ".join(f"coalesce({r.failed().replace('D)', ')').replace('D OR', ' OR').replace(' / ', ' * 1.0 / ')}, false)" for r in RULES)
     has = r"'[^\x20\x09-\x0D]'"
-    return f"""
+    return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, {has})] AS l FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),

@@ -238,7 +238,7 @@ class SubstringDedup:
 
     # ---- 4
 
-    def _stream(self, docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    def _stream(self, docs: DataFrame, phrases: DataFrame, keep: tuple[str, ...], as_it_was: bool) -> DataFrame:
         size = self.size
 
         def run(d: pa.Table, p: pa.Table) -> pa.Table:
@@ -252,10 +252,13 @@ class SubstringDedup:
                         a.mark(doc, words, gone)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
-                kept.append(b" ".join(compress(words, (~gone).tolist())) if n_removed[-1] else b" ".join(words))
+                if n_removed[-1]:
+                    kept.append(b" ".join(compress(words, (~gone).tolist())))
+                else:
+                    kept.append(text if as_it_was else b" ".join(words))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-            return pa.table({
+            return pa.table({c: d[c] for c in keep} | {
                 "doc_id": d["doc_id"],
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
@@ -263,19 +266,23 @@ class SubstringDedup:
                 "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
             })
 
-        schema = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, length: long>>"
+        fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+        schema = ", ".join([*fields, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, length: long>>"])
         return docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(run, schema)
 
-    def dedup(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept, removed): the kept words joined by one space, and the removed word spans."""
+    def dedup(self, documents: DataFrame, keep: list[str] | tuple[str, ...] = (), as_it_was: bool = False) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept, removed): the kept words joined by one space, and the removed word spans.
+
+        keep: further columns to pass on.  as_it_was: a text that loses nothing is kept unchanged, null included."""
         n = buckets(documents.sparkSession, 2)
         shard = F.expr(f"pmod(xxhash64(doc_id), {n})")
-        docs = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
-        sharded = docs.select(shard.alias("shard"), "doc_id", "text")
-        marks = self._anchors(docs, n).select(shard.alias("shard"), "doc_id", "at")
-        passages = staged(self._passages(sharded, marks))
+        docs = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"), *keep)
+        sharded = docs.select(shard.alias("shard"), "doc_id", "text", *keep)
+        plain = sharded.select("shard", "doc_id", "text")
+        marks = self._anchors(docs.select("doc_id", "text"), n).select(shard.alias("shard"), "doc_id", "at")
+        passages = staged(self._passages(plain, marks))
         phrases = self._phrases(passages, staged(self._first_places(passages, n)))
-        return self._stream(sharded, phrases)
+        return self._stream(sharded, phrases, tuple(keep), as_it_was)
 
 
 class _Automaton:
