@@ -13,8 +13,10 @@ A null text is an empty one; each document has its end token, so none is without
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,66 +25,86 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import binary, staged
+from .words import batches
 
 #: Sequence ids of merged leftovers start here; before it they are partition << 32 | number.
 MERGED = 1 << 62
-_CACHE = 400_000
+_CACHE = 600_000
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokens never cross white space, run once for each distinct word.
+    """A tokenizer of lower case whose pre-tokens never cross white space, run once for each distinct word.
 
     `ids(texts)` equals encoding each text without added special tokens, plus the end id."""
 
+    #: A pre-token of its own that stands between words given to the tokenizer at once.
+    _MARK = "\x01"
+    #: A full stop or comma after a letter or digit and before white space is a pre-token of its own.
+    _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
+
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets where it can
+        self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the mark must be one token")
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.cut = np.zeros(_CACHE * 2, np.int64)
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.place) + len(words) > _CACHE:
-            self._reset()
-            if len(words) > _CACHE:
-                self.cut = np.zeros(len(words) + 1, np.int64)
-        words_ = sorted(words)
-        for lo in range(0, len(words_), 4096):
-            part = words_[lo : lo + 4096]
-            for w, e in zip(part, self.encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                n = len(self.place)
-                a, ids = int(self.cut[n]), e.ids
-                while a + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[a : a + len(ids)] = ids
-                self.place[w], self.cut[n + 1] = n, a + len(ids)
-
-    def ids(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
-        get = self.place.get
-        at = [get(w) for w in words]
-        if None in at:
-            new = {w for w, i in zip(words, at, strict=True) if i is None}
-            before = len(self.place)
-            self._learn(new)
-            if len(self.place) < before + len(new):  # the cache was emptied
-                self._learn({w for w in words if w not in self.place})
-            get = self.place.get
-            at = [get(w) for w in words]
-        i = np.array(at, np.int64)
-        n = self.cut[i + 1] - self.cut[i]
-        out = np.empty(int(n.sum()) + 1, np.uint32)
-        ends = np.cumsum(n)
-        if len(i):
-            out[:-1] = self.flat[np.repeat(self.cut[i] - (ends - n), n) + np.arange(len(out) - 1)]
-        out[-1] = self.end
-        return out
+        self.cut = np.zeros(1, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if b"\x01" not in w and b"<|" not in w]
+        ids = np.array(self.encode([f" {self._MARK} ".join([b" ".join(plain).decode().replace(" ", f" {self._MARK} "), ""])] if plain else [""], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == self.mark[0])
+        sizes = np.diff(np.concatenate([[-1], ends])) - 1
+        parts = [ids[ids != self.mark[0]]]
+        for w in words:
+            if b"\x01" in w or b"<|" in w:
+                plain.append(w)
+                parts.append(np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
+                sizes = np.append(sizes, len(parts[-1]))
+        new = np.concatenate(parts)
+        used = int(self.cut[-1])
+        if used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), np.uint32)])
+        self.flat[used : used + len(new)] = new
+        self.place.update(zip(plain, range(len(self.place), len(self.place) + len(plain)), strict=True))
+        self.cut = np.concatenate([self.cut, used + np.cumsum(sizes)])
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        for _, part in batches(texts):
+            words, count = [], []
+            for t in part:
+                if b"<|" not in t:  # letter case matters to special tokens only
+                    t = self._STOP.sub(rb" \1", t.lower())
+                w = t.split()
+                words += w
+                count.append(len(w))
+            at = self._codes(words)
+            if (at < 0).any():
+                new = list({words[i] for i in np.flatnonzero(at < 0).tolist()})
+                if len(self.place) + len(new) > _CACHE and self.place:
+                    self._reset()
+                    new = list(set(words))
+                    at[:] = -1
+                self._learn(new)
+                todo = np.flatnonzero(at < 0)
+                at[todo] = self._codes([words[i] for i in todo.tolist()])
+            n = self.cut[at + 1] - self.cut[at]
+            ends = np.cumsum(n)
+            out = self.flat[np.repeat(self.cut[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
+            for a, b in pairwise(cut.tolist()):
+                yield np.append(out[a:b], np.uint32(self.end))
 
 
 class _Packer:
@@ -158,8 +180,8 @@ class Packing:
 
             for b in it:
                 held = 0
-                for doc, text in zip(b["doc_id"].to_pylist(), binary(b["text"]), strict=True):
-                    packer.add(doc, ids := tokens.ids(text))
+                for doc, ids in zip(b["doc_id"].to_pylist(), tokens.ids(binary(b["text"])), strict=True):
+                    packer.add(doc, ids)
                     held += len(ids)
                     if held > 2_000_000:
                         yield rows()
