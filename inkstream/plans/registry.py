@@ -1,0 +1,22 @@
+"""Every query of the domain with its oracle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import metrics, social
+from .portable import Portable
+
+
+def _portable() -> dict[str, Portable]:
+    return {k: Portable(s) for m in (social, metrics) for k, s in m.queries().items()}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_portable())
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: q.oracle() for k, q in _portable().items()}
