@@ -1,0 +1,108 @@
+"""Oracle SQL of the queries that are DataFrame plans: an independent text over the base tables."""
+
+from __future__ import annotations
+
+from ..functions.common import AS_OF, LIVE, ranked
+from ..functions.query_text import Parsed, parse_query
+from ..sources.projection import with_views
+
+_AGE = f"coalesce((epoch(TIMESTAMP '{AS_OF} 00:00:00') - epoch(try_cast(nullif(created_at, '') AS TIMESTAMP))) / 86400.0 / 30.0, 120.0)"
+
+
+def _rank_ctes(q: Parsed, table: str, text: str, name: str = "ranked") -> str:
+    """CTEs that end in name(uri, rank) by exploded tokens."""
+    parts = []
+    for i, t in enumerate(q.terms):
+        words = [w.lower() for w in t.words]
+        if len(words) > 1:
+            joins = " ".join(f"JOIN {name}_tok t{k} ON t{k}.uri = t0.uri AND t{k}.i = t0.i + {k} AND t{k}.term = '{w}'" for k, w in enumerate(words) if k)
+            parts.append(f"SELECT t0.uri, {i} AS q FROM {name}_tok t0 {joins} WHERE t0.term = '{words[0]}'")
+        else:
+            parts.append(f"SELECT uri, {i} AS q FROM {name}_tok WHERE " + (f"starts_with(term, '{words[0]}')" if t.prefix else f"term = '{words[0]}'"))
+    need = [f"bool_or(f.q = {i})" for i in range(len(q.phrases))]
+    if q.words:
+        need.append(f"bool_or(f.q >= {len(q.phrases)})")
+    return f"""{name}_tok AS (SELECT uri, unnest(w) AS term, unnest(range(len(w))) AS i FROM (SELECT uri, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) s),
+{name}_dl AS (SELECT uri, count(*) AS dl FROM {name}_tok GROUP BY uri), {name}_c AS (SELECT count(*) AS n, avg(dl) AS a FROM {name}_dl),
+{name}_f AS (SELECT uri, q, count(*) AS f FROM ({" UNION ALL ".join(parts)}) u GROUP BY uri, q), {name}_df AS (SELECT q, count(*) AS df FROM {name}_f GROUP BY q),
+{name} AS (SELECT f.uri, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS rank FROM {name}_f f JOIN {name}_df USING (q) JOIN {name}_dl d ON d.uri = f.uri CROSS JOIN {name}_c GROUP BY f.uri HAVING {" AND ".join(need)})"""
+
+
+_DOC_TEXT, _PUB_TEXT = "title || ' ' || content", "concat_ws(' ', name, description, base_path)"
+
+
+def keyword(query: str, where: str = "", limit: int = 20, live: bool = True) -> str:
+    hits = f"SELECT d.uri, d.did, d.title, d.created_at, r.rank, round(r.rank + {_AGE}, 6) AS score FROM ranked r JOIN p_documents d ON d.uri = r.uri WHERE {LIVE if live else 'TRUE'}{where}"
+    return with_views(f"WITH {_rank_ctes(parse_query(query), 'p_documents', _DOC_TEXT)} {ranked(hits, 'score, uri', limit)}")
+
+
+def prefiltered(query: str, depth: int) -> str:
+    hits = f"SELECT uri, did, title, created_at, rank, round(rank + {_AGE}, 6) AS score FROM (SELECT d.*, r.rank FROM ranked r JOIN p_documents d ON d.uri = r.uri WHERE {LIVE} ORDER BY rank, d.uri LIMIT {depth}) x"
+    return with_views(f"WITH {_rank_ctes(parse_query(query), 'p_documents', _DOC_TEXT)} {ranked(hits, 'score, uri', 20)}")
+
+
+def by_publication_text(query: str, where: str = "") -> str:
+    hits = f"SELECT d.uri, d.did, d.title, d.created_at, r.rank, round(r.rank + {_AGE}, 6) AS score FROM ranked r JOIN p_documents d ON d.publication_uri = r.uri WHERE {LIVE}{where}"
+    return with_views(f"WITH {_rank_ctes(parse_query(query), 'p_publications', _PUB_TEXT)} {ranked(hits, 'score, uri', 20)}")
+
+
+def publications(query: str) -> str:
+    return with_views(f"WITH {_rank_ctes(parse_query(query), 'p_publications', _PUB_TEXT)} {ranked('SELECT p.uri, p.name, p.base_path, r.rank FROM ranked r JOIN p_publications p ON p.uri = r.uri', 'rank, uri', 20)}")
+
+
+def blocks(query: str) -> str:
+    q = parse_query(query)
+    return with_views(f"""WITH {_rank_ctes(q, "p_documents", _DOC_TEXT, "rd")}, {_rank_ctes(q, "p_publications", _PUB_TEXT, "rp")},
+a AS (SELECT 0 AS block, d.uri, d.did, d.title, round(rank + {_AGE}, 6) AS score FROM rd JOIN p_documents d ON d.uri = rd.uri WHERE {LIVE} ORDER BY score, d.uri LIMIT 100),
+b AS (SELECT 1 AS block, d.uri, d.did, d.title, round(rank + {_AGE}, 6) AS score FROM rp JOIN p_documents d ON d.publication_uri = rp.uri WHERE {LIVE} ORDER BY score, d.uri LIMIT 100),
+c AS (SELECT 2 AS block, p.uri, p.did, p.name AS title, rank AS score FROM rp JOIN p_publications p ON p.uri = rp.uri ORDER BY score, p.uri LIMIT 100),
+o AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY block, score) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) u),
+e AS (SELECT *, row_number() OVER (PARTITION BY did, title ORDER BY block, score, uri) AS s FROM o WHERE r = 1)
+{ranked("SELECT block, uri, did, title, score FROM e WHERE s = 1 OR did = '' OR title = ''", "block, score, uri", 20)}""")
+
+
+def overlay_merge(query: str) -> str:
+    q = parse_query(query)
+    return with_views(f"""WITH live_overlay AS (SELECT * FROM p_overlay WHERE deleted = 0), {_rank_ctes(q, "live_overlay", _DOC_TEXT, "ro")}, {_rank_ctes(q, "p_snapshot", _DOC_TEXT, "rs")},
+a AS (SELECT d.uri, d.did, d.title, round(rank + {_AGE}, 6) AS score, 0 AS layer FROM ro JOIN live_overlay d ON d.uri = ro.uri WHERE coalesce(is_bridgyfed, 0) = 0 ORDER BY score, d.uri LIMIT 50),
+b AS (SELECT d.uri, d.did, d.title, round(rank + {_AGE}, 6) AS score, 1 AS layer FROM rs JOIN p_snapshot d ON d.uri = rs.uri WHERE {LIVE} AND d.uri NOT IN (SELECT uri FROM a) AND d.uri NOT IN (SELECT uri FROM p_overlay WHERE deleted = 1))
+{ranked("SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u", "score, layer, uri", 20)}""")
+
+
+def _near(vec_id: int) -> str:
+    return f"SELECT e.vec_id, e.label, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 8) AS distance FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {vec_id}) q"
+
+
+def top_k(vec_id: int, k: int) -> str:
+    return ranked(_near(vec_id), "distance, vec_id", k)
+
+
+def _deduped(rows: str, limit: int) -> str:
+    return ranked(f"SELECT vec_id, uri, did, title, distance FROM (SELECT *, row_number() OVER (PARTITION BY did, title ORDER BY distance, vec_id) AS r FROM ({rows}) s) u WHERE r = 1 OR did = '' OR title = ''", "distance, vec_id", limit)
+
+
+def semantic(vec_id: int, limit: int, depth: int, where: str = "", itself: bool = True) -> str:
+    near = f"SELECT * FROM ({_near(vec_id)}) n{'' if itself else f' WHERE vec_id <> {vec_id}'} ORDER BY distance, vec_id LIMIT {depth}"
+    return with_views(_deduped(f"SELECT n.vec_id, d.uri, d.did, d.title, n.distance FROM ({near}) n JOIN p_documents d ON d.doc_id = n.vec_id WHERE coalesce(is_bridgyfed, 0) = 0 AND title <> ''{where}", limit))
+
+
+def hybrid(query: str, vec_id: int) -> str:
+    a = f"SELECT uri, pos, 1 AS leg FROM (SELECT uri, row_number() OVER (ORDER BY score, uri) AS pos FROM (SELECT d.uri, round(r.rank + {_AGE}, 6) AS score FROM ranked r JOIN p_documents d ON d.uri = r.uri WHERE {LIVE}) h) x WHERE pos <= 75"
+    b = f"SELECT uri, pos, 2 AS leg FROM ({_deduped(f'SELECT n.vec_id, d.uri, d.did, d.title, n.distance FROM (SELECT * FROM ({_near(vec_id)}) m ORDER BY distance, vec_id LIMIT 200) n JOIN p_documents d ON d.doc_id = n.vec_id WHERE coalesce(is_bridgyfed, 0) = 0 AND title <> chr(0)', 75)}) y".replace("title <> chr(0)", "title <> ''")
+    both = f"SELECT uri, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS fusion, CASE sum(leg) WHEN 1 THEN 'keyword' WHEN 2 THEN 'semantic' ELSE 'both' END AS source FROM ({a} UNION ALL {b}) l GROUP BY uri"
+    return with_views(f"WITH {_rank_ctes(parse_query(query), 'p_documents', _DOC_TEXT)} {ranked(both, 'fusion DESC, uri', 20)}")
+
+
+def distance_report(vec_id: int) -> str:
+    return f"WITH d AS (SELECT distance, row_number() OVER (ORDER BY distance, vec_id) - 1 AS i, count(*) OVER () AS n FROM ({_near(vec_id)}) x WHERE vec_id <> {vec_id}) SELECT min(distance) AS least, max(distance) AS most, max(CASE WHEN i = floor(n / 2) THEN distance END) AS median, count(CASE WHEN distance < 0.5 THEN 1 END) AS under_05, count(CASE WHEN distance < 1.0 THEN 1 END) AS under_10 FROM d"
+
+
+def distance_histogram(vec_id: int) -> str:
+    return f"SELECT round(floor(distance * 10) / 10, 1) AS bucket, count(*) AS n FROM ({_near(vec_id)}) x WHERE vec_id <> {vec_id} GROUP BY 1"
+
+
+CENTROIDS = "SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS value, count(*) AS n FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) x GROUP BY label, i"
+NEAREST = """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) x GROUP BY label, i),
+c AS (SELECT label, list(v ORDER BY i) AS v FROM m GROUP BY label),
+d AS (SELECT e.vec_id, e.label, c.label AS near, round(list_sum([(CAST(e.embedding[i] AS DOUBLE) - c.v[i]) * (CAST(e.embedding[i] AS DOUBLE) - c.v[i]) FOR i IN range(1, len(c.v) + 1)]), 9) AS d FROM embeddings e CROSS JOIN c)
+SELECT vec_id, label, near, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS r FROM d) x WHERE r = 1"""
