@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import metrics, policy, search, social, vectors
-from ..sources.projection import Corpus
+from ..operators import classifier, metrics, policy, postings, search, social, vectors
+from ..sources.projection import Corpus, with_views
 from . import oracles as o
 from .portable import Portable
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Queries of one batch over the index.
+BATCH = ("the of", "de la", "und die", "license", "in ", "the zzz")
 #: name -> (plan over the corpus, oracle)
 _PLANS: dict[str, tuple[Callable[[Corpus], DataFrame], str]] = {
     "fts_docs": (lambda c: search.keyword(c.p_documents, "the "), o.keyword("the ")),
@@ -29,6 +31,9 @@ _PLANS: dict[str, tuple[Callable[[Corpus], DataFrame], str]] = {
     "fts_prefilter": (lambda c: search.prefiltered(c.p_documents, "the", depth=200), o.prefiltered("the", 200)),
     "fts_blocks_dedup": (lambda c: search.blocks(c.p_documents, c.p_publications, "the src1"), o.blocks("the src1")),
     "overlay_merge": (lambda c: search.overlay_merge(c.p_snapshot, c.p_overlay, "the rev"), o.overlay_merge("the rev")),
+    "batch_search": (lambda c: postings.batch_search(c.spark, c.p_documents, list(BATCH)).select("query", "uri", "rank", "score", "pos"), " UNION ALL ".join(f"SELECT '{q}' AS query, uri, rank, score, pos FROM ({o.keyword(q)}) b{i}" for i, q in enumerate(BATCH))),
+    "classifier_score": (lambda c: classifier.author_scores(c.p_documents), with_views(classifier.ORACLE)),
+    "classifier_offline": (lambda c: classifier.offline_scores(c.p_documents), ""),
     "vector_top_k": (lambda c: vectors.top_k(c.embeddings, 7, 20), o.top_k(7, 20)),
     "similar": (lambda c: vectors.similar(c.embeddings, c.p_documents, 7), o.semantic(7, 5, 30, itself=False)),
     "semantic_filtered": (lambda c: vectors.semantic(c.embeddings, c.p_documents, 7, platform="leaflet", since="2022-06-01"), o.semantic(7, 10, 200, " AND platform = 'leaflet' AND created_at <> '' AND created_at >= '2022-06-01'")),
