@@ -217,15 +217,15 @@ class Mixing:
         """The documents' rows as the mix takes them, one per copy, with all columns: the whole text, or the
         words of the blocks that the copy takes joined by one space."""
         text, doc_id = self.text, self.doc_id
-        plan = self.plan(documents).where("size(draws) > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("transform(draws, d -> struct(d.copy, d.start, d.length))").alias("_draws")).dropDuplicates(["_id", "_size"])
-        joined = documents.join(plan, documents[doc_id].cast("long") == plan["_id"])
+        plan = self.plan(documents).where("size(draws) > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.expr("transform(draws, d -> struct(d.copy, d.start, d.length))").alias("__mix_draws")).dropDuplicates(["__mix_id", "__mix_size"])
+        joined = documents.join(plan, documents[doc_id].cast("long") == plan["__mix_id"])
         schema = documents.schema
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 at, texts = [], []
                 whole = binary(b[text])
-                for i, (t, size, draws) in enumerate(zip(whole, b["_size"].to_pylist(), b["_draws"].to_pylist(), strict=True)):
+                for i, (t, size, draws) in enumerate(zip(whole, b["__mix_size"].to_pylist(), b["__mix_draws"].to_pylist(), strict=True)):
                     copies: dict[int, list[tuple[int, int]]] = {}
                     for d in draws:
                         copies.setdefault(d["copy"], []).append((d["start"], d["length"]))
