@@ -31,8 +31,11 @@ def _frequency(term: Term) -> Column:
     """How often a term occurs in the token array."""
     words = [w.lower() for w in term.words]
     if len(words) > 1:
-        same = " AND ".join(f"get(_t, i + {k}) = '{w}'" for k, w in enumerate(words))
-        return F.expr(f"size(filter(sequence(0, size(_t)), i -> {same}))")
+        # The token array stands outside every lambda: a filter that is pushed down would tokenise per element.
+        at = f"transform(_t, x -> x = '{words[0]}')"
+        for k, w in enumerate(words[1:], 1):
+            at = f"zip_with({at}, slice(transform(_t, x -> x = '{w}'), {k + 1}, greatest(size(_t) - {k}, 0)), (a, b) -> coalesce(a AND b, false))"
+        return F.expr(f"size(filter({at}, x -> x))")
     return F.expr(f"size(filter(_t, x -> startswith(x, '{words[0]}')))" if term.prefix else f"size(filter(_t, x -> x = '{words[0]}'))")
 
 
