@@ -47,7 +47,7 @@ _RANGES = 16
 #: Candidates of a set within a partition, before components are known.
 PARTNERS = 6
 #: Sets of a signature up to which its pairs across components are listed; above it they are compared in blocks.
-FEW = 16
+FEW = 64
 _FLUSH = 2_000_000
 #: In place of a doc_id: this entry has been counted already.
 _COUNTED = -(1 << 63)
