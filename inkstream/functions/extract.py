@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +41,26 @@ def page_texts(pages) -> str:
     return " ".join(out)
 
 
-@F.pandas_udf("string")
-def _deep_text(record):
-    def one(r):
-        try:
-            x = json.loads(r)
-        except (TypeError, ValueError):
-            return None
-        pages = x.get("pages") if x.get("pages") is not None else (x.get("content") or {}).get("pages") if isinstance(x.get("content"), dict) else None
-        return page_texts(pages) or None
+def _record_text(r: str | None) -> str | None:
+    try:
+        x = json.loads(r)
+    except (TypeError, ValueError):
+        return None
+    if not isinstance(x, dict):
+        return None
+    pages = x.get("pages")
+    if pages is None and isinstance(x.get("content"), dict):
+        pages = x["content"].get("pages")
+    return page_texts(pages) or None
 
-    return record.map(one)
+
+def deep_text(record: Column) -> Column:
+    """page_texts of each record that holds blocks, as an Arrow function."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(_record_text)
+
+    return run(record)
 
 
 def _path(path: str, kind: str = "string") -> str:
@@ -64,8 +74,8 @@ def documents(records: DataFrame, record: str = "record") -> DataFrame:
     without any, or without a title, has a null content or title."""
     r = records.withColumn("v", F.expr(f"try_parse_json({record})"))
     pages = f"coalesce(from_json({record}, 'struct<pages: {_PAGES}>').pages, from_json({record}, 'struct<content: struct<pages: {_PAGES}>>').content.pages)"
-    image = f"filter(flatten(transform({pages}, p -> p.blocks)), b -> b.block.image.ref.`$link` IS NOT NULL)[0].block.image.ref.`$link`"
-    listed = r.withColumn("_deep", F.when(F.col(record).contains("blocks"), _deep_text(F.col(record))))
+    image = f"get(filter(flatten(transform({pages}, p -> p.blocks)), b -> b.block.image.ref.`$link` IS NOT NULL), 0).block.image.ref.`$link`"
+    listed = r.withColumn("_deep", F.when(F.col(record).contains("blocks"), deep_text(F.col(record))))
     return listed.select(
         *records.columns,
         F.expr(_path("$.title")).alias("title"),

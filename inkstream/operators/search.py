@@ -6,6 +6,7 @@ taken by a top-N.  Only those rows are hydrated."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def snippet(text: str, terms: list[str], size: int = 32) -> str:
 
 def with_snippets(rows: DataFrame, docs: DataFrame, query: str) -> DataFrame:
     """Snippets of a final page only."""
-    import pandas as pd
-
     words = [w for t in parse_query(query).terms for w in t.words]
 
     @F.pandas_udf("string")
