@@ -22,7 +22,7 @@ and shard.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -35,7 +35,7 @@ from .cluster import binary, buckets, groups, staged
 from .words import U, Words, batches, minimizers, runs, windows
 
 GRAM = 5
-#: Distinct words of one automaton; each is one code point.
+#: Words of one automaton's phrases, about; codes of three digits reach twice as far.
 _SYMBOLS = 1_000_000
 _FLUSH = 1_000_000
 
@@ -286,7 +286,7 @@ class SubstringDedup:
 
 
 class _Automaton:
-    """Phrases as strings of one code point a word, found by their anchors."""
+    """Phrases as strings of word codes, found by their anchors."""
 
     def __init__(self, phrases: list[tuple[int, int, list[bytes], list[int]]], size: int):
         self.size, self.code = size, {}
@@ -296,20 +296,20 @@ class _Automaton:
         for k, (doc, at, words, anchors) in enumerate(phrases):
             codes = np.array([self.code.setdefault(x, len(self.code) + 1) for x in words], np.int32)
             self.phrases.append((doc, at, codes))
+            symbols = _symbols(codes)
             for a in anchors:
-                seeds.setdefault(_symbols(codes[a : a + GRAM]), []).append((k, a))
+                seeds.setdefault(symbols[3 * a : 3 * (a + GRAM)], []).append((k, a))
         for s, hits in seeds.items():
             self.machine.add_word(s, hits)
         self.machine.make_automaton()
 
     def mark(self, doc: int, words: list[bytes], gone: np.ndarray) -> None:
-        get = self.code.get
-        codes = np.fromiter((get(x, 0) for x in words), np.int32, len(words))
+        codes = np.fromiter(map(self.code.get, words, repeat(0)), np.int32, len(words))
         if not codes.any():
             return
         done: dict[tuple[int, int], int] = {}
         for end, hits in self.machine.iter(_symbols(codes)):
-            i = end - GRAM + 1
+            i = end // 3 - GRAM + 1
             for k, a in hits:
                 if done.get((k, i - a), -1) >= i:
                     continue
@@ -322,8 +322,12 @@ class _Automaton:
 
 
 def _symbols(codes: np.ndarray) -> str:
-    c = codes.astype(np.uint32)
-    return np.where(c >= 0xD800, c + 0x800, c).astype(np.uint32).tobytes().decode("utf-32-le")
+    """Three characters a word, of a hundred each and from ranges of their own, so that nodes have few edges
+    and matches start at words; an unknown word is three zeros."""
+    c = codes.astype(np.uint32)[:, None]
+    digits = np.concatenate([c // 10_000 + 1, c // 100 % 100 + 201, c % 100 + 301], axis=1)
+    digits[codes == 0] = 0
+    return digits.astype(np.uint32).tobytes().decode("utf-32-le")
 
 
 def _equal_after(x: np.ndarray, i: int, y: np.ndarray, j: int) -> int:
