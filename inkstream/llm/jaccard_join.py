@@ -280,7 +280,7 @@ class JaccardJoin:
 
     # ---- 2: who can have a partner
 
-    def _survivors(self, docs: DataFrame, first: DataFrame, common) -> DataFrame:
+    def _survivors(self, docs: DataFrame, placed: DataFrame, common) -> DataFrame:
         k, num, den, n_buckets = self.k, self.num, self.den, buckets(docs.sparkSession)
 
         def thin(cols):
@@ -325,7 +325,9 @@ class JaccardJoin:
 
         sent = self._two(docs).mapInArrow(send, "bucket long, key binary, doc binary, direct binary")
         hits = sent.groupBy("bucket").applyInArrow(meet, "to long, doc binary, hits binary").groupBy("to").applyInArrow(total, "doc_id long, hits long")
-        return hits.join(first.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(f"hits >= greatest(1, ((n * {num} + {den - 1}) div {den}) div 10)").select("doc_id")
+        # Any member may have gone on for its class; the class survives by the member with most hits.
+        rep = hits.join(placed, "doc_id").groupBy("rep", "n").agg(F.max("hits").alias("hits"))
+        return rep.where(f"hits >= greatest(1, ((n * {num} + {den - 1}) div {den}) div 10)").select(F.col("rep").alias("doc_id"))
 
     # ---- 3 and 4: signatures, candidates
 
@@ -537,7 +539,8 @@ class JaccardJoin:
         common = spark.sparkContext.broadcast(self._counted(profile))
         doc = profile.where("span IS NULL").select("doc_id", "n", "fp1", "fp2")
         first = doc.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-        kept = staged(self._two(docs).join(self._survivors(docs, first, common), "doc_id", "left_semi"))
+        placed = staged(doc.join(first, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+        kept = staged(self._two(docs).join(self._survivors(docs, placed, common), "doc_id", "left_semi"))
         common = spark.sparkContext.broadcast(self._counted(self.profile(kept)))
         sketches = staged(self._sketches(kept))
         pairs = staged(self._candidates(kept, common))
@@ -546,5 +549,4 @@ class JaccardJoin:
         more = staged(self._across(kept, comp, pairs, sketches, common))
         if not more.isEmpty():
             comp = connected_components(links.unionByName(self._verified(more, kept)))
-        placed = doc.join(first, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
         return placed.join(comp, placed.rep == comp.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
