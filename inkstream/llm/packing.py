@@ -32,6 +32,16 @@ MERGED = 1 << 62
 _CACHE = 600_000
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)} | {32: " "}
+
+
+_BYTES = _byte_alphabet()
+
+
 class WordTokenizer:
     """A tokenizer of lower case whose pre-tokens never cross white space, run once for each distinct word.
 
@@ -42,12 +52,18 @@ class WordTokenizer:
     #: A full stop or comma after a letter or digit and before white space is a pre-token of its own.
     _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 
+    _SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets where it can
+        # Words of lower-case letters of these ranges pass the normaliser and the pre-tokenizer unchanged, but for
+        # the byte alphabet; they go to the model directly.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the mark must be one token")
@@ -59,22 +75,29 @@ class WordTokenizer:
         self.cut = np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
+        simple = [w for w in words if self._SIMPLE(w)]
+        if simple:
+            text = b" ".join(simple).decode("latin-1").translate(_BYTES).replace(" ", f" {_BYTES[1]} ") + f" {_BYTES[1]}"
+            self._add(simple, np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            known = set(simple)
+            words = [w for w in words if w not in known]
         plain = [w for w in words if b"\x01" not in w and b"<|" not in w]
         ids = np.array(self.encode([f" {self._MARK} ".join([b" ".join(plain).decode().replace(" ", f" {self._MARK} "), ""])] if plain else [""], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(ids == self.mark[0])
-        sizes = np.diff(np.concatenate([[-1], ends])) - 1
-        parts = [ids[ids != self.mark[0]]]
+        self._add(plain, ids if plain else ids[:0])
         for w in words:
             if b"\x01" in w or b"<|" in w:
-                plain.append(w)
-                parts.append(np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
-                sizes = np.append(sizes, len(parts[-1]))
-        new = np.concatenate(parts)
+                self._add([w], np.append(np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32), np.uint32(self.mark[0])), whole=True)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, whole: bool = False) -> None:
+        """Words whose ids follow each other, each with the mark after it; whole: one word that may hold the mark."""
+        ends = np.array([len(ids) - 1]) if whole else np.flatnonzero(ids == self.mark[0])
+        sizes = np.diff(np.concatenate([[-1], ends])) - 1
+        new = ids[:-1] if whole else ids[ids != self.mark[0]]
         used = int(self.cut[-1])
         if used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), np.uint32)])
         self.flat[used : used + len(new)] = new
-        self.place.update(zip(plain, range(len(self.place), len(self.place) + len(plain)), strict=True))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.cut = np.concatenate([self.cut, used + np.cumsum(sizes)])
 
     def _codes(self, words: list[bytes]) -> np.ndarray:
