@@ -23,6 +23,7 @@ MACROS = {
     "HOUR_NO": ("CAST(floor(unix_micros(CAST({0} AS TIMESTAMP)) / 3600e6) AS BIGINT)", "CAST(floor(epoch({0}) / 3600) AS BIGINT)"),
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
     "TOKENS": ("regexp_extract_all(lower({0}), '[\\\\p{L}\\\\p{N}]+', 0)", "regexp_extract_all(lower({0}), '[\\p{L}\\p{N}]+')"),
+    "ELEM": ("element_at({0}, {1})", "{0}[{1}]"),
     "UNNEST": ("explode({0})", "unnest({0})"),
     "SERIES": ("explode(sequence({0}, {1}))", "unnest(range({0}, {1} + 1))"),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import classifier, metrics, policy, postings, search, social, vectors
+from ..operators import atlas, classifier, metrics, policy, postings, search, social, vectors
 from ..sources.projection import Corpus, with_views
 from . import oracles as o
 from .portable import Portable
@@ -47,7 +47,7 @@ _PLANS: dict[str, tuple[Callable[[Corpus], DataFrame], str]] = {
 
 
 def _portable() -> dict[str, Portable]:
-    return {k: Portable(s) for m in (social, metrics, policy) for k, s in m.queries().items()}
+    return {k: Portable(s) for m in (social, metrics, policy, atlas) for k, s in m.queries().items()}
 
 
 def _bound(plan: Callable[[Corpus], DataFrame]) -> Query:
