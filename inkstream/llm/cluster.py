@@ -51,9 +51,11 @@ def binary(col) -> list[bytes | None]:
 
 def groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, indices in their order) for each distinct key."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     k = key[order]
-    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     for lo, hi in zip(cut, [*cut[1:], len(k)], strict=True):
         yield int(k[lo]), order[lo:hi]
 
