@@ -23,9 +23,9 @@ The plan, none of whose steps holds a group of documents in one task or lists pa
    partition, with the set it meets most often.  A parity sketch, whose differing bits are at most the
    symmetric difference, drops pairs that cannot link; the rest are verified on the whole sets, and
    components are found.
-5. Where sets share a signature and still lie in several components, the pairs between components are
-   verified too.  For signatures of many sets those pairs are found by the shingles of the common-order prefix,
-   of which a linked pair shares one, in blocks of sets whose sketches are compared.
+5. Sets whose signatures are shared by several components are paired across components as well, by the
+   shingles of the common-order prefix, of which a linked pair has one in common.  Shingles of few sets list
+   their pairs; the sets of commoner ones are compared in blocks by their sketches.
 """
 
 from __future__ import annotations
@@ -46,9 +46,9 @@ _SHIFT = 64 - 18
 _RANGES = 16
 #: Candidates of a set within a partition, before components are known.
 PARTNERS = 6
-#: Sets of a signature up to which its pairs across components are listed; above it they are compared in blocks.
+#: Sets of a shingle up to which its pairs across components are listed; above it they are compared in blocks.
 FEW = 64
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 #: In place of a doc_id: this entry has been counted already.
 _COUNTED = -(1 << 63)
 
@@ -380,46 +380,42 @@ class JaccardJoin:
         placed = kept.join(comp, kept.doc_id == comp.node, "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
 
         def one_each(cols):
-            key, where, n = cols
+            key, where = cols
             order = np.lexsort((where, key))
-            key, where, n = key[order], where[order], n[order]
+            key, where = key[order], where[order]
             at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])])[: len(key)])
-            return [key[at], where[at], np.add.reduceat(n, at) if len(at) else n], None
+            return [key[at], where[at]], None
 
         def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, known = _Exchange(n_buckets, ("key", "place", "n"), one_each), common.value
+            out, known = _Exchange(n_buckets, ("key", "place"), one_each), common.value
             for b in it:
                 place = b["component"].to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(binary(b["text"]), k):
                     if len(s):
                         key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den)
-                        yield from out.add(key, np.full(len(key), place[i], np.int64), np.ones(len(key), np.int64))
+                        yield from out.add(key, np.full(len(key), place[i], np.int64))
             yield from out.flush()
 
         def still_open(t: pa.Table) -> pa.Table:
-            """Keys whose sets lie in several components, and how many sets they have."""
-            (key, _, n), _ = one_each([_joined(t, "key", np.uint64), _joined(t, "place", np.int64), _joined(t, "n", np.int64)])
-            if not len(key):
-                return pa.table({"key": pa.array([], pa.int64()), "many": pa.array([], pa.int64())})
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            several = np.diff(np.concatenate([at, [len(key)]])) > 1
-            return pa.table({"key": key[at][several].view(np.int64), "many": np.add.reduceat(n, at)[several]})
+            """Keys whose sets lie in several components."""
+            (key, _), _ = one_each([_joined(t, "key", np.uint64), _joined(t, "place", np.int64)])
+            order, _, many = _same_key(key)
+            return pa.table({"key": np.unique(key[order][many > 1]).view(np.int64)})
 
         def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = common.value
             for b in it:
-                ids, place = (b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+                ids = b["doc_id"].to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(binary(b["text"]), k):
                     if len(s):
                         key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den).view(np.int64)
-                        full = lambda v, key=key: pa.array(np.full(len(key), v, np.int64))
-                        yield pa.record_batch({"key": pa.array(key), "doc_id": full(ids[i]), "n": full(len(s)), "component": full(place[i])})
+                        yield pa.record_batch({"key": pa.array(key), "doc_id": pa.array(np.full(len(key), ids[i], np.int64))})
 
-        sent = placed.mapInArrow(send, "bucket long, key binary, place binary, n binary, direct binary")
-        keys = staged(sent.groupBy("bucket").applyInArrow(still_open, "key long, many long"))
+        sent = placed.mapInArrow(send, "bucket long, key binary, place binary, direct binary")
+        keys = staged(sent.groupBy("bucket").applyInArrow(still_open, "key long"))
         if keys.isEmpty():
             return done.limit(0)
-        signed = staged(placed.mapInArrow(spread, "key long, doc_id long, n long, component long").join(keys, "key"))
+        opened = placed.mapInArrow(spread, "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
 
         def listed(rows: DataFrame) -> DataFrame:
             """The pairs across components of keys with few sets."""
@@ -430,10 +426,6 @@ class JaccardJoin:
         def tested(pairs: DataFrame) -> DataFrame:
             return self._possible(pairs.distinct().join(done, ["a", "b"], "left_anti"), sketches)
 
-        crowd = signed.where(f"many > {FEW}").select("doc_id").distinct()
-        if crowd.isEmpty():
-            return tested(listed(signed))
-
         def prefix(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = common.value
             for b in it:
@@ -445,11 +437,11 @@ class JaccardJoin:
                 n, bits, held, keys = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-        full = staged(placed.join(crowd, "doc_id", "left_semi").mapInArrow(prefix, "doc_id long, component long, n long, bits binary, held binary, keys array<long>"))
+        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "doc_id long, component long, n long, bits binary, held binary, keys array<long>"))
         each = full.select(F.explode("keys").alias("key"), "doc_id", "n", "component")
         wide = each.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
         shared = staged(each.join(wide.select("key", "many"), "key"))
-        near = tested(listed(signed).unionByName(listed(shared)))
+        near = tested(listed(shared))
         # The sets of a common shingle are compared in a grid of blocks of about 1,024.
         dealt = shared.where(f"many > {FEW}").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
         dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))

@@ -37,7 +37,7 @@ from .words import U, Words, batches, minimizers, runs, windows
 GRAM = 5
 #: Words of one automaton's phrases, about; codes of three digits reach twice as far.
 _SYMBOLS = 1_000_000
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 
 
 def _blobs(names: tuple[str, ...], to: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15  # odd, 5 mod 8: its powers have the longest period modulo 2^64
 _STEP = 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
