@@ -3,7 +3,8 @@
 A character trigram model is counted over all documents.  A token that may be disguised, with digits or
 signs among letters, a letter three times in a row or single letters spelt out with spaces, is a lattice:
 each sign may stand for a letter or for nothing, each repeated letter may be dropped.  The Viterbi path of
-least cost, channel plus language model, restores it.
+least cost, channel plus language model, restores it.  Letters spelt out and letters joined by signs may
+hold several words, so they are also restored with the edge of a word allowed at each gap or sign.
 
 The lexicon is learnt from words and word beginnings that occur in toxic rows and hardly in others.  Those
 that as many unrelated rows would hold by chance with a probability below one in `certain` are entries; near
@@ -37,7 +38,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 _SIGNS = "".join(re.escape(c) for c in LEET)
 _NOISE = r".\-_*~'^·•"
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}{_NOISE}]+[^\W\d_]|[{_SIGNS}][^\W\d_]|[^\W\d_][{_SIGNS}]|([^\W\d_])\1\1", re.UNICODE)
-_SPELT = re.compile(rf"(?<!\S)(?:[^\s](?:[ \t{_NOISE}]+)){{3,}}[^\s][.,;:!?]*(?!\S)")
+_SPELT = re.compile(rf"(?<!\S)(?:[^\s{_NOISE}][ \t{_NOISE}]+){{2,}}[^\s{_NOISE}][.,;:!?]*(?!\S)")
+_JOINT = re.compile(rf"[^\w{_SIGNS}]+|_+")
+_GAP = re.compile(rf"[ \t{_NOISE}]+")
 _EDGE = ".,;:?\"'()[]{}<>#%&=-_*~/\\"
 _BARE = re.compile(r"^[\W_]+|[\W_]+$")
 _CODE = np.full(256, 27, np.int64)
@@ -46,7 +49,9 @@ for _i, _c in enumerate(_LETTERS):
     _CODE[[ord(_c), ord(_c.upper())]] = _i + 1
 #: Lengths of word beginnings that may be lexicon entries.
 STARTS = range(4, 10)
-_MAX = 32  # letters of a disguised word
+_MAX = 32  # longer tokens are decoded as well but not remembered
+#: Inside a token to decode, a gap that may be the edge of a word and one that most likely is.
+_MAYBE, _WIDE = "\x00", "\x01"
 
 
 def count_trigrams(texts: list[bytes | None]) -> np.ndarray:
@@ -83,45 +88,65 @@ class Deobfuscator:
     """Restores disguised tokens; decoded ones are remembered up to a bound."""
 
     #: Channel costs: a sign read as a letter, dropped; noise dropped; the second of two equal letters kept,
-    #: dropped; a further one kept, dropped.
-    READ, DROP, NOISE, TWICE, ONCE, MORE, LESS = 0.4, 5.0, 0.2, 0.2, 1.5, 6.0, 0.1
+    #: dropped; a further one kept, dropped; a sign or a wide gap that is no edge of a word.
+    READ, DROP, NOISE, TWICE, ONCE, MORE, LESS, JOIN = 0.4, 5.0, 0.2, 0.2, 1.5, 6.0, 0.1, 4.0
+    #: Costs of an edge that is put in, one decoding for each.
+    EDGES = (0.0, -1.5, 1.5)
 
     def __init__(self, model: list[list[list[float]]]):
         self.model, self.known = model, {}
 
-    def decode(self, token: str) -> str:
-        if (got := self.known.get(token)) is None:
+    def decode(self, token: str, edge: float | None = None) -> str:
+        """The token restored as one word or, with a cost for an edge, as words joined by a space."""
+        if len(token) > _MAX:
+            return self._viterbi(token, edge)
+        if (got := self.known.get((token, edge))) is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[token] = self._viterbi(token)
+            got = self.known[token, edge] = self._viterbi(token, edge)
         return got
 
-    def _viterbi(self, token: str) -> str:
+    def words(self, token: str) -> set[str]:
+        return {w for e in self.EDGES for w in self.decode(token, e).split()}
+
+    def _viterbi(self, token: str, edge: float | None = None) -> str:
+        """In one pass; each path is a chain of (chain before, letter), so a token may have any length."""
         lm = self.model
-        paths = {(0, 0, ""): (0.0, "")}  # last two codes and the last letter put out -> cost, text
+        paths: dict = {(0, 0, ""): (0.0, None)}  # last two codes and the last letter put out -> cost, chain
         for i, c in enumerate(token):
             arcs: list[tuple[str, float]]
             if c in LEET:
                 arcs = [(x, self.READ) for x in LEET[c]] + [("", self.DROP)]
+                if edge is not None and not c.isalnum():
+                    arcs.append((" ", self.READ + edge))
             elif c.isalpha():
                 arcs = [(c, 0.0)]
                 if i and token[i - 1] == c:
                     more = i > 1 and token[i - 2] == c
                     arcs = [(c, self.MORE if more else self.TWICE), ("", self.LESS if more else self.ONCE)]
+            elif c == _MAYBE:
+                arcs = [("", 0.0), (" ", edge or 0.0)]
+            elif c == _WIDE:
+                arcs = [("", self.JOIN), (" ", 0.0)]
             else:
-                arcs = [("", self.NOISE)]
+                arcs = [("", self.NOISE)] + ([(" ", self.NOISE + edge)] if edge is not None else [])
             step: dict = {}
-            for (a, b, last), (cost, text) in paths.items():
+            for (a, b, last), (cost, chain) in paths.items():
                 for out, price in arcs:
-                    if not out:
-                        key, new = (a, b, last), (cost + price, text)
+                    if not out or (out == " " and not b):
+                        key, new = (a, b, last), (cost + price, chain)
                     else:
-                        k = _code(out)
-                        key, new = (b, k, out), (cost + price + lm[a][b][k], text + out)
-                    if key not in step or new < step[key]:
+                        k = 0 if out == " " else _code(out)
+                        key, new = (b, k, out), (cost + price + lm[a][b][k], (chain, out))
+                    if key not in step or new[0] < step[key][0]:
                         step[key] = new
             paths = step
-        return min((cost + lm[a][b][0], text) for (a, b, _), (cost, text) in paths.items())[1]
+        _, chain = min(((cost + lm[a][b][0], chain) for (a, b, _), (cost, chain) in paths.items()), key=lambda x: x[0])
+        letters = []
+        while chain:
+            chain, out = chain
+            letters.append(out)
+        return "".join(reversed(letters))
 
     def restored(self, text: str) -> set[str]:
         """The distinct words of the text in lower case, disguised ones restored as well."""
@@ -131,17 +156,26 @@ class Deobfuscator:
             words.add(_BARE.sub("", w) if not w.isalnum() else w)
             if not w.isalpha() or _tripled(w):
                 core = w.strip(_EDGE)
-                if 3 <= len(core) <= _MAX and _DISGUISED.search(core):
+                if len(core) >= 3 and _DISGUISED.search(core):
                     words.add(self.decode(core))
+                    if not core.isalnum():
+                        words |= self.words(core) | {self.decode(x) for x in _JOINT.split(core) if len(x) >= 3}
         if " " in low:
             for m in _SPELT.finditer(low):
-                spelt = re.sub(rf"[\s{_NOISE}]+", "", m.group().rstrip(".,;:!?"))
-                if len(spelt) <= 4 * _MAX:  # a one-letter word may stand at either end
-                    words |= {self.decode(x) for x in (spelt, spelt[1:], spelt[:-1])}
+                run = m.group().rstrip(".,;:!?")
+                spelt = _GAP.sub("", run)  # a one-letter word may stand at either end
+                words |= {self.decode(x) for x in (spelt, spelt[1:], spelt[:-1])} | self.words(_edged(run))
         words.discard("")
         return words
 
 
+def _edged(run: str) -> str:
+    """The letters of a spelt run, with the gaps between them; those above the most frequent width are wide."""
+    gaps = [(len(g.split(" ")) - 1 + g.count("\t"), len(g)) for g in _GAP.findall(run)]
+    usual = max(sorted(set(gaps)), key=gaps.count)
+    return "".join(c + (_WIDE if g > usual else _MAYBE) for c, g in zip(_GAP.split(run), [*gaps, usual], strict=True))[:-1]
+
+
 def _tripled(w: str) -> bool:
     return any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2))
 

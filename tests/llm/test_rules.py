@@ -106,6 +106,23 @@ def test_disguises_are_undone():
     assert {"idiot", "moron", "stupid", "pathetic", "worthless", "trash", "clown", "loser", "scum"} <= got
 
 
+def test_spelt_and_joined_words_are_all_restored():
+    words = "idiot stupid moron pathetic worthless disgusting clown trash loser scum ass you are a the of and in this that".split()
+    d = Deobfuscator(costs(count_trigrams([" ".join(words * 50).encode()])))
+    for text, held in (
+        ("s t u p i d i d i o t", {"stupid", "idiot"}),
+        ("y o u a r e a m o r o n", {"you", "are", "moron"}),
+        ("s t u p i d   i d i o t", {"stupid", "idiot"}),
+        ("s-t-u-p-i-d i-d-i-o-t", {"stupid", "idiot"}),
+        ("a s s", {"ass"}),
+        ("st" + "u" * 40 + "pid", {"stupid"}),
+        ("y0u-4re-a-5tup1d-1d10t-and-a-w0rthl3ss-cl0wn", {"stupid", "idiot", "clown"}),
+        ("t h i s " * 40 + "m o r o n " + "t h i s " * 40 + "i d i o t", {"this", "moron", "idiot"}),
+        ("-" * 200 + "abc", set()),
+    ):
+        assert held <= d.restored(text), text
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = q.op3_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
