@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .cluster import binary, buckets, staged
 from .words import U, mix
@@ -215,30 +216,35 @@ class Mixing:
 
     def mixed(self, documents: DataFrame) -> DataFrame:
         """The documents' rows as the mix takes them, one per copy, with all columns: the whole text, or the
-        words of the blocks that the copy takes joined by one space."""
+        words of the blocks that the copy takes joined by one space.  A copy goes to the shard and the rank of
+        the first block that it takes; each shard is together and in the order of rank."""
         text, doc_id = self.text, self.doc_id
-        plan = self.plan(documents).where("size(draws) > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.expr("transform(draws, d -> struct(d.copy, d.start, d.length))").alias("__mix_draws")).dropDuplicates(["__mix_id", "__mix_size"])
+        plan = self.plan(documents).where("size(draws) > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.expr("transform(draws, d -> struct(d.copy, d.start, d.length, d.shard, d.rank))").alias("__mix_draws")).dropDuplicates(["__mix_id", "__mix_size"])
         joined = documents.join(plan, documents[doc_id].cast("long") == plan["__mix_id"])
         schema = documents.schema
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                at, texts = [], []
+                at, texts, shard, rank = [], [], [], []
                 whole = binary(b[text])
                 for i, (t, size, draws) in enumerate(zip(whole, b["__mix_size"].to_pylist(), b["__mix_draws"].to_pylist(), strict=True)):
-                    copies: dict[int, list[tuple[int, int]]] = {}
+                    copies: dict[int, list[tuple[int, int, int, int]]] = {}
                     for d in draws:
-                        copies.setdefault(d["copy"], []).append((d["start"], d["length"]))
+                        copies.setdefault(d["copy"], []).append((d["start"], d["length"], d["shard"], d["rank"]))
                     words = None
                     for _, parts in sorted(copies.items()):
                         at.append(i)
-                        if sum(n for _, n in parts) == size:
+                        shard.append(min(parts)[2])
+                        rank.append(min(parts)[3])
+                        if sum(n for _, n, _, _ in parts) == size:
                             texts.append(t)
                         else:
                             words = words or (t or b"").split()
-                            texts.append(b" ".join(w for a, n in sorted(parts) for w in words[a : a + n]))
+                            texts.append(b" ".join(w for a, n, _, _ in sorted(parts) for w in words[a : a + n]))
                 rows = b.take(pa.array(at, pa.int64()))
                 new = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.record_batch({f.name: new if f.name == text else rows[f.name] for f in schema})
+                yield pa.record_batch({f.name: new if f.name == text else rows[f.name] for f in schema} | {"__mix_shard": pa.array(shard, pa.int64()), "__mix_rank": pa.array(rank, pa.int64())})
 
-        return joined.mapInArrow(run, schema)
+        dealt = StructType([*schema, StructField("__mix_shard", LongType()), StructField("__mix_rank", LongType())])
+        out = joined.mapInArrow(run, dealt).repartition("__mix_shard").sortWithinPartitions("__mix_shard", "__mix_rank", doc_id)
+        return out.select(*documents.columns)

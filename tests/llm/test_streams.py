@@ -101,6 +101,26 @@ def test_shards_are_shuffled_and_disjoint(docs):
     assert {r.shard for r in rows} <= {0, 1, 2}
 
 
+def test_mixed_rows_leave_by_shard_and_rank(docs):
+    mix = Mixing(block=16, shards=3)
+    place = {}
+    for r in mix.plan(docs).collect():
+        for d in sorted(r.draws, key=lambda d: d.start):
+            place.setdefault((r.doc_id, d.copy), (d.shard, d.rank))
+    want = {}
+    for (doc, _), (shard, rank) in place.items():
+        want.setdefault(shard, []).append((rank, doc))
+    parts = [[r.doc_id for r in p] for p in mix.mixed(docs).rdd.glom().collect()]
+    shards = [[doc for _, doc in sorted(x)] for _, x in sorted(want.items())]
+    left = [p for p in parts if p]
+    for p in left:
+        while p:
+            first = next(s for s in shards if p[: len(s)] == s)
+            shards.remove(first)
+            p = p[len(first) :]
+    assert not shards
+
+
 def test_mixing_of_nothing(empty):
     assert Mixing().plan(empty).collect() == []
 
