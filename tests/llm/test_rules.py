@@ -41,6 +41,13 @@ def test_longer_and_better_detections_suppress(spark):
     assert re.search(STEMS, LICENSE.lower())
 
 
+def test_stems_are_found_across_any_break(spark):
+    said = {"all-rights-reserved": "All rights\nreserved", "public-domain": "it is in the public\ndomain", "fair-use": "fair-use", "json": "the software  shall be used for good, not evil", "wtfpl": "do\nwhat the fuck you want to public license"}
+    df = spark.createDataFrame(list(said.items()), "doc_id string, text string")
+    for r in license_scan(df).collect():
+        assert r.doc_id in {d.label for d in r.detections}, r.doc_id
+
+
 def test_quality_counts_equal_brute_force(docs):
     for r in quality_rules(docs).collect():
         t = texts()[r.doc_id] or ""
