@@ -104,7 +104,7 @@ def _versioned() -> list[Rule]:
         ("ofl", "open font", "(?:sil )?open font license", ("1 0", "1 1"), "ofl"),
         ("ms-pl", "microsoft public", "microsoft public license", ("1 0",), "ms pl"),
         ("bsl", "boost", "boost software license", ("1 0",), "bsl"),
-        ("odbl", "open database", "open (?:data commons )?(?:open )?database license", ("1 0",), "odbl"),
+        ("odbl", "database license", "open (?:data commons )?(?:open )?database license", ("1 0",), "odbl"),
         ("gfdl", "free documentation", "(?:gnu )?free documentation license", ("1 1", "1 2", "1 3"), "gfdl"),
         ("lppl", "latex project", "latex project public license", ("1 2", "1 3"), "lppl"),
         ("python", "python software", "python software foundation license", ("2 0",), "psf"),
@@ -151,7 +151,7 @@ _SINGLE = (
     Rule("curl", "curl", "curl license", 2, 0.85),
     Rule("json", "json", "json license", 2, 0.85),
     Rule("json", "the software shall be used", "the software shall be used for good not evil", 0, 1.0),
-    Rule("beerware", "beer", "beer ?ware license", 1, 0.9),
+    Rule("beerware", "beer", "(?:beerware|beer ware) license", 1, 0.9),
     Rule("ncsa", "ncsa", "(?:university of illinois )?ncsa open source license", 1, 0.95),
     Rule("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", 1, 0.95),
     Rule("cc0-1.0", "creative", "creative commons zero(?: v1 0| 1 0)?(?: universal)?", 1, 0.95),
@@ -165,7 +165,7 @@ _SINGLE = (
     Rule("busl-1.1", "business source", "business source license(?: version)?(?: 1 1)?", 1, 0.95),
     Rule("elastic-2.0", "elastic license", "elastic license(?: version)?(?: 2 0)?", 1, 0.9),
     Rule("commons-clause", "commons clause", "commons clause(?: license condition)?", 1, 0.9),
-    Rule("openrail", "openrail", "(?:creativeml )?open ?rail(?: m)?(?: license)?", 1, 0.9),
+    Rule("openrail", "rail", "(?:creativeml )?(?:openrail|open rail)(?: m)?(?: license)?", 1, 0.9),
     Rule("openrail", "responsible ai", "responsible ai licen[sc]e", 1, 0.9),
     Rule("all-rights-reserved", "all rights reserved", "(?:copyright c? ?)?all rights reserved", 2, 0.7),
     Rule("all-rights-reserved", "all rights reserved", "copyright (?:c )?[0-9]{4}(?: [0-9]{4})? (?:[^ ]+ ){1,6}all rights reserved", 1, 0.9),

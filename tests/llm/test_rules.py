@@ -48,6 +48,14 @@ def test_stems_are_found_across_any_break(spark):
         assert r.doc_id in {d.label for d in r.detections}, r.doc_id
 
 
+def test_spellings_of_a_rule_fire(spark):
+    said = {"OpenRAIL-M": "openrail", "Open RAIL": "openrail", "CreativeML Open RAIL-M license": "openrail", "beerware license": "beerware", "beer-ware license": "beerware", "Open Data Commons Database License 1.0": "odbl", "Open Database License": "odbl"}
+    df = spark.createDataFrame(list(said.items()), "doc_id string, label string")
+    got = {r.doc_id: {d.label for d in r.detections} for r in license_scan(df, text="doc_id").collect()}
+    for text, label in said.items():
+        assert any(x.startswith(label) for x in got[text]), (text, got[text])
+
+
 def test_quality_counts_equal_brute_force(docs):
     for r in quality_rules(docs).collect():
         t = texts()[r.doc_id] or ""
