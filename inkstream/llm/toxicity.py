@@ -6,13 +6,20 @@ each sign may stand for a letter or for nothing, each repeated letter may be dro
 least cost, channel plus language model, restores it.  Letters spelt out and letters joined by signs may
 hold several words, so they are also restored with the edge of a word allowed at each gap or sign.
 
-The lexicon is learnt from words and word beginnings that occur in toxic rows and hardly in others.  Those
-that as many unrelated rows would hold by chance with a probability below one in `certain` are entries; near
-copies count as one row.  Beside them, the one that explains most rows not yet explained is taken, again and
-again.  An entry's weight is its smoothed precision.  A text's
-score is the noisy-or of the lexicon entries it holds, over the share of toxic rows that none explains.
-Fitting reads at most `max_rows` labelled rows, those of least hash, a parameter; counts cover all rows.
-Null and empty texts hold no entry and have the base score.
+The lexicon is learnt from the words of toxic rows, their beginnings, and beginnings that two or more
+distinct words of a text share.  An entry is possible if unrelated rows would hold it by chance, at the rate of
+toxic rows, with a probability below one in `certain`; of near copies one row counts.  Entries are taken one
+after the other: the one that explains most toxic rows not yet explained, judged on the rows that hold no entry
+taken before, as long as it is possible there as well; its weight is its smoothed precision there.  The other
+possible entries stay with a lower weight: their precision on the rows without a taken entry, where their
+overall precision, were `doubt` clean rows to hold them as well, counts as one row more.  A text's score is the noisy-or of the best entry of each of its words, over the share of toxic rows that no taken
+entry explains.
+
+Fitting reads at most `max_rows` labelled rows, those of least hash, a parameter, and all their entries that are
+possible; the language model counts all rows.  Tokens of any length are decoded, in one pass of bounded states.
+Null and empty texts hold no entry and have the base score; so does every text where there are no labels (0.5).
+Very long texts are read whole.  Rows that share a doc_id are scored each by its own text and share the largest
+of their labels; null labels and ids are not learnt from.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -181,14 +189,22 @@ def _tripled(w: str) -> bool:
 
 
 def entries(words: set[str]) -> set[str]:
-    """Words and their beginnings of four to nine letters, the latter with a star."""
-    return words | {w[:n] + "*" for w in words for n in STARTS if len(w) > n}
+    """Words and their beginnings of four to nine letters, with a star; with two where two words have them."""
+    begun = Counter(w[:n] for w in words for n in STARTS if len(w) > n)
+    return words | {w + "*" for w in begun} | {w + "**" for w, k in begun.items() if k > 1}
+
+
+def evidence(bad: np.ndarray, good: np.ndarray, rate: float) -> np.ndarray:
+    """-log of a bound on the chance that so many of the rows are toxic, where toxic rows come at that rate; 0 below it."""
+    n = np.maximum(bad + good, 1)
+    p = np.clip(bad / n, 1e-12, 1 - 1e-12)
+    return np.where(p > rate, n * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate))), 0.0)
 
 
 class Toxicity:
-    def __init__(self, folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_rows: int = 20_000, least_rows: int = 3, purity: float = 0.95, max_entries: int = 4000, certain: float = 1e8, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
+    def __init__(self, folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_rows: int = 20_000, purity: float = 0.85, certain: float = 1e6, doubt: float = 10.0, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
         self.folds, self.held_out, self.threshold, self.max_rows = folds, held_out, threshold, max_rows
-        self.least_rows, self.purity, self.max_entries, self.certain = least_rows, purity, max_entries, certain
+        self.purity, self.certain, self.doubt = purity, certain, doubt
         self.doc_id, self.text, self.label = doc_id, text, label
 
     def _language_model(self, docs: DataFrame) -> list[list[list[float]]]:
@@ -210,50 +226,68 @@ class Toxicity:
         return costs(counts.reshape(-1))
 
     def fit(self, docs: DataFrame, labels: DataFrame, model) -> tuple[dict[str, float], float]:
-        """(precision of each lexicon entry, base score)."""
+        """(precision of each lexicon entry, base score).  At most max_rows rows and their entries reach the driver."""
         spark = docs.sparkSession
         known = labels.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
         known = known.where(fold("doc_id", self.folds) != self.held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
         sample = {r.doc_id: r.y for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.max_rows).collect()}
-        if not sample:
-            return {}, 0.5
+
+        def kin(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The word of least hash, on which near copies mostly agree."""
+            for b in it:
+                rows = [(d, min(crc32(w) for w in t.split())) for d, t in zip(b["doc_id"].to_pylist(), binary(b["text"]), strict=True) if d in chosen.value and t and t.split()]
+                yield pa.record_batch({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "kin": pa.array([r[1] for r in rows], pa.int64())})
+
         chosen = spark.sparkContext.broadcast(sample)  # max_rows rows at most
+        first: dict[tuple[int, int], int] = {}
+        for r in docs.mapInArrow(kin, "doc_id long, kin long").collect():
+            key = (r.kin, sample[r.doc_id])
+            first[key] = min(first.get(key, r.doc_id), r.doc_id)
+        rows = {d: y for (_, y), d in first.items()}
+        toxic, clean = sum(y == 1 for y in rows.values()), sum(y != 1 for y in rows.values())
+        if not toxic or not clean:
+            return {}, 0.5
+        rate = toxic / (toxic + clean)
+        chosen = spark.sparkContext.broadcast(rows)
 
-        def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spread(wanted, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = Deobfuscator(model.value)
             for b in it:
                 for doc, text in zip(b["doc_id"].to_pylist(), binary(b["text"]), strict=True):
                     if doc in chosen.value and text:
-                        e = sorted(entries(d.restored(text.decode())))
-                        kin = min((crc32(x.encode()) for x in e), default=0)  # near copies mostly agree on it
-                        same = lambda v, kind, n=len(e): pa.array([v] * n, kind)
-                        yield pa.record_batch({"doc_id": same(doc, pa.int64()), "y": same(chosen.value[doc], pa.int32()), "kin": same(kin, pa.int64()), "entry": pa.array(e, pa.string())})
-
-        held = docs.mapInArrow(spread, "doc_id long, y int, kin long, entry string").persist()
-        try:
-            both = held.groupBy("entry").agg(F.sum("y").alias("bad"), F.count("*").alias("all"), F.expr("count(DISTINCT CASE WHEN y = 1 THEN kin END)").alias("kin")).where(f"bad >= {self.least_rows} AND bad >= {self.purity} * all")
-            top = both.orderBy(F.desc("kin"), F.desc("bad"), "entry").limit(self.max_entries)
-            count = {r["entry"]: (r["bad"], r["all"], r["kin"]) for r in top.collect()}
-            pairs = held.where("y = 1").join(F.broadcast(spark.createDataFrame([(e,) for e in count], "entry string")), "entry").groupBy("entry").agg(F.collect_set("doc_id").alias("rows")).collect() if count else []
-        finally:
-            held.unpersist()
-        rows = {r["entry"]: set(r["rows"]) for r in pairs}
-        toxic = sum(sample.values())
-        clean = len(sample) - toxic
-        enough = math.log(self.certain) / -math.log(min(max(toxic / len(sample), 1e-6), 0.9))
-        weight = lambda e: (count[e][0] + 0.5) / (count[e][1] + 1.0)
-        lexicon = {e: weight(e) for e in rows if count[e][2] >= enough}
-        explained = set().union(*(rows[e] for e in lexicon))
-        left = {e: s - explained for e, s in rows.items() if e not in lexicon}
-        while left:
-            e = max(left, key=lambda k: (len(left[k]), k[-1] != "*", len(k), k))
-            if len(left[e]) < self.least_rows:
+                        e = entries(d.restored(text.decode()))
+                        e = sorted(e if wanted is None else e & wanted.value.keys())
+                        yield pa.record_batch({"doc_id": pa.array([doc] * len(e), pa.int64()), "y": pa.array([chosen.value[doc]] * len(e), pa.int32()), "entry": pa.array(e, pa.string())})
+
+        kind, sure = "doc_id long, y int, entry string", math.log(self.certain)
+        least = sure / -math.log(rate)  # so many toxic rows at least, were all rows of the entry toxic
+        counts = docs.mapInArrow(lambda it: spread(None, it), kind).groupBy("entry").agg(F.sum("y").alias("bad"), F.count("*").alias("all")).where(f"bad >= {least} AND bad >= {self.purity} * all").collect()
+        seen = np.array([(r.bad, r["all"] - r.bad) for r in counts], float).reshape(-1, 2)
+        possible = evidence(seen[:, 0], seen[:, 1], rate) >= sure
+        rest = {r.entry: r.bad / (r["all"] + self.doubt) for r, ok in zip(counts, possible.tolist(), strict=True) if ok}
+        names = sorted(rest, key=lambda e: (e.endswith("*") + e.endswith("**"), -len(e), e))
+        if not names:
+            return {}, min(0.5, (toxic + 0.5) / (toxic + clean + 1.0))
+        wanted = spark.sparkContext.broadcast({e: i for i, e in enumerate(names)})
+        found = docs.mapInArrow(lambda it: spread(wanted, it), kind).groupBy("doc_id", "y").agg(F.collect_set("entry").alias("e")).collect()
+        at = {e: i for i, e in enumerate(names)}
+        row = np.repeat(np.arange(len(found)), [len(r.e) for r in found])
+        entry = np.array([at[e] for r in found for e in r.e], np.int64)
+        bad = np.array([r.y == 1 for r in found])
+        lexicon, alive = {}, np.ones(len(found), bool)
+        while (alive & bad).any():
+            b, g = (np.bincount(entry[(alive & k)[row]], minlength=len(names)) for k in (bad, ~bad))
+            left = [toxic - int((~alive & bad).sum()), clean - int((~alive & ~bad).sum())]
+            ok = (evidence(b, g, max(left[0], 1) / max(sum(left), 2)) >= math.log(10 * len(names))) & (b >= self.purity * (b + g))
+            if not ok.any():
                 break
-            lexicon[e] = weight(e)
-            gone = left.pop(e)
-            explained |= gone
-            left = {k: s - gone for k, s in left.items()}
-        return lexicon, min(0.5, (max(0, toxic - len(explained)) + 0.5) / (clean + 1.0))
+            best = int(np.where(ok, b, -1).argmax())
+            lexicon[names[best]] = (int(b[best]) + 0.5) / (int(b[best] + g[best]) + 1.0)
+            alive[row[entry == best]] = False
+        gone = [int((~alive & k).sum()) for k in (bad, ~bad)]
+        b, g = (np.bincount(entry[(alive & k)[row]], minlength=len(names)) for k in (bad, ~bad))
+        rest = {e: (int(b[i]) + rest[e]) / (int(b[i] + g[i]) + 1.0) for i, e in enumerate(names)}
+        return rest | lexicon, min(0.5, (toxic - gone[0] + 0.5) / (toxic + clean - sum(gone) + 1.0))
 
     def scored(self, documents: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted, found): found lists the lexicon entries."""
@@ -264,21 +298,27 @@ class Toxicity:
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, (lexicon, base) = Deobfuscator(model.value), fitted.value
-            whole = {e for e in lexicon if e[-1] != "*"}
-            starts = {n: {e[:-1] for e in lexicon if e[-1] == "*" and len(e) == n + 1} for n in STARTS}
+            least = min((len(e) for e in lexicon), default=0)
             for b in it:
                 score, found = [], []
                 for text in binary(b["text"]):
-                    words = d.restored(text.decode()) if text else set()
-                    hit = words & whole
-                    for n, s in starts.items():
-                        if s:
-                            hit |= {w[:n] + "*" for w in words if len(w) > n and w[:n] in s}
+                    words = [w for w in d.restored(text.decode()) if len(w) >= least - 2] if text else []
+                    best: dict[str, tuple[float, str]] = {}  # of each word, and of the words that begin alike
+                    begun: Counter = Counter()
+                    for w in words:
+                        for e in (w, *(w[:n] + "*" for n in STARTS if n < len(w))):
+                            if e in lexicon:
+                                best[w] = max(best.get(w, (0.0, "")), (lexicon[e], e))
+                            if e + "*" in lexicon:
+                                begun[e + "*"] += 1
+                    for e, k in begun.items():
+                        if k > 1:
+                            best[e[: STARTS[0]] + "**"] = max(best.get(e[: STARTS[0]] + "**", (0.0, "")), (lexicon[e], e))
                     rest = 1 - base
-                    for e in hit:
-                        rest *= 1 - lexicon[e]
+                    for weight, _ in sorted(best.values()):
+                        rest *= 1 - weight
                     score.append(1 - rest)
-                    found.append(sorted(hit))
+                    found.append(sorted({e for _, e in best.values()}))
                 yield pa.record_batch({"doc_id": b["doc_id"], "score": pa.array(score, pa.float64()), "found": pa.array(found, pa.list_(pa.string()))})
 
         out = docs.mapInArrow(run, "doc_id long, score double, found array<string>")
