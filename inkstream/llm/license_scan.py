@@ -7,7 +7,10 @@ stem of the prefilter are not scanned; of the others only the rules whose keywor
 detections, one that lies inside an interval of the same or a better priority is suppressed.  All of it is
 one projection of built-in functions: no rows are exploded or exchanged.
 
-Null and empty texts have no words and no detections.
+Null and empty texts have no words and no detections; only A-Z are lower-cased.  Very long texts are read whole,
+in time linear in their hits.  Detections of equal interval and priority are a tie that the smaller label wins.
+Repeated rows and rows that share a doc_id are scanned each by itself, an empty table gives none, and other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -189,17 +192,27 @@ def rules() -> tuple[Rule, ...]:
 STEMS = r"licen|cc[^a-z0-9]+by|cc0|gpl|apache|mit[^a-z0-9]|bsd|isc[^a-z0-9]|creative|general[^a-z0-9]+public|free[^a-z0-9]+documentation|mozilla|eclipse|cddl|mpl|epl|eupl|osl|afl|artistic|cecill|ofl|ms[^a-z0-9]+pl|bsl|odbl|gfdl|lppl|psf|permission|redistribution|public[^a-z0-9]+domain|publicdomain|known[^a-z0-9]+copyright|rights[^a-z0-9]+reserved|opensource|gnu|wtfpl|do[^a-z0-9]+what[^a-z0-9]+the|zlib|software[^a-z0-9]+shall|commons|openrail|rail|proprietary|unauthorized|reproduced|fair[^a-z0-9]+use|cc[^a-z0-9]|database"
 
 
+#: Hits that one step of the suppression holds; steps are chained by their furthest ends.
+_STEP = 128
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def _spans(text: str, rule: str) -> str:
-    """SQL: the rule's matches in the text as (from, to, priority, label, confidence, base), from 1."""
-    zipped = f"arrays_zip(split({text}, {rule}.regex, -1), regexp_extract_all({text}, {rule}.regex, 0))"
-    item = f"named_struct('from', a.at + length(m['0']) + 1, 'to', a.at + length(m['0']) + length(m['1']), 'priority', {rule}.priority, 'label', {rule}.label, 'confidence', {rule}.confidence, 'base', {rule}.base)"
+    """SQL: the rule's matches in the text as (from, to, priority, label, confidence, base), in words from 0, `to` not included.
+
+    Matches are put between marks, and a mark's place among the words, less the marks before it, is the word's."""
+    marked = f"filter(split(regexp_replace({text}, {rule}.regex, ' \\u0001$0\\u0002 '), ' '), x -> x <> '')"
+    places = f"filter(transform({marked}, (x, i) -> named_struct('x', x, 'i', i)), s -> s.x = '\\u0001' OR s.x = '\\u0002')"
+    word = f"transform({places}, (s, k) -> s.i - k)"
+    ends = f"filter({word}, (w, k) -> k % 2 = 1)"
+    item = f"zip_with(filter({word}, (w, k) -> k % 2 = 0), {ends}, (a, b) -> named_struct('from', a, 'to', b, 'priority', {rule}.priority, 'label', {rule}.label, 'confidence', {rule}.confidence, 'base', {rule}.base))"
     empty = "CAST(array() AS array<struct<from: int, to: int, priority: int, label: string, confidence: double, base: boolean>>)"
-    return f"CASE WHEN {text} RLIKE {rule}.regex THEN aggregate(filter({zipped}, m -> m['1'] IS NOT NULL), named_struct('at', 0, 'out', {empty}), (a, m) -> named_struct('at', a.at + length(m['0']) + length(m['1']), 'out', array_append(a.out, {item})), a -> a.out) ELSE {empty} END"
+    return f"CASE WHEN {text} RLIKE {rule}.regex THEN {item} ELSE {empty} END"
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, hits, detections): all rule matches, and those that are not suppressed; places are
-    characters of the reduced text, and first_word and last_word the base matches' first and last start."""
+    """(doc_id, n_words, hits, detections, first_word, last_word): all rule matches, and those that are not suppressed;
+    places are words from 0, and first_word and last_word are the base matches' first and last start."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     by_key: dict[str, list[Rule]] = {}
     for r in rules():
@@ -207,16 +220,23 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     group = lambda k, rs: f"named_struct('key', {q(k.strip().replace(' ', '  '))}, 'rules', array({', '.join(f'''named_struct('regex', {q(r.regex())}, 'priority', {r.priority}, 'label', {q(r.label)}, 'confidence', {r.confidence}D, 'base', {str(r.base).lower()})''' for r in rs)}))"
     table = "array(" + ", ".join(group(k, rs) for k, rs in by_key.items()) + ")"
     df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = df.select("doc_id", "_text", F.expr(f"CAST(regexp_count(_text, r'{_WORD}') AS BIGINT)").alias("n_words"), F.lower("_text").alias("_low"))
+    df = df.select("doc_id", "_text", F.expr(f"CAST(regexp_count(_text, r'{_WORD}') AS BIGINT)").alias("n_words"), F.translate("_text", _UPPER, _UPPER.lower()).alias("_low"))
     df = df.select("doc_id", "n_words", F.expr(f"CASE WHEN _low RLIKE r'{STEMS}' THEN concat(' ', trim(regexp_replace(_low, r'{_BREAK}', '  ')), ' ') END").alias("_norm"))
     df = df.select("*", F.expr(f"CASE WHEN _norm IS NOT NULL THEN filter({table}, g -> contains(_norm, g.key)) END").alias("_open"))
     df = df.select("doc_id", "n_words", "_norm", F.expr(f"flatten(transform(coalesce(_open, array()), g -> flatten(transform(g.rules, r -> {_spans('_norm', 'r')}))))").alias("_hits"))
     order = "array_sort(_hits, (x, y) -> CASE WHEN x.from <> y.from THEN x.from - y.from WHEN x.to <> y.to THEN y.to - x.to WHEN x.priority <> y.priority THEN x.priority - y.priority WHEN x.label < y.label THEN -1 WHEN x.label > y.label THEN 1 ELSE 0 END)"
-    df = df.select("doc_id", "n_words", "_norm", F.expr(order).alias("hits"))
+    df = df.select("doc_id", "n_words", F.expr(order).alias("hits"))
     # In this order whatever contains a detection precedes it, so the furthest end so far of each priority decides.
-    reach = "named_struct('p0', greatest(a.p0, IF(h.priority = 0, h.to, 0)), 'p1', greatest(a.p1, IF(h.priority <= 1, h.to, 0)), 'p2', greatest(a.p2, h.to), 'out', IF(h.to <= CASE h.priority WHEN 0 THEN a.p0 WHEN 1 THEN a.p1 ELSE a.p2 END, a.out, array_append(a.out, h)))"
-    kept = f"aggregate(hits, named_struct('p0', 0, 'p1', 0, 'p2', 0, 'out', filter(hits, h -> false)), (a, h) -> {reach}, a -> a.out)"
-    df = df.select("doc_id", "n_words", "_norm", "hits", F.expr(kept).alias("detections"), F.expr("transform(filter(hits, h -> h.base), h -> h.from)").alias("_base"))
-    before = lambda at: f"CAST((length(substring(_norm, 1, {at} - 1)) - length(replace(substring(_norm, 1, {at} - 1), ' ', ''))) / 2 AS BIGINT)"
-    word = lambda f: F.expr(f"CASE WHEN size(_base) > 0 THEN {before(f'{f}(_base)')} END")
-    return df.select("doc_id", "n_words", "hits", "detections", word("array_min").alias("first_word"), word("array_max").alias("last_word"))
+    # Within a step it is carried along; before a step it is that of the steps before.
+    steps = f"CASE WHEN size(hits) = 0 THEN array() ELSE transform(sequence(0, (size(hits) - 1) div {_STEP}), s -> slice(hits, s * {_STEP} + 1, {_STEP})) END"
+    df = df.select("doc_id", "n_words", "hits", F.expr(steps).alias("_steps"))
+    end = lambda p: f"array_max(transform(s, h -> IF(h.priority <= {p}, h.to, 0)))"
+    df = df.select("*", F.expr(f"transform(_steps, s -> named_struct('p0', {end(0)}, 'p1', {end(1)}, 'p2', {end(2)}))").alias("_ends"))
+    last = "get(a, size(a) - 1)"
+    reach = ", ".join(f"'p{p}', greatest(coalesce({last}.p{p}, 0), e.p{p})" for p in range(3))
+    df = df.select("*", F.expr(f"aggregate(_ends, filter(_ends, e -> false), (a, e) -> array_append(a, named_struct({reach})))").alias("_before"))
+    on = "named_struct('p0', greatest(a.p0, IF(h.priority = 0, h.to, 0)), 'p1', greatest(a.p1, IF(h.priority <= 1, h.to, 0)), 'p2', greatest(a.p2, h.to), 'out', IF(h.to <= CASE h.priority WHEN 0 THEN a.p0 WHEN 1 THEN a.p1 ELSE a.p2 END, a.out, array_append(a.out, h)))"
+    first = ", ".join(f"'p{p}', coalesce(get(_before, i - 1).p{p}, 0)" for p in range(3))
+    kept = f"flatten(transform(_steps, (s, i) -> aggregate(s, named_struct({first}, 'out', filter(s, h -> false)), (a, h) -> {on}, a -> a.out)))"
+    df = df.select("doc_id", "n_words", "hits", F.expr(kept).alias("detections"), F.expr("transform(filter(hits, h -> h.base), h -> CAST(h.from AS BIGINT))").alias("_base"))
+    return df.select("doc_id", "n_words", "hits", "detections", F.array_min("_base").alias("first_word"), F.array_max("_base").alias("last_word"))
