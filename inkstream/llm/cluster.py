@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that one group of exchanged blobs or texts holds, about.
+GROUP_BYTES = 32 << 20
+_open = threading.local()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of this machine's own only where none is set, as in tests."""
@@ -29,13 +35,53 @@ def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if getattr(_open, "tables", None):
+        _open.tables[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, times: int = 1) -> int:
-    """How many groups exchanged blobs are dealt into: it follows spark.sql.shuffle.partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
+def tidy(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Of the tables that `run` stages, those that its result does not read are deleted when it returns; the
+    others pass to the operator that called it, if it is tidy as well, and otherwise stay."""
+
+    @wraps(run)
+    def cleaned(*args, **kwargs) -> DataFrame:
+        _open.tables = [*getattr(_open, "tables", []), []]
+        mine = _open.tables[-1]
+        try:
+            out = run(*args, **kwargs)
+        finally:
+            _open.tables = _open.tables[:-1]
+        if mine:
+            read = {f.rpartition("/")[0].rpartition("/")[2] for f in out.inputFiles()}
+            files = out.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+            for path in mine:
+                if path.rpartition("/")[2] in read:
+                    if _open.tables:
+                        _open.tables[-1].append(path)
+                else:
+                    at = files.Path(path)
+                    at.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        return out
+
+    return cleaned
+
+
+def buckets(spark: SparkSession, bytes_: int = 0) -> int:
+    """How many groups that many exchanged bytes are dealt into: as many as there are shuffle partitions, and
+    more where a group would hold more than GROUP_BYTES."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // GROUP_BYTES))
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, measured."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def dealt(df: DataFrame, n: int, bucket: str = "bucket"):
+    """df grouped by an integer bucket from 0 to n - 1, each bucket a task of its own."""
+    return df.withColumn(bucket, F.col(bucket).cast("int")).repartitionById(n, F.col(bucket)).groupBy(bucket)
 
 
 def binary(col) -> list[bytes | None]:

@@ -2,7 +2,9 @@
 
 Two documents link when intersection / union of their shingle sets reaches the threshold (a ratio of
 integers).  Sets are the distinct k-word shingles; a shorter text is one shingle, a text without words is
-empty and links with nothing.  Null texts are empty; rows with one doc_id are one document.
+empty and links with nothing.  Null texts are empty.  Of rows that share a doc_id the least text counts, and
+each row gets its result.  Very long texts are read whole, ties of the common
+order go by hash, an empty table gives no rows, and other columns are not read, whatever their names.
 
 The plan, none of whose steps holds a group of documents in one task or lists pairs within one:
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary, buckets, connected_components, groups, staged
+from .cluster import binary, buckets, connected_components, dealt, groups, staged, tidy
 from .words import U, Words, batches, mix, windows
 
 SLOTS = 1 << 18
@@ -280,8 +282,8 @@ class JaccardJoin:
 
     # ---- 2: who can have a partner
 
-    def _survivors(self, docs: DataFrame, placed: DataFrame, common) -> DataFrame:
-        k, num, den, n_buckets = self.k, self.num, self.den, buckets(docs.sparkSession)
+    def _survivors(self, docs: DataFrame, placed: DataFrame, common, n_buckets: int) -> DataFrame:
+        k, num, den = self.k, self.num, self.den
 
         def thin(cols):
             """A shingle that several documents of the partition have counts for each here, and goes on once, for the others to meet."""
@@ -324,15 +326,15 @@ class JaccardJoin:
             return pa.table({"doc_id": ids, "hits": np.bincount(at, weights=_joined(t, "hits", np.int64), minlength=len(ids)).astype(np.int64)})
 
         sent = self._two(docs).mapInArrow(send, "bucket long, key binary, doc binary, direct binary")
-        hits = sent.groupBy("bucket").applyInArrow(meet, "to long, doc binary, hits binary").groupBy("to").applyInArrow(total, "doc_id long, hits long")
+        hits = dealt(dealt(sent, n_buckets).applyInArrow(meet, "to long, doc binary, hits binary"), n_buckets, "to").applyInArrow(total, "doc_id long, hits long")
         # Any member may have gone on for its class; the class survives by the member with most hits.
         rep = hits.join(placed, "doc_id").groupBy("rep", "n").agg(F.max("hits").alias("hits"))
         return rep.where(f"hits >= greatest(1, ((n * {num} + {den - 1}) div {den}) div 10)").select(F.col("rep").alias("doc_id"))
 
     # ---- 3 and 4: signatures, candidates
 
-    def _candidates(self, kept: DataFrame, common) -> DataFrame:
-        k, num, den, n_buckets = self.k, self.num, self.den, buckets(kept.sparkSession)
+    def _candidates(self, kept: DataFrame, common, n_buckets: int) -> DataFrame:
+        k, num, den = self.k, self.num, self.den
 
         def stars(key, doc, size):
             """(smallest document of the key, another one) for every entry of a shared key whose sizes allow a link."""
@@ -371,12 +373,12 @@ class JaccardJoin:
             return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
         sent = kept.select("doc_id", "text").mapInArrow(send, "bucket long, key binary, doc binary, size binary, direct binary")
-        return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        return dealt(sent, n_buckets).applyInArrow(meet, "a long, b long").distinct()
 
     # ---- 5: pairs across components
 
-    def _across(self, kept: DataFrame, comp: DataFrame, done: DataFrame, sketches: DataFrame, common) -> DataFrame:
-        k, num, den, n_buckets = self.k, self.num, self.den, buckets(kept.sparkSession)
+    def _across(self, kept: DataFrame, comp: DataFrame, done: DataFrame, sketches: DataFrame, common, n_buckets: int) -> DataFrame:
+        k, num, den = self.k, self.num, self.den
         placed = kept.join(comp, kept.doc_id == comp.node, "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
 
         def one_each(cols):
@@ -412,7 +414,7 @@ class JaccardJoin:
                         yield pa.record_batch({"key": pa.array(key), "doc_id": pa.array(np.full(len(key), ids[i], np.int64))})
 
         sent = placed.mapInArrow(send, "bucket long, key binary, place binary, direct binary")
-        keys = staged(sent.groupBy("bucket").applyInArrow(still_open, "key long"))
+        keys = staged(dealt(sent, n_buckets).applyInArrow(still_open, "key long"))
         if keys.isEmpty():
             return done.limit(0)
         opened = placed.mapInArrow(spread, "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
@@ -443,9 +445,9 @@ class JaccardJoin:
         shared = staged(each.join(wide.select("key", "many"), "key"))
         near = tested(listed(shared))
         # The sets of a common shingle are compared in a grid of blocks of about 1,024.
-        dealt = shared.where(f"many > {FEW}").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
-        dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
-        dealt = dealt.join(full.select("doc_id", "component", "n", "bits", "held"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        grid = shared.where(f"many > {FEW}").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
+        grid = grid.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+        grid = grid.join(full.select("doc_id", "component", "n", "bits", "held"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
         def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, rows = None, []
@@ -460,7 +462,7 @@ class JaccardJoin:
             a, b = across_components(at, rows, num, den)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        pairs = dealt.mapInArrow(meet, "a long, b long").distinct()
+        pairs = grid.mapInArrow(meet, "a long, b long").distinct()
         return near.unionByName(pairs.join(done, ["a", "b"], "left_anti")).distinct()
 
     # ---- exact verification
@@ -499,10 +501,10 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, kept: DataFrame) -> DataFrame:
         """Links among the pairs (a, b).  Each chunk of at most about 64 partners meets its a once."""
         k, num, den = self.k, self.num, self.den
-        dealt = pairs.join(pairs.groupBy("a").count(), "a").withColumn("part", F.expr("pmod(xxhash64(b), (count + 63) div 64)")).select("a", "part", "b")
+        chunks = pairs.join(pairs.groupBy("a").count(), "a").withColumn("part", F.expr("pmod(xxhash64(b), (count + 63) div 64)")).select("a", "part", "b")
         text = kept.select("doc_id", "text")
-        right = dealt.join(text, dealt.b == text.doc_id).select("a", "part", "doc_id", "text", F.lit(1).alias("side"))
-        heads = dealt.select("a", "part").distinct()
+        right = chunks.join(text, chunks.b == text.doc_id).select("a", "part", "doc_id", "text", F.lit(1).alias("side"))
+        heads = chunks.select("a", "part").distinct()
         left = heads.join(text, heads.a == text.doc_id).select("a", "part", "doc_id", "text", F.lit(0).alias("side"))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,21 +526,32 @@ class JaccardJoin:
         together = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
         return together.mapInArrow(run, "u long, v long")
 
+    @tidy
     def components(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
         spark = docs.sparkSession
         profile = staged(self.profile(docs))
         common = spark.sparkContext.broadcast(self._counted(profile))
         doc = profile.where("span IS NULL").select("doc_id", "n", "fp1", "fp2")
+        differ = " OR ".join(f"min({c}) <> max({c})" for c in ("n", "fp1", "fp2"))
+        told = staged(doc.groupBy("doc_id").agg(F.count("*").alias("rows"), F.expr(differ).alias("differ")))
+        several = told.where("rows > 1").select("doc_id", "rows")
+        if not told.where("differ").isEmpty():
+            two = self._two(docs)
+            least = two.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+            one = JaccardJoin(self.k, self.num, self.den).components(staged(two.join(several, "doc_id", "left_anti").unionByName(least)))
+            again = one.join(several, "doc_id", "left").withColumn("rows", F.explode(F.expr("sequence(1L, coalesce(rows, 1L))")))
+            return again.drop("rows")
+        n = buckets(spark, 8 * (doc.agg(F.sum("n")).first()[0] or 0))  # what a shingle comes to in an exchange, about
         first = doc.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
         placed = staged(doc.join(first, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-        kept = staged(self._two(docs).join(self._survivors(docs, placed, common), "doc_id", "left_semi"))
+        kept = staged(self._two(docs).join(self._survivors(docs, placed, common, n), "doc_id", "left_semi"))
         common = spark.sparkContext.broadcast(self._counted(self.profile(kept)))
         sketches = staged(self._sketches(kept))
-        pairs = staged(self._candidates(kept, common))
+        pairs = staged(self._candidates(kept, common, n))
         links = staged(self._verified(staged(self._possible(pairs, sketches)), kept))
         comp = connected_components(links)
-        more = staged(self._across(kept, comp, pairs, sketches, common))
+        more = staged(self._across(kept, comp, pairs, sketches, common, n))
         if not more.isEmpty():
             comp = connected_components(links.unionByName(self._verified(more, kept)))
         return placed.join(comp, placed.rep == comp.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -5,9 +5,13 @@ Boosting visits the features in turn, each time fitting a tree of at most three
 that feature's bins and adding it to the feature's lookup table; then it does the same for the pairs of
 features whose joint bins explain most of what is left.  A score is the sigmoid of the added table entries.
 
-Every document is read once, for its features.  The model is fitted on the driver on at most `max_rows`
-labelled rows, those of least hash; the bound is a parameter.  A null or empty text has all-zero features
-and a score like any other; null or duplicate labels: nulls are not learnt from, of several the largest counts.
+The model is fitted on the driver on at most `max_rows` labelled rows, those of least hash; the bound is a
+parameter, and only those rows are read for it.  Then every document is read once and scored by itself.
+
+A null or empty text has all-zero features and a score like any other; without labels every score is 0.5.
+Null labels and ids are not learnt from; of several labels of a doc_id the largest counts, and of rows that
+share a doc_id each is learnt from and scored by its own text.  Features of very long texts are of the whole
+text.  Ties of the hash go by doc_id.  Other columns are not read, whatever their names; `accepted` passes them on.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary, staged
+from .cluster import binary
 
 FEATURES = ("log_words", "word_length", "symbols", "exclaims", "upper", "digits", "punctuation", "beyond_ascii", "adjacent_repeats", "distinct_share", "repeated_lines", "line_words", "short_words", "long_words")
 _CLASSES = np.zeros((256, 6))
@@ -162,40 +166,42 @@ class QualityClassifier:
         self.folds, self.held_out, self.threshold, self.max_rows = folds, held_out, threshold, max_rows
         self.doc_id, self.text, self.label = doc_id, text, label
 
-    def _featured(self, docs: DataFrame) -> DataFrame:
+    def fit(self, docs: DataFrame, labels: DataFrame) -> AdditiveModel:
+        spark, folds = docs.sparkSession, self.folds
+        known = labels.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
+        known = known.where(fold("doc_id", folds) != self.held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
+        here = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"))
+        some = known.join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.max_rows)
+        chosen = spark.sparkContext.broadcast({r.doc_id: r.y for r in some.collect()})  # max_rows rows at most
+
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                x = np.array([features(t) for t in binary(b["text"])], np.float64).reshape(-1, len(FEATURES))
-                yield pa.record_batch({"doc_id": b["doc_id"], "x": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float64()))})
+                ids = b["doc_id"].to_pylist()
+                rows = [i for i, d in enumerate(ids) if d in chosen.value]
+                x = [features(t) for t in binary(b["text"].take(pa.array(rows, pa.int64())))]
+                yield pa.record_batch({"doc_id": pa.array([ids[i] for i in rows], pa.int64()), "x": pa.array(x, pa.list_(pa.float64()))})
 
         two = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
-        return two.mapInArrow(run, "doc_id long, x array<double>")
-
-    def fit(self, featured: DataFrame, labels: DataFrame) -> AdditiveModel:
-        known = labels.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
-        known = known.where(fold("doc_id", self.folds) != self.held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
-        rows = featured.join(known, "doc_id").select("y", "x", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(self.max_rows).select("y", "x").collect()
-        x = np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES))
-        return AdditiveModel().fit(x, np.array([r.y for r in rows], np.float64))
+        rows = sorted((r.doc_id, r.x) for r in two.mapInArrow(run, "doc_id long, x array<double>").collect())
+        x = np.array([r[1] for r in rows], np.float64).reshape(-1, len(FEATURES))
+        return AdditiveModel().fit(x, np.array([chosen.value[r[0]] for r in rows], np.float64))
 
     def scored(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted)."""
-        featured = staged(self._featured(docs))
-        model = featured.sparkSession.sparkContext.broadcast(self.fit(featured, labels))
+        model = docs.sparkSession.sparkContext.broadcast(self.fit(docs, labels))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+                x = np.array([features(t) for t in binary(b["text"])], np.float64).reshape(-1, len(FEATURES))
                 yield pa.record_batch({"doc_id": b["doc_id"], "score": pa.array(model.value.score(x))})
 
-        out = featured.mapInArrow(run, "doc_id long, score double")
+        two = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
+        out = two.mapInArrow(run, "doc_id long, score double")
         return out.select("doc_id", (fold("doc_id", self.folds) == self.held_out).alias("held_out"), "score", F.expr(f"CAST(score >= {self.threshold} AS INT)").alias("predicted"))
 
     def accepted(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of docs that the model accepts, with all their columns.
-
-        The features are computed again where the rows are, so no text is exchanged."""
-        model = docs.sparkSession.sparkContext.broadcast(self.fit(staged(self._featured(docs)), labels))
+        """The rows of docs that the model accepts, with all their columns."""
+        model = docs.sparkSession.sparkContext.broadcast(self.fit(docs, labels))
         threshold, text = self.threshold, self.text
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

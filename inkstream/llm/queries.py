@@ -94,8 +94,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Mixing(weights=(5, 2, 1), share=1.5, most=2.0).plan(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (a, d) -> a + d.length)").alias("taken"))
+    out = Mixing(weights=(5, 2, 1), share=1.5, most=2.0).taken(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "draws", "shards")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _op1() -> str:
     stem = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-norm AS (SELECT doc_id, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words, ' ' || trim(regexp_replace(lower(t), '{stem}', '  ', 'g'), ' ') || ' ' AS s FROM d),
+norm AS (SELECT doc_id, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words, ' ' || trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{stem}', '  ', 'g'), ' ') || ' ' AS s FROM d),
 rule(label, regex, priority, confidence, base) AS (VALUES {values}),
 cut AS (SELECT doc_id, s, r.*, regexp_extract_all(s, regex) AS m, string_split_regex(s, regex) AS p FROM norm JOIN rule r ON regexp_matches(s, r.regex)),
 hit AS (SELECT doc_id, s, label, regex, priority, confidence, base, i, CAST(list_sum([length(x) FOR x IN p[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) + 1 AS a, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut)),

@@ -2,21 +2,24 @@
 
 A window is `size` consecutive words of one document.  Every word that lies in a window whose words also
 start earlier (a smaller doc_id, or earlier in the same document) is removed; windows are judged on the
-input.  Null texts have no words; rows that share a doc_id are one document, so neither precedes the other.
+input.  Null and empty texts have no words; rows that share a doc_id are one document, so neither precedes the
+other, and each repeated row is cut alike.  Very long texts are streamed whole.  An empty table gives no rows.
+Columns to keep may have any names, those of the result and of this module's own tables included: a kept column
+of a result's name takes its place.
 
 1. Anchors.  Of the 5-word grams of each window the one of least hash is its anchor; equal windows have
    equal anchors.  Anchors are dealt out by hash, each distinct one once a partition, and those that occur
    twice are told to their documents.
 2. Candidate passages: the runs of windows with a recurring anchor, cut from the documents.
-3. Confirmation.  The windows of the passages, again one a partition, are counted by hash; each that occurs
-   twice gets its first place, and is told to the shards of documents that hold it.
+3. Confirmation.  The windows of the passages, again one a partition, are counted by two hashes of 64 bits;
+   each that occurs twice gets its first place, and is told to the shards of documents that hold it.
 4. Shards of documents.  The first places are cut into phrases, maximal runs of such windows, and sent to
    the shards.  A shard compiles its phrases' anchors into Aho-Corasick automata, with words as symbols,
    and streams every whole document through them; each hit is extended word by word, so only exactly equal
    passages count.
 
 Nothing is collected to the driver, and a passage in a third of all documents costs a row per partition
-and shard.
+and shard.  Shards and buckets are as many as the measured bytes of the texts ask for, each a task of its own.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary, buckets, groups, staged
-from .words import U, Words, batches, minimizers, runs, windows
+from .cluster import binary, buckets, dealt, groups, staged, text_bytes, tidy
+from .words import OTHER_STEP, U, Words, batches, minimizers, runs, windows
 
 GRAM = 5
 #: Words of one automaton's phrases, about; codes of three digits reach twice as far.
@@ -114,11 +117,11 @@ class SubstringDedup:
             rows = [(d, at[i].tobytes()) for d, i in groups(doc)]
             return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.binary())})
 
-        return docs.mapInArrow(send, "bucket long, key binary, doc binary, at binary").groupBy("bucket").applyInArrow(meet, "doc_id long, at binary")
+        return dealt(docs.mapInArrow(send, "bucket long, key binary, doc binary, at binary"), n).applyInArrow(meet, "doc_id long, at binary")
 
     # ---- 2
 
-    def _passages(self, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    def _passages(self, docs: DataFrame, marks: DataFrame, n: int) -> DataFrame:
         """(shard, doc_id, start, n, words): runs of n windows whose anchors recur, with the bytes of their words."""
         size = self.size
 
@@ -148,25 +151,25 @@ class SubstringDedup:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.table({c: pa.array(v, k) for c, v, k in zip(("shard", "doc_id", "start", "n", "words"), out, kinds, strict=True)})
 
-        return docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(cut, "shard long, doc_id long, start long, n long, words binary")
+        return dealt(docs, n, "shard").cogroup(dealt(marks, n, "shard")).applyInArrow(cut, "shard long, doc_id long, start long, n long, words binary")
 
     # ---- 3
 
     def _first_places(self, passages: DataFrame, n: int) -> DataFrame:
         """(shard, doc_id, at, n): runs of first places of recurring windows that the shard's documents hold."""
         size = self.size
-        names = ("key", "shard", "doc", "at", "many")
+        names = ("key", "more", "shard", "doc", "at", "many")
 
         def flush(parts):
-            key, to, shard, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((at, doc, shard, key))
-            k, s = key[order], shard[order]
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
+            key, more, to, shard, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((at, doc, shard, more, key))
+            k, m, s = key[order], more[order], shard[order]
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (s[1:] != s[:-1])]))
             many = np.diff(np.concatenate([first, [len(k)]])).astype(np.int32)
             one = order[first]
             back = np.argsort(one)
             one, many = one[back], many[back]
-            return _blobs(names, (to[one] >> U(33)).astype(np.int64) % n, [key[one], shard[one], doc[one], at[one], many])
+            return _blobs(names, (to[one] >> U(33)).astype(np.int64) % n, [key[one], more[one], shard[one], doc[one], at[one], many])
 
         def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, held = [], 0
@@ -176,7 +179,7 @@ class SubstringDedup:
                     i = np.flatnonzero(whole)
                     own = np.searchsorted(w.first, i, side="right") - 1
                     row = lo + own
-                    parts.append((windows(h, size)[i], gram[low[i]], shard[row].astype(np.int32), ids[row], (start[row] + i - w.first[own]).astype(np.int32)))
+                    parts.append((windows(h, size)[i], windows(h, size, OTHER_STEP)[i], gram[low[i]], shard[row].astype(np.int32), ids[row], (start[row] + i - w.first[own]).astype(np.int32)))
                     held += len(i)
                     if held >= _FLUSH:
                         yield flush(parts)
@@ -185,10 +188,10 @@ class SubstringDedup:
                 yield flush(parts)
 
         def meet(t: pa.Table) -> pa.Table:
-            key, shard, doc, at, many = (_column(t, c, k) for c, k in zip(names, (np.uint64, np.int32, np.int64, np.int32, np.int32), strict=True))
-            order = np.lexsort((at, doc, key))
-            key, shard, doc, at, many = key[order], shard[order], doc[order], at[order], many[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+            key, more, shard, doc, at, many = (_column(t, c, k) for c, k in zip(names, (np.uint64, np.uint64, np.int32, np.int64, np.int32, np.int32), strict=True))
+            order = np.lexsort((at, doc, more, key))
+            key, more, shard, doc, at, many = (x[order] for x in (key, more, shard, doc, at, many))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
             run = np.cumsum(new) - 1
             first = np.flatnonzero(new)[run]
             total = np.bincount(run, weights=many)[run]
@@ -202,8 +205,8 @@ class SubstringDedup:
             i, k = runs(cut)
             return pa.table({"shard": s[i].astype(np.int64), "doc_id": d[i], "at": p[i].astype(np.int64), "n": k.astype(np.int64)})
 
-        sent = passages.select("shard", "doc_id", "start", "words").mapInArrow(send, "bucket long, key binary, shard binary, doc binary, at binary, many binary")
-        return sent.groupBy("bucket").applyInArrow(meet, "shard long, doc_id long, at long, n long")
+        sent = passages.select("shard", "doc_id", "start", "words").mapInArrow(send, "bucket long, key binary, more binary, shard binary, doc binary, at binary, many binary")
+        return dealt(sent, n).applyInArrow(meet, "shard long, doc_id long, at long, n long")
 
     def _phrases(self, passages: DataFrame, places: DataFrame) -> DataFrame:
         """(shard, doc_id, at, words): maximal runs of first places, with their words."""
@@ -238,7 +241,7 @@ class SubstringDedup:
 
     # ---- 4
 
-    def _stream(self, docs: DataFrame, phrases: DataFrame, keep: tuple[str, ...], as_it_was: bool) -> DataFrame:
+    def _stream(self, docs: DataFrame, phrases: DataFrame, n: int, keep: list[str], as_it_was: bool) -> DataFrame:
         size = self.size
 
         def run(d: pa.Table, p: pa.Table) -> pa.Table:
@@ -259,30 +262,48 @@ class SubstringDedup:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
             return pa.table({c: d[c] for c in keep} | {
-                "doc_id": d["doc_id"],
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
-                "kept": pa.array(kept, pa.binary()).cast(pa.string()),
-                "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+                "__doc": d["doc_id"],
+                "__n_words": pa.array(n_words, pa.int64()),
+                "__n_removed": pa.array(n_removed, pa.int64()),
+                "__kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                "__removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
             })
 
         fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-        schema = ", ".join([*fields, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, length: long>>"])
-        return docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(run, schema)
+        schema = ", ".join([*fields, "__doc long, __n_words long, __n_removed long, __kept string, __removed array<struct<start: long, length: long>>"])
+        return dealt(docs, n, "shard").cogroup(dealt(phrases, n, "shard")).applyInArrow(run, schema)
+
+    def _cut(self, documents: DataFrame, keep: list[str], as_it_was: bool) -> DataFrame:
+        """(__keep0, ..., __doc, __n_words, __n_removed, __kept, __removed)."""
+        text = F.col(self.text).cast("string")
+        n = buckets(documents.sparkSession, text_bytes(documents, self.text))
+        shard = F.expr(f"CAST(pmod(xxhash64(doc_id), {n}) AS INT)")
+        own = [f"__keep{i}" for i in range(len(keep))]
+        docs = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(keep, own, strict=True)))
+        sharded = docs.select(shard.alias("shard"), "doc_id", "text", *own)
+        plain = sharded.select("shard", "doc_id", "text")
+        marks = self._anchors(docs.select("doc_id", "text"), n).select(shard.alias("shard"), "doc_id", "at")
+        passages = staged(self._passages(plain, marks, n))
+        phrases = self._phrases(passages, staged(self._first_places(passages, n)))
+        return self._stream(sharded, phrases, n, own, as_it_was)
 
+    @tidy
     def dedup(self, documents: DataFrame, keep: list[str] | tuple[str, ...] = (), as_it_was: bool = False) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept, removed): the kept words joined by one space, and the removed word spans.
+        """(keep, doc_id, n_words, n_removed, kept, removed): the kept words joined by one space, and the removed word spans.
 
         keep: further columns to pass on.  as_it_was: a text that loses nothing is kept unchanged, null included."""
-        n = buckets(documents.sparkSession, 2)
-        shard = F.expr(f"pmod(xxhash64(doc_id), {n})")
-        docs = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"), *keep)
-        sharded = docs.select(shard.alias("shard"), "doc_id", "text", *keep)
-        plain = sharded.select("shard", "doc_id", "text")
-        marks = self._anchors(docs.select("doc_id", "text"), n).select(shard.alias("shard"), "doc_id", "at")
-        passages = staged(self._passages(plain, marks))
-        phrases = self._phrases(passages, staged(self._first_places(passages, n)))
-        return self._stream(sharded, phrases, tuple(keep), as_it_was)
+        out = self._cut(documents, list(keep), as_it_was)
+        found = [F.col(f"__{c}").alias(c) for c in ("n_words", "n_removed", "kept", "removed") if c not in keep]
+        doc = [] if "doc_id" in keep else [F.col("__doc").alias("doc_id")]
+        return out.select(*(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), *doc, *found)
+
+    @tidy
+    def cleaned(self, documents: DataFrame) -> DataFrame:
+        """The documents' rows with all their columns, repeated passages cut from the texts; a text that loses nothing is unchanged."""
+        others = [c for c in documents.columns if c not in (self.doc_id, self.text)]
+        at = {self.text: F.col("__kept").cast(documents.schema[self.text].dataType), self.doc_id: F.col("__doc").cast(documents.schema[self.doc_id].dataType)}
+        at |= {c: F.col(f"__keep{i}") for i, c in enumerate(others)}
+        return self._cut(documents, others, True).select(*(at[c].alias(c) for c in documents.columns))
 
 
 class _Automaton:

@@ -98,14 +98,18 @@ class Words:
         return ends - np.arange(n) >= k
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
+#: A step for hashes that are independent of those with the usual one.
+OTHER_STEP = 0xAEF17502108EF2D9
+
+
+def windows(h: np.ndarray, k: int, step: int = _STEP) -> np.ndarray:
     """Hash of every k consecutive values."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for t in range(k):
-        out *= U(_STEP)
+        out *= U(step)
         out += h[t : t + n]
     return mix(out)
 
