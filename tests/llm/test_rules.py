@@ -10,7 +10,7 @@ from inkstream.llm.chat_format import chat_format, turns_read_back
 from inkstream.llm.license_scan import BASE, STEMS, license_scan, rules
 from inkstream.llm.quality_classifier import FEATURES, AdditiveModel, QualityClassifier, features
 from inkstream.llm.quality_rules import quality_rules
-from inkstream.llm.toxicity import Deobfuscator, Toxicity, costs, count_trigrams
+from inkstream.llm.toxicity import LEET, Deobfuscator, Toxicity, costs, count_trigrams, entries
 
 from .conftest import LICENSE, texts
 
@@ -138,8 +138,106 @@ def test_spelt_and_joined_words_are_all_restored():
         assert held <= d.restored(text), text
 
 
+def every_decoding(token, model, edge):
+    """All outputs of the channel with their costs, by enumeration."""
+    c, out = Deobfuscator, []
+
+    def arcs(i):
+        x = token[i]
+        if x in LEET:
+            return [(y, c.READ) for y in LEET[x]] + [("", c.DROP)] + ([(" ", c.READ + edge)] if edge is not None and not x.isalnum() else [])
+        if x.isalpha():
+            if i and token[i - 1] == x:
+                more = i > 1 and token[i - 2] == x
+                return [(x, c.MORE if more else c.TWICE), ("", c.LESS if more else c.ONCE)]
+            return [(x, 0.0)]
+        return [("", c.NOISE)] + ([(" ", c.NOISE + edge)] if edge is not None else [])
+
+    def go(i, a, b, text, cost):
+        if i == len(token):
+            out.append((cost + model[a][b][0], text))
+            return
+        for y, price in arcs(i):
+            if not y or (y == " " and not b):
+                go(i + 1, a, b, text, cost + price)
+            else:
+                k = 0 if y == " " else ord(y) - 96
+                go(i + 1, b, k, text + y, cost + price + model[a][b][k])
+
+    go(0, 0, 0, "", 0.0)
+    return out
+
+
+def test_viterbi_equals_enumeration():
+    words = "idiot stupid moron pathetic clown trash loser scum the of and in this that".split()
+    model = costs(count_trigrams([" ".join(words * 20).encode()]))
+    for token in ("1d10t", "m0r0n", "st-up1d", "tr4$h", "cl0wwwn", "5cum!", "l.0.s.e.r", "th3-0f"):
+        for edge in (None, 0.0, -1.5):
+            found = every_decoding(token, model, edge)
+            assert Deobfuscator(model).decode(token, edge) in {t for cost, t in found if cost <= min(found)[0] + 1e-9}
+
+
+def test_score_equals_a_plain_one(docs, labels):
+    """The score recomputed from the model, one text at a time."""
+    t = Toxicity(certain=2.0, purity=0.1, folds=2, held_out=5)
+    sc = docs.sparkSession.sparkContext
+    model = sc.broadcast(t._language_model(docs.select("doc_id", "text")))
+    lexicon, base = t.fit(docs.select("doc_id", "text"), labels, model)
+    assert lexicon
+    d = Deobfuscator(model.value)
+    for r in t.scored(docs, labels).collect():
+        words = d.restored(texts()[r.doc_id]) if texts()[r.doc_id] else set()
+        alone = {w: max((lexicon.get(e, 0.0) for e in (w, *(w[:n] + "*" for n in range(4, 10) if n < len(w)))), default=0.0) for w in words}
+        pairs = {}
+        for e in entries(words):
+            if e.endswith("**") and e in lexicon:
+                pairs[e[:4]] = max(pairs.get(e[:4], 0.0), lexicon[e])
+        rest = (1 - base) * np.prod([1 - x for x in (*alone.values(), *pairs.values())])
+        assert abs(r.score - (1 - rest)) < 1e-9
+
+
+def test_tables_add_up_to_the_score():
+    """The vectorised score against one that looks each feature up by itself."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    m = AdditiveModel(rounds=10, pair_rounds=5).fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    assert m.pairs
+    for row, score in zip(x, m.score(x), strict=True):
+        f = m.base + sum(m.tables[j][sum(v >= c for c in m.cuts[j])] for j, v in enumerate(row))
+        f += sum(t[sum(row[i] >= c for c in m.coarse[i]), sum(row[j] >= c for c in m.coarse[j])] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-f))) < 1e-12
+
+
+def test_classifier_query_scores_by_its_features(spark, docs, labels):
+    op = QualityClassifier()
+    model = op.fit(docs, labels)
+    want = {i: float(model.score(np.array([features((t or "").encode())]))[0]) for i, t in enumerate(texts())}
+    for r in op.scored(docs, labels).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-12 and r.predicted == (want[r.doc_id] >= op.threshold)
+    assert {r.doc_id for r in op.accepted(docs, labels).collect()} == {i for i, s in want.items() if s >= op.threshold}
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    df = spark.createDataFrame([(1, "MIT LICENSE"), (2, "m\u0130t license \u212a"), (3, "ÉA É")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(df).collect()}
+    assert got[1].first_word == 0 and not got[2].hits and got[3].n_words == 2
+
+
+def test_many_hits_take_linear_time(spark):
+    import time
+
+    times = []
+    for k in (8_000, 32_000):
+        df = spark.createDataFrame([(1, "some words here mit license and gpl license version 2 " * k)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = license_scan(df).selectExpr("size(hits) AS h", "size(detections) AS d", "last_word").first()
+        times.append(time.perf_counter() - began)
+        assert (r.h, r.last_word) == (2 * k, 10 * (k - 1) + 3)
+    assert times[1] < 12 * times[0]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = q.op3_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
     tp = sum(r.predicted and r.toxic for r in got)
-    assert tp / sum(r.toxic for r in got) > 0.75 and tp / sum(r.predicted for r in got) > 0.85
+    assert tp / sum(r.toxic for r in got) >= 0.9 and tp / sum(r.predicted for r in got) >= 0.9

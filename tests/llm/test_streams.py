@@ -1,5 +1,7 @@
 """Packing, mixing and embeddings."""
 
+from math import comb
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from inkstream.llm.embedding_dedup import EmbeddingDedup
-from inkstream.llm.mixing import Mixing, Permutation, SplittingTree, targets
+from inkstream.llm.mixing import Mixing, Permutation, SplittingTree, hypergeometric, targets
 from inkstream.llm.packing import Packing, WordTokenizer
 
 from .conftest import texts
@@ -70,59 +72,126 @@ def test_permutation_and_tree():
     assert [int(g.sum()) for g in got] == quotas and sizes.max() - sizes.min() <= 2
 
 
+def plain_targets(sizes, weights, share, most):
+    """Shares by a level: each source gets min(most * size, level * weight), and the level makes the sum right."""
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    want = min(share * sum(sizes), most * sum(sizes))
+    lo, hi = 0.0, most * max(sizes, default=0) + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * n, mid * k) for n, k in zip(sizes, w)) < want else (lo, mid)
+    return [min(most * n, hi * k) for n, k in zip(sizes, w)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 10_000), min_size=1, max_size=9))
+def test_targets_equal_a_plain_level(sizes):
+    assert targets(sizes) == pytest.approx(plain_targets(sizes, (5, 2, 1), 1.5, 2.0), rel=1e-6, abs=1e-3)
+
+
+def test_draws_of_any_size_are_exact():
+    import inkstream.llm.mixing as m
+
+    rng = np.random.default_rng(4)
+    good, bad, take = 6 * 10**11, 4 * 10**11, 3 * 10**11
+    x = np.array([hypergeometric(rng, good, bad, take) for _ in range(200)], float)
+    sd = (take * 0.6 * 0.4 * 0.7) ** 0.5
+    assert abs((x - take * 0.6).mean()) < 5 * sd / 200**0.5 and 0.8 < x.std() / sd < 1.2
+    assert hypergeometric(rng, 10**10, 0, 7) == 7 and hypergeometric(rng, 3, 10**10, 10**10 + 3) == 3
+    exact = [comb(30, k) * comb(50, 20 - k) / comb(80, 20) for k in range(21)]
+    library, m._LIBRARY = m._LIBRARY, 0
+    try:
+        got = np.bincount([hypergeometric(rng, 30, 50, 20) for _ in range(4000)], minlength=21) / 4000
+    finally:
+        m._LIBRARY = library
+    assert np.abs(got - exact).max() < 0.04
+    quotas = [3 * 10**11, 10**10, 7]
+    tree = SplittingTree(quotas, 4, 1)
+    assert np.sum([tree.quota(s) for s in range(4)], axis=0).tolist() == quotas
+
+
 def test_mixing_meets_targets_and_repeats(docs):
-    mix = Mixing(block=16)
-    rows = mix.plan(docs).collect()
+    rows = Mixing(block=16).taken(docs).collect()
     assert len(rows) == len(texts())
-    taken, goal = {}, {}
+    sizes, taken, goal = {}, {}, {}
     for r in rows:
-        n = sum(d.length for d in r.draws)
-        assert n <= 2 * r["size"] and r["size"] == len((texts()[r.doc_id] or "").encode().split())
-        taken[r.source] = taken.get(r.source, 0) + n
+        assert r.taken <= 2 * r["size"] and r["size"] == len((texts()[r.doc_id] or "").encode().split())
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.taken
         goal[r.source] = r.target
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [goal[s] for s in order] == pytest.approx(plain_targets([sizes[s] for s in order], (5, 2, 1), 1.5, 2.0), rel=1e-6)
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
-    assert sorted(map(str, rows)) == sorted(map(str, Mixing(block=16).plan(docs.repartition(2)).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, Mixing(block=16).taken(docs.repartition(2)).collect()))
 
 
-def test_mixed_texts_hold_the_words_taken(docs):
-    mix = Mixing(block=16)
-    taken = {r.doc_id: sum(d.length for d in r.draws) for r in mix.plan(docs).collect()}
+def test_shards_hold_the_quotas_of_the_tree(docs):
+    """Against a plain version: draws of no shard meet those of another, and each shard has what the tree splits off."""
+    mix = Mixing(block=16, shards=3)
+    draws = mix.dealt(docs).collect()
+    spans = {}
+    for d in draws:
+        spans.setdefault((d.doc_id, d.copy), []).append((d.start, d.length))
+    for parts in spans.values():
+        ends = [(a, a + n) for a, n in sorted(parts)]
+        assert all(e <= s for (_, e), (s, _) in zip(ends, ends[1:]))
+    words = {}
+    for d in draws:
+        words[d.doc_id] = words.get(d.doc_id, 0) + d.length
+    assert words == {r.doc_id: r.taken for r in mix.taken(docs).collect() if r.taken}
+    _, quotas, shards = mix._placed(docs)
+    tree = SplittingTree(quotas, shards, mix.seed)
+    blocks = {}
+    for d in draws:  # a block that spans documents is one draw, of one rank
+        blocks.setdefault((d.shard, d.source), set()).add(d.rank)
+    sources = sorted({r.source for r in mix.taken(docs).collect()}, key=lambda s: (s is None, s or ""))
+    for shard in range(shards):
+        assert [len(blocks.get((shard, s), ())) for s in sources] == tree.quota(shard).tolist()
+
+
+def test_shards_are_shuffled_and_hold_the_words(docs):
+    mix = Mixing(block=16, shards=3)
+    rows = mix.shards_of(docs).collect()
+    assert len(rows) == mix.dealt(docs).count() and {r.shard for r in rows} == {0, 1, 2}
+    for s in range(3):
+        mine = [r for r in rows if r.shard == s]
+        assert [r["rank"] for r in mine] == sorted(r["rank"] for r in mine)
+        ids = [r.doc_id for r in mine]
+        assert len(mine) < 10 or ids != sorted(ids)
+    n = {r.doc_id: r.taken for r in mix.taken(docs).collect() if r.taken}
     got = {}
-    for r in mix.mixed(docs).collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + len((r.text or "").encode().split())
-    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}
+    for r in rows:
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.encode().split())
+    assert got == n
 
 
-def test_shards_are_shuffled_and_disjoint(docs):
-    mix = Mixing(block=16, shards=3)
-    plan = mix.plan(docs)
-    rows = mix.shards_of(docs, plan).collect()
-    assert len(rows) == sum(len(r.draws) for r in plan.collect())
-    assert {r.shard for r in rows} <= {0, 1, 2}
+def test_mixed_texts_hold_the_words_taken(docs):
+    mix = Mixing(block=16)
+    twice = docs.unionByName(docs.where("doc_id % 3 = 1"))  # repeated rows have draws of their own
+    for df in (docs, twice):
+        taken = {}
+        for r in mix.taken(df).collect():
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+        got = {}
+        for r in mix.mixed(df).collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + len((r.text or "").encode().split())
+        assert {k: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}
 
 
 def test_mixed_rows_leave_by_shard_and_rank(docs):
     mix = Mixing(block=16, shards=3)
     place = {}
-    for r in mix.plan(docs).collect():
-        for d in sorted(r.draws, key=lambda d: d.start):
-            place.setdefault((r.doc_id, d.copy), (d.shard, d.rank))
+    for d in sorted(mix.dealt(docs).collect(), key=lambda d: d.start):
+        place.setdefault((d.doc_id, d.copy), (d.shard, d.rank))
     want = {}
     for (doc, _), (shard, rank) in place.items():
         want.setdefault(shard, []).append((rank, doc))
-    parts = [[r.doc_id for r in p] for p in mix.mixed(docs).rdd.glom().collect()]
-    shards = [[doc for _, doc in sorted(x)] for _, x in sorted(want.items())]
-    left = [p for p in parts if p]
-    for p in left:
-        while p:
-            first = next(s for s in shards if p[: len(s)] == s)
-            shards.remove(first)
-            p = p[len(first) :]
-    assert not shards
+    parts = [[r.doc_id for r in x] for x in mix.mixed(docs).rdd.glom().collect()]
+    assert [x for x in parts if x] == [[doc for _, doc in sorted(x)] for _, x in sorted(want.items())]
 
 
 def test_mixing_of_nothing(empty):
-    assert Mixing().plan(empty).collect() == []
+    assert Mixing().taken(empty).collect() == [] and Mixing().mixed(empty).collect() == []
 
 
 def test_embeddings_equal_brute_force(spark):
