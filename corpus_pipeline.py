@@ -6,6 +6,11 @@
 4. mixing: documents are taken as often as their source's target asks, one row per copy; a copy that takes
    some blocks of a document only holds their words joined by a space.
 5. packing: token sequences of 4096; a row per piece.
+
+Null and empty texts, empty tables, very long texts, ties and repeated rows have the results that the operators
+state; the classifier mostly rejects texts without words.  Rows that share a doc_id are judged each by its own
+text in 1, 4 and 5 and as one document in 2 and 3; those of a document that is a copy go together.  Columns
+beyond those of documents are passed on, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm.cluster import staged
+from inkstream.llm.cluster import staged, tidy
 from inkstream.llm.jaccard_join import JaccardJoin
 from inkstream.llm.mixing import Mixing
 from inkstream.llm.packing import Packing
@@ -23,7 +28,6 @@ from inkstream.llm.quality_classifier import QualityClassifier
 from inkstream.llm.queries import tokenizer_path
 from inkstream.llm.substring_dedup import SubstringDedup
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +39,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = SubstringDedup(size=20).dedup(docs, keep=others, as_it_was=True)
-    return cut.withColumnsRenamed({"kept": "text"}).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return _measured(SubstringDedup(size=20).cleaned(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return Mixing(weights=(5, 2, 1), share=1.5, most=2.0).mixed(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return _measured(Mixing(weights=(5, 2, 1), share=1.5, most=2.0).mixed(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +69,11 @@ STAGES: list[Stage] = [
 ORACLE_SQL: str | None = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        docs = tidy(lambda stage=stage, docs=docs: staged(stage(spark, docs, sf_dir)))()
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
