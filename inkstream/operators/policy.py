@@ -87,7 +87,6 @@ FROM (SELECT uri, title, indexed_at FROM p_snapshot) o FULL JOIN (SELECT uri, ti
     "purge_cascade": f"SELECT 'documents' AS tab, count(*) AS n FROM p_documents WHERE did NOT IN {_IN(BANNED)} UNION ALL SELECT 'publications', count(*) FROM p_publications WHERE did NOT IN {_IN(BANNED)} UNION ALL SELECT 'recommends', count(*) FROM p_recommends WHERE did NOT IN {_IN(BANNED)} UNION ALL SELECT 'tags', count(*) FROM p_document_tags t JOIN p_documents d ON d.uri = t.document_uri WHERE d.did NOT IN {_IN(BANNED)}",
     "base_path_backfill": "SELECT d.uri, COALESCE(NULLIF(d.base_path, ''), p.base_path, s.site, '') AS base_path FROM p_documents d LEFT JOIN p_publications p ON p.uri = d.publication_uri LEFT JOIN (SELECT did, max(base_path) AS site FROM p_documents WHERE base_path <> '' GROUP BY did) s ON s.did = d.did",
     "platform_detect": "SELECT doc_id, CASE WHEN source_collection LIKE 'pub.leaflet%' THEN 'leaflet' WHEN lower(base_path) LIKE '%src1%' THEN 'pckt' WHEN platform IN ('leaflet', 'pckt', 'whitewind') THEN platform ELSE 'other' END AS detected FROM p_documents",
-    "classifier_states": "SELECT CASE WHEN n < 5 THEN 'observing' WHEN empties * 2 >= n THEN 'labeled' ELSE 'pending' END AS state, count(*) AS n FROM (SELECT did, count(*) AS n, count(CASE WHEN title = '' THEN 1 END) AS empties FROM p_documents GROUP BY did) x GROUP BY 1",
 }
 
 

@@ -1,38 +1,150 @@
-"""An inverted index for many queries at once.
+"""A stored inverted index, and queries over it.
 
-postings(term, uri, tf) and lengths(uri, dl) are built in one pass and can be written partitioned by a hash
-of the term.  A batch of queries joins its terms to the postings, so N queries cost one job instead of N
-scans; the join key is the term, of which the planner broadcasts the small query side."""
+postings(term, uri, dl, tf, at) lies sorted by term, cut at any (term, uri), so that a common term spreads over
+files and a query reads only the pages of its terms; a prefix is a range of them.  rows(uri, dl, ...) holds what
+hits are filtered, scored and shown by, without the texts; stats(n, a) counts the rows with tokens and their mean
+length.  The index is built once for each state of its sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import unicodedata
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.query_text import parse_query
-from .search import LIVE, age, tokens
-
-
-def build(docs: DataFrame, text: str = "concat(title, ' ', content)") -> DataFrame:
-    """(uri, dl, term, tf): the terms of each row are counted before they leave it."""
-    t = docs.select("uri", tokens(f"coalesce({text}, '')").alias("t"))
-    each = t.select("uri", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("uri", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def batch_search(spark: SparkSession, docs: DataFrame, queries: list[str], limit: int = 20) -> DataFrame:
-    """(query, uri, rank, score, pos) of each query's best rows; words only, the last one a prefix."""
-    rows = [(q, i, t.words[0].lower(), t.prefix) for q in queries for i, t in enumerate(parse_query(q).words)]
-    wanted = spark.createDataFrame(rows, "query string, q int, word string, prefix boolean")
-    index = build(docs)
-    lengths = docs.select("uri", F.size(tokens("concat(title, ' ', content)")).alias("dl")).where("dl > 0")
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
-    exact = index.join(wanted.where("NOT prefix"), index.term == wanted.word)
-    starts = index.join(F.broadcast(wanted.where("prefix")), F.expr("startswith(term, word)"))  # a row per query
-    hit = exact.unionByName(starts).groupBy("query", "q", "uri", "dl").agg(F.sum("tf").alias("f"))
-    df = hit.groupBy("query", "q").agg(F.count("*").alias("df"))
-    part = F.expr("greatest(ln((n - df + 0.5D) / (df + 0.5D)), 1e-6D) * f * 2.2D / (f + 1.2D * (0.25D + 0.75D * dl / a))")
-    rank = hit.join(df, ["query", "q"]).crossJoin(F.broadcast(stats)).groupBy("query", "uri").agg(F.round(-F.sum(part), 6).alias("rank"))
-    live = docs.where(LIVE).select("uri", "created_at")
-    scored = rank.join(live, "uri").select("query", "uri", "rank", F.round(F.col("rank") + age(), 6).alias("score"))
+from ..functions.query_text import Parsed, Term, parse_query
+from ..sources import store
+
+K1, B = 1.2, 0.75
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str]:
+    """Letters with marks and what they are without; the marks themselves come last and go away."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for r in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(*r)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in pairs)
+
+
+def tokens(text: str) -> Column:
+    """Lower-case runs of letters and digits without diacritics."""
+    marked, plain = _folding()
+    return F.regexp_extract_all(F.translate(F.lower(F.expr(text)), marked, plain), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+
+
+def folded_words(text: str) -> list[str]:
+    """The same for a query's own text."""
+    marked, plain = _folding()
+    table = {ord(c): plain[i] if i < len(plain) else None for i, c in enumerate(marked)}
+    return re.findall(r"[^\W_]+", text.lower().translate(table))
+
+
+def token_words(term: Term) -> list[str]:
+    return folded_words(" ".join(term.words))
+
+
+def _earlier(k: int):
+    return lambda place: place - k
+
+
+class SearchIndex:
+    """The index in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        self.postings, self.rows, self.stats = read("postings"), read("rows"), read("stats")
+
+    @classmethod
+    def of(cls, docs: DataFrame, name: str, state: str, text: str, columns: list[str]) -> SearchIndex:
+        """The stored index of that name and state, built first where there is none."""
+        spark = docs.sparkSession
+        path = f"{store.folder(spark)}/index-{name}-{state}"
+        if not store.is_ready(spark, path):
+            cls.build(docs, path, text, columns)
+        return cls(spark, path)
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, text: str, columns: list[str]) -> None:
+        spark = docs.sparkSession
+        t = docs.select("uri", tokens(f"coalesce({text}, '')").alias("t"))
+        each = t.select("uri", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
+        found = each.groupBy("uri", "dl", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = found.repartitionByRange(n, "term", "uri").sortWithinPartitions("term", "uri").select("term", "uri", "dl", "tf", "at")
+        found.write.mode("overwrite").option("parquet.page.row.count.limit", 2000).parquet(f"{path}/postings")
+        docs.select("uri", *[c for c in columns if c != "uri"], F.size(tokens(f"coalesce({text}, '')")).alias("dl")).write.mode("overwrite").parquet(f"{path}/rows")
+        spark.read.parquet(f"{path}/rows").where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("a")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        store.mark_ready(spark, path)
+
+    def terms(self, words: set[str], prefixes: set[str]) -> DataFrame:
+        """The postings of some words and of all words that begin in some ways."""
+        keep = F.lit(False)
+        if words:
+            keep = F.col("term").isin(sorted(words))
+        for p in sorted(prefixes):
+            keep = keep | F.col("term").startswith(p)
+        return self.postings.where(keep)
+
+    def matches(self, query: str | Parsed) -> DataFrame:
+        """(uri, rank) of the rows that match; rank is negative, lower is better.
+
+        All phrases are required and, if there are bare words, one of those.  A phrase is a run of tokens in place;
+        one without tokens matches nothing."""
+        q = parse_query(query) if isinstance(query, str) else query
+        words = [token_words(t) for t in q.terms]
+        if not words or any(not w for w, t in zip(words, q.terms, strict=True) if t.phrase):
+            return self.postings.limit(0).select("uri", F.lit(0.0).alias("rank"))
+        prefixes = {w[0] for w, t in zip(words, q.terms, strict=True) if t.prefix}
+        singles = {x for w, t in zip(words, q.terms, strict=True) if not t.prefix for x in w}
+        sums, counts = {}, {}
+        for i, (w, t) in enumerate(zip(words, q.terms, strict=True)):
+            if len(w) == 1:
+                hit = F.col("term").startswith(w[0]) if t.prefix else F.col("term") == w[0]
+                sums[f"f{i}"] = F.sum(F.when(hit, F.col("tf")).otherwise(0))
+            else:
+                for x in w:
+                    sums[f"p_{x}"] = F.first(F.when(F.col("term") == x, F.col("at")), ignorenulls=True)
+                place = [F.transform(F.coalesce(F.col(f"p_{x}"), F.array().cast("array<int>")), _earlier(k)) for k, x in enumerate(w)]
+                both = place[0]
+                for p in place[1:]:
+                    both = F.array_intersect(both, p)
+                counts[f"f{i}"] = F.size(both).cast("long")
+        found = self.terms(singles, prefixes).groupBy("uri", "dl").agg(*(c.alias(k) for k, c in sums.items()))
+        found = found.withColumns(counts) if counts else found
+        found = found.select("uri", "dl", *(f"f{i}" for i in range(len(words))))
+        counted = found.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+        need = [f"f{i} > 0" for i in range(len(q.phrases))]
+        if q.words:
+            need.append("(" + " OR ".join(f"f{i} > 0" for i in range(len(q.phrases), len(words))) + ")")
+        part = lambda i: f"CASE WHEN f{i} > 0 THEN greatest(ln((n - df{i} + 0.5D) / (df{i} + 0.5D)), 1e-6D) * f{i} * {K1 + 1}D / (f{i} + {K1}D * ({1 - B}D + {B}D * dl / a)) ELSE 0D END"
+        rank = "round(-(" + " + ".join(part(i) for i in range(len(words))) + "), 6)"
+        hits = found.where(" AND ".join(need)).crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(self.stats))  # one row each
+        return hits.select("uri", F.expr(rank).alias("rank"))
+
+    def batch(self, queries: list[str]) -> DataFrame:
+        """(query, uri, rank) of many queries of bare words at once, the last word of each a prefix.
+
+        Prefixes meet the words of the index by their first letters, a join for each length of prefix."""
+        rows = [(q, i, folded_words(t.words[0])[0], t.prefix) for q in queries for i, t in enumerate(parse_query(q).words)]
+        wanted = self.spark.createDataFrame(rows, "query string, q int, word string, prefix boolean")
+        exact, begun = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+        held = self.terms({r[2] for r in exact}, {r[2] for r in begun})
+        hit = held.join(wanted.where("NOT prefix"), F.col("term") == F.col("word"))
+        for n in sorted({len(r[2]) for r in begun}):
+            some = wanted.where(f"prefix AND length(word) = {n}")
+            hit = hit.unionByName(held.join(some, F.substring("term", 1, n) == F.col("word")))
+        hit = hit.groupBy("query", "q", "uri", "dl").agg(F.sum("tf").alias("f"))
+        df = hit.groupBy("query", "q").agg(F.count("*").alias("df"))
+        part = F.expr(f"greatest(ln((n - df + 0.5D) / (df + 0.5D)), 1e-6D) * f * {K1 + 1}D / (f + {K1}D * ({1 - B}D + {B}D * dl / a))")
+        return hit.join(df, ["query", "q"]).crossJoin(F.broadcast(self.stats)).groupBy("query", "uri").agg(F.round(-F.sum(part), 6).alias("rank"))  # one row
+
+
+def batch_search(index: SearchIndex, queries: list[str], limit: int = 20) -> DataFrame:
+    """(query, uri, rank, score, pos) of each query's best live rows."""
+    from .search import LIVE, age
+
+    scored = index.batch(queries).join(index.rows.where(LIVE).select("uri", "created_at"), "uri").select("query", "uri", "rank", F.round(F.col("rank") + age(), 6).alias("score"))
     return scored.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("score", "uri")).cast("long")).where(F.col("pos") <= limit)

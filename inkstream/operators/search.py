@@ -1,8 +1,7 @@
-"""Keyword search: match, bm25, recency, filters, dedup, overlay merge and paging.
+"""Keyword search: bm25 over the stored index, recency, filters, dedup, overlay merge and paging.
 
-A query is evaluated in one pass over the corpus without exploding tokens: each row counts its query terms
-in its token array, one aggregate gives document frequencies and the average length, and the top rows are
-taken by a top-N.  Only those rows are hydrated."""
+Matching reads the postings of the query's terms; hits meet the index's rows, which hold no texts, for filters
+and scores, and the best are taken by a top-N.  Texts are read for the snippets of a final page only."""
 
 from __future__ import annotations
 
@@ -11,48 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import AS_OF
-from ..functions.query_text import Parsed, Term, parse_query
+from ..functions.query_text import parse_query
+from .postings import SearchIndex, folded_words, token_words
 
-K1, B = 1.2, 0.75
 LIVE = "coalesce(is_bridgyfed, 0) = 0 AND coalesce(url_dead, 0) = 0"
 
 
-def tokens(text: str) -> Column:
-    return F.expr(f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)")
-
-
-def folded(text: str) -> Column:
-    """Tokens without diacritics."""
-    marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.expr(f"regexp_extract_all(translate(lower({text}), '{marks}', '{plain}'), '[\\\\p{{L}}\\\\p{{N}}]+', 0)")
-
-
-def _frequency(term: Term) -> Column:
-    """How often a term occurs in the token array."""
-    words = [w.lower() for w in term.words]
-    if len(words) > 1:
-        # The token array stands outside every lambda: a filter that is pushed down would tokenise per element.
-        at = f"transform(_t, x -> x = '{words[0]}')"
-        for k, w in enumerate(words[1:], 1):
-            at = f"zip_with({at}, slice(transform(_t, x -> x = '{w}'), {k + 1}, greatest(size(_t) - {k}, 0)), (a, b) -> coalesce(a AND b, false))"
-        return F.expr(f"size(filter({at}, x -> x))")
-    return F.expr(f"size(filter(_t, x -> startswith(x, '{words[0]}')))" if term.prefix else f"size(filter(_t, x -> x = '{words[0]}'))")
-
-
-def matches(docs: DataFrame, query: str | Parsed, text: str = "concat(title, ' ', content)") -> DataFrame:
-    """docs whose text matches, with `rank`: negative, lower is better."""
-    q = parse_query(query) if isinstance(query, str) else query
-    counted = docs.withColumn("_t", tokens(f"coalesce({text}, '')")).withColumn("_dl", F.size("_t"))
-    counted = counted.withColumns({f"_f{i}": _frequency(t) for i, t in enumerate(q.terms)})
-    stats = counted.where("_dl > 0").agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(q.terms))))
-    need = [f"_f{i} > 0" for i in range(len(q.phrases))]
-    if q.words:
-        need.append("(" + " OR ".join(f"_f{i} > 0" for i in range(len(q.phrases), len(q.terms))) + ")")
-    part = lambda i: f"CASE WHEN _f{i} > 0 THEN greatest(ln((_n - _df{i} + 0.5D) / (_df{i} + 0.5D)), 1e-6D) * _f{i} * {K1 + 1}D / (_f{i} + {K1}D * ({1 - B}D + {B}D * _dl / _avg)) ELSE 0D END"
-    rank = "round(-(" + " + ".join(part(i) for i in range(len(q.terms))) + "), 6)"
-    hits = counted.where(" AND ".join(need) if need else "false").crossJoin(F.broadcast(stats))  # one row
-    return hits.withColumn("rank", F.expr(rank)).select(*docs.columns, "rank")
+def ranked_rows(index: SearchIndex, query: str) -> DataFrame:
+    """The index's rows that match, with `rank`."""
+    return index.rows.join(index.matches(query), "uri")
 
 
 def age(created: str = "created_at", as_of: str = AS_OF) -> Column:
@@ -84,29 +50,31 @@ def numbered(df: DataFrame, *order: Column | str, limit: int | None = None) -> D
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def keyword(docs: DataFrame, query: str, limit: int = 20, live: bool = True, **filters) -> DataFrame:
+_SHOWN = ("uri", "did", "title", "created_at", "rank", "score")
+
+
+def keyword(index: SearchIndex, query: str, limit: int = 20, live: bool = True, **filters) -> DataFrame:
     """(uri, did, title, created_at, rank, score, pos).  Statistics are of the whole corpus, filters apply to hits."""
-    hits = matches(docs, query)
+    hits = ranked_rows(index, query)
     hits = filtered(hits.where(LIVE) if live else hits, **filters)
-    return numbered(scored(hits).select("uri", "did", "title", "created_at", "rank", "score"), "score", "uri", limit=limit)
+    return numbered(scored(hits).select(*_SHOWN), "score", "uri", limit=limit)
 
 
-def prefiltered(docs: DataFrame, query: str, limit: int = 20, depth: int = 2000) -> DataFrame:
+def prefiltered(index: SearchIndex, query: str, limit: int = 20, depth: int = 2000) -> DataFrame:
     """Best `depth` by rank alone, then by rank and recency."""
-    best = matches(docs, query).where(LIVE).orderBy("rank", "uri").limit(depth)
-    return numbered(scored(best).select("uri", "did", "title", "created_at", "rank", "score"), "score", "uri", limit=limit)
+    best = ranked_rows(index, query).where(LIVE).orderBy("rank", "uri").limit(depth)
+    return numbered(scored(best).select(*_SHOWN), "score", "uri", limit=limit)
 
 
-def by_publication_text(docs: DataFrame, publications: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
+def by_publication_text(index: SearchIndex, publications: SearchIndex, query: str, limit: int = 20, **filters) -> DataFrame:
     """Documents of the publications that match; the publication's rank counts."""
-    pubs = matches(publications, query, "concat_ws(' ', name, description, base_path)").select(F.col("uri").alias("publication_uri"), "rank")
-    hits = filtered(docs.where(LIVE), **filters).join(pubs, "publication_uri")
-    return numbered(scored(hits).select("uri", "did", "title", "created_at", "rank", "score"), "score", "uri", limit=limit)
+    pubs = publications.matches(query).withColumnRenamed("uri", "publication_uri")
+    hits = filtered(index.rows.where(LIVE), **filters).join(pubs, "publication_uri")
+    return numbered(scored(hits).select(*_SHOWN), "score", "uri", limit=limit)
 
 
-def publications(pubs: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    hits = matches(pubs, query, "concat_ws(' ', name, description, base_path)")
-    return numbered(hits.select("uri", "name", "base_path", "rank"), "rank", "uri", limit=limit)
+def publications(index: SearchIndex, query: str, limit: int = 20) -> DataFrame:
+    return numbered(ranked_rows(index, query).select("uri", "name", "base_path", "rank"), "rank", "uri", limit=limit)
 
 
 def deduped(rows: DataFrame, *order: str) -> DataFrame:
@@ -115,22 +83,22 @@ def deduped(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1 OR did = '' OR title = ''").drop("_r")
 
 
-def blocks(docs: DataFrame, pubs: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def blocks(index: SearchIndex, pubs: SearchIndex, query: str, limit: int = 20) -> DataFrame:
     """Documents, then documents by publication text, then publications; first uri wins, then first (did, title)."""
     cols = ["block", "uri", "did", "title", "score"]
-    a = keyword(docs, query, 100).withColumn("block", F.lit(0)).select(cols)
-    b = by_publication_text(docs, pubs, query, 100).withColumn("block", F.lit(1)).select(cols)
-    c = publications(pubs, query, 100).join(pubs.select("uri", "did"), "uri").select(F.lit(2).alias("block"), "uri", "did", F.col("name").alias("title"), F.col("rank").alias("score"))
+    a = keyword(index, query, 100).withColumn("block", F.lit(0)).select(cols)
+    b = by_publication_text(index, pubs, query, 100).withColumn("block", F.lit(1)).select(cols)
+    c = publications(pubs, query, 100).join(pubs.rows.select("uri", "did"), "uri").select(F.lit(2).alias("block"), "uri", "did", F.col("name").alias("title"), F.col("rank").alias("score"))
     rows = a.unionByName(b).unionByName(c)
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("uri").orderBy("block", "score"))).where("_r = 1").drop("_r")
     return numbered(deduped(first, "block", "score", "uri"), "block", "score", "uri", limit=limit)
 
 
-def overlay_merge(snapshot: DataFrame, overlay: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Snapshot and overlay hits by score; overlay first on ties.  Overlay hits and tombstones hide snapshot rows."""
-    new = scored(matches(overlay.where("deleted = 0"), query).where("coalesce(is_bridgyfed, 0) = 0")).orderBy("score", "uri").limit(50).select("uri", "did", "title", "score", F.lit(0).alias("layer"))
-    hidden = new.select("uri").unionByName(overlay.where("deleted = 1").select("uri"))
-    old = scored(matches(snapshot, query).where(LIVE)).join(hidden, "uri", "left_anti").select("uri", "did", "title", "score", F.lit(1).alias("layer"))
+def overlay_merge(snapshot: SearchIndex, overlay: SearchIndex, deleted: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Snapshot and overlay hits by score; overlay first on ties.  Overlay hits and deleted uris hide snapshot rows."""
+    new = scored(ranked_rows(overlay, query).where("coalesce(is_bridgyfed, 0) = 0")).orderBy("score", "uri").limit(50).select("uri", "did", "title", "score", F.lit(0).alias("layer"))
+    hidden = new.select("uri").unionByName(deleted.select("uri"))
+    old = scored(ranked_rows(snapshot, query).where(LIVE)).join(hidden, "uri", "left_anti").select("uri", "did", "title", "score", F.lit(1).alias("layer"))
     return numbered(old.unionByName(new), "score", "layer", "uri", limit=limit)
 
 
@@ -141,14 +109,15 @@ def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     return cut.where((F.col("pos") > offset) & (F.col("pos") <= offset + limit)).crossJoin(F.broadcast(more)).withColumn("has_more", F.col("_last") > offset + limit).drop("_last")
 
 
-def snippet(text: str, terms: list[str], size: int = 32) -> str:
-    """The window of `size` tokens that holds most query words, the earliest of those; cut ends are marked."""
+def snippet(text: str, terms: list[str], size: int = 32, begun: tuple[str, ...] = ()) -> str:
+    """The window of `size` tokens that holds most query words or words that begin so, the earliest; cut ends are marked."""
     import re
 
     found = list(re.finditer(r"[^\W_]+", text, re.UNICODE))
     if len(found) <= size:
         return text
-    hit = [m.group().lower() in {t.lower() for t in terms} for m in found]
+    wanted = set(terms)
+    hit = [any(w in wanted or w.startswith(begun) for w in folded_words(m.group())) if begun else bool(wanted.intersection(folded_words(m.group()))) for m in found]
     best, at, now = -1, 0, sum(hit[:size])
     for i in range(len(found) - size + 1):
         if i:
@@ -161,10 +130,12 @@ def snippet(text: str, terms: list[str], size: int = 32) -> str:
 
 def with_snippets(rows: DataFrame, docs: DataFrame, query: str) -> DataFrame:
     """Snippets of a final page only."""
-    words = [w for t in parse_query(query).terms for w in t.words]
+    terms = parse_query(query).terms
+    words = [w for t in terms if not t.prefix for w in token_words(t)]
+    begun = tuple(w for t in terms if t.prefix for w in token_words(t))
 
     @F.pandas_udf("string")
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: snippet(x or "", words))
+        return s.map(lambda x: snippet(x or "", words, begun=begun))
 
     return rows.join(docs.select("uri", "content"), "uri").withColumn("snippet", cut("content")).drop("content")

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: The projection of the test tables.
@@ -53,6 +55,31 @@ SELECT uri, did, rkey, doc_id, CASE WHEN indexed_at <= '2024-01-20T00:00:00' THE
     "a_source": "SELECT uri, did, rkey, title, path, publication_uri, created_at, title || '|' || content AS fingerprint FROM p_documents",
     "a_target": "SELECT uri, did, rkey, CASE WHEN doc_id % 17 = 0 THEN 'old ' || title ELSE title END AS title, path, CASE WHEN doc_id % 19 = 0 THEN '' ELSE publication_uri END AS publication_uri, title || '|' || content AS fingerprint FROM p_documents WHERE doc_id % 11 <> 0",
     "a_snapshot": "SELECT uri FROM p_documents WHERE doc_id % 13 <> 0",
+    # Two sides of a reconciliation, and the repositories with their policy, audit and classifier state.
+    "l_repos": """
+SELECT did, CASE WHEN n % 41 = 7 THEN 'banned' WHEN n % 43 = 11 THEN 'bridgy' ELSE 'eligible' END AS policy, CASE WHEN n % 37 = 13 THEN 'gone' WHEN n % 31 = 17 THEN 'error' ELSE 'complete' END AS audit_status,
+ CASE n % 5 WHEN 0 THEN 'labeled' WHEN 1 THEN 'rejected' WHEN 2 THEN 'vetoed' WHEN 3 THEN 'pending' END AS state, CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END AS kept FROM (SELECT DISTINCT did, CAST(substr(did, 10) AS INT) AS n FROM p_documents) r""",
+    "l_source": """
+SELECT uri, did, rkey, 'c' || CAST(doc_id AS STRING) AS cid, title, path, publication_uri, CASE WHEN doc_id % 59 = 0 THEN 'no_content' WHEN doc_id % 61 = 0 THEN 'no_title' ELSE 'eligible' END AS eligibility, md5(title || '|' || content) AS fingerprint
+ FROM p_documents WHERE doc_id % 29 <> 0""",
+    "l_target": """
+SELECT uri, did, rkey, CASE WHEN doc_id % 2 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN 'old' ELSE 'c' || CAST(doc_id AS STRING) END AS cid, CASE WHEN doc_id % 17 = 0 THEN 'old ' || title ELSE title END AS title, CASE WHEN doc_id % 53 = 0 THEN '' ELSE path END AS path,
+ CASE WHEN doc_id % 19 = 0 THEN NULL ELSE publication_uri END AS publication_uri, source_collection AS collection FROM p_documents WHERE doc_id % 11 <> 0
+UNION ALL SELECT 'at://' || did || '/com.whtwnd.blog.entry/' || rkey, did, rkey, NULL, title, '', publication_uri, 'com.whtwnd.blog.entry' FROM p_documents WHERE doc_id % 33 = 0 AND doc_id % 2 = 1
+UNION ALL SELECT 'at://' || did || '/site.standard.document/z' || rkey, did, 'z' || rkey, NULL, title, path, publication_uri, 'site.standard.document' FROM p_documents WHERE doc_id % 66 = 0""",
+    # A batch of documents that meets stored ones: new and changed texts, renames, cross-posts, sites in place of publications.
+    "w_publications": """
+SELECT uri, did, rkey, name, description, rkey || CASE n % 4 WHEN 1 THEN '.leaflet.pub' WHEN 2 THEN '.pckt.blog' ELSE '.example/' END AS base_path, show_in_discover, CASE WHEN n % 6 = 4 THEN 'pckt' ELSE 'other' END AS platform, '2024-01-02T00:00:00' AS indexed_at
+ FROM (SELECT *, CAST(substr(rkey, 4) AS INT) AS n FROM p_publications) p""",
+    "w_stored": """
+SELECT 'at://' || did || '/' || collection || '/' || rkey AS uri, did, rkey, title, content, created_at, publication_uri, platform, collection AS source_collection, path, base_path, has_publication, md5(coalesce(title, '') || chr(0) || coalesce(content, '')) AS content_hash, cover_image, indexed_at, is_bridgyfed,
+ CASE WHEN doc_id % 6 = 0 THEN 'pub.leaflet.content' ELSE '' END AS content_type, 'c' || CAST(doc_id AS STRING) AS source_cid, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE indexed_at END AS embedded_at
+ FROM (SELECT *, CASE WHEN doc_id % 12 = 1 THEN 'com.whtwnd.blog.entry' ELSE source_collection END AS collection FROM p_documents WHERE doc_id % 4 <> 0) d""",
+    "w_batch": """
+SELECT 'at://' || did || '/' || source_collection || '/' || rk AS uri, did, rk AS rkey, CASE WHEN doc_id % 9 = 0 THEN 'new ' || title ELSE title END AS title, content, created_at,
+ CASE WHEN doc_id % 15 = 0 THEN 'https://blog' || CAST(doc_id % 9 AS STRING) || '.example/' WHEN doc_id % 21 = 0 THEN 'https://x.example/notes/' WHEN doc_id % 28 = 0 THEN 'https://dev.test/' ELSE publication_uri END AS publication_uri,
+ CASE doc_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'other' WHEN 2 THEN 'leaflet' ELSE 'pckt' END AS platform, source_collection, path, cover_image, CASE WHEN doc_id % 10 = 0 THEN 'pub.leaflet.content' WHEN doc_id % 14 = 0 THEN 'pub.lemma.page' END AS content_type, 'c' || CAST(doc_id AS STRING) AS source_cid,
+ CASE WHEN doc_id % 45 = 0 THEN 'author' END AS visibility, doc_id FROM (SELECT *, CASE WHEN doc_id % 24 = 5 THEN 'n' || rkey ELSE rkey END AS rk FROM p_documents WHERE doc_id % 3 = 0 OR doc_id % 4 <= 1) d""",
     "a_vectors": "SELECT d.uri FROM p_documents d JOIN embeddings e ON e.vec_id = d.doc_id",
 }
 _NAME = re.compile(r"\b(" + "|".join((*VIEWS, *BASE_TABLES)) + r")\b")
@@ -95,6 +122,10 @@ class Corpus:
             self._known[name] = self.sql(VIEWS[name]) if name in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._known[name]
 
+    def state(self) -> str:
+        """A name for the state of the tables that the views of documents read."""
+        return store.state(self.spark, f"{self.sf_dir}/documents.parquet")
+
     def sql(self, text: str) -> DataFrame:
         """A query whose table names are those of the corpus."""
         parts = re.split(r"('[^']*')", text)
