@@ -298,11 +298,11 @@ class Toxicity:
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, (lexicon, base) = Deobfuscator(model.value), fitted.value
-            least = min((len(e) for e in lexicon), default=0)
+            heads = {e.rstrip("*")[: STARTS[0]] for e in lexicon}  # what a word must begin with to count
             for b in it:
                 score, found = [], []
                 for text in binary(b["text"]):
-                    words = [w for w in d.restored(text.decode()) if len(w) >= least - 2] if text else []
+                    words = [w for w in d.restored(text.decode()) if w[: STARTS[0]] in heads] if text else []
                     best: dict[str, tuple[float, str]] = {}  # of each word, and of the words that begin alike
                     begun: Counter = Counter()
                     for w in words:
