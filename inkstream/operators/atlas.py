@@ -6,7 +6,6 @@ from ..functions.common import ranked
 
 _POINT = "SELECT vec_id, label, CAST(@ELEM(embedding, 1) AS DOUBLE) AS x, CAST(@ELEM(embedding, 2) AS DOUBLE) AS y FROM embeddings"
 _CELL = 0.5
-_TERMS = "SELECT e.label, d.did, d.uri, w.term FROM (SELECT uri, did, doc_id, @UNNEST(@TOKENS(title)) AS term FROM p_documents) w JOIN embeddings e ON e.vec_id = w.doc_id JOIN p_documents d ON d.uri = w.uri WHERE length(w.term) >= 4"
 _STATUS = "SELECT uri, CASE WHEN doc_id % 23 = 0 THEN 404 WHEN doc_id % 29 = 0 THEN 403 WHEN doc_id % 31 = 0 THEN 500 ELSE 200 END AS status, is_bridgyfed FROM p_documents"
 
 MAP = {
@@ -18,15 +17,8 @@ SELECT p.vec_id AS a, n.vec_id AS b, round(sqrt((p.x - n.x) * (p.x - n.x) + (p.y
     # Mean distance to the centre, and the root mean square of those within twice of it.
     "map_lantern": f"""WITH p AS ({_POINT}), c AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY label), d AS (SELECT p.label, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM p JOIN c ON c.label = p.label),
 m AS (SELECT label, avg(sqrt(d2)) AS r FROM d GROUP BY label) SELECT d.label, round(any_value(m.r) * 2, 6) AS radius, round(sqrt(avg(d2)), 6) AS lantern, count(*) AS n FROM d JOIN m ON m.label = d.label WHERE sqrt(d2) <= 2 * m.r GROUP BY d.label""",
-    # Search on the map: hits weigh n - i in the centre, and the zoom covers the furthest.
-    "map_search_overlay": f"""WITH h AS (SELECT vec_id, x, y, 20 - row_number() OVER (ORDER BY vec_id) + 1 AS w FROM (SELECT * FROM ({_POINT}) q ORDER BY vec_id LIMIT 20) t), c AS (SELECT sum(x * w) / sum(w) AS cx, sum(y * w) / sum(w) AS cy FROM h)
-SELECT round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 6) AS reach, round(greatest(1.0, least(8.0, 1.0 / max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))))), 6) AS zoom FROM h CROSS JOIN c""",
-    "cluster_labels_tfidf": f"""WITH t AS ({_TERMS}), f AS (SELECT label, term, count(*) AS tf FROM t GROUP BY label, term), df AS (SELECT term, count(*) AS df FROM f GROUP BY term), n AS (SELECT count(DISTINCT label) AS n FROM t)
-SELECT label, term, score, r FROM (SELECT f.label, f.term, round(f.tf * (ln((1.0 + n.n) / (1.0 + df.df)) + 1), 6) AS score, CAST(row_number() OVER (PARTITION BY f.label ORDER BY round(f.tf * (ln((1.0 + n.n) / (1.0 + df.df)) + 1), 6) DESC, f.term) AS BIGINT) AS r FROM f JOIN df ON df.term = f.term CROSS JOIN n) x WHERE r <= 3""",
     "cluster_platform": "SELECT label, platform, n FROM (SELECT label, platform, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, first_id) AS r FROM (SELECT e.label, d.platform, count(*) AS n, min(d.doc_id) AS first_id FROM embeddings e JOIN p_documents d ON d.doc_id = e.vec_id GROUP BY e.label, d.platform) y) x WHERE r = 1",
     "publication_centroids": f"SELECT d.base_path, count(*) AS n, round(avg(p.x), 6) AS x, round(avg(p.y), 6) AS y FROM ({_POINT}) p JOIN p_documents d ON d.doc_id = p.vec_id WHERE d.base_path <> '' GROUP BY d.base_path HAVING count(*) >= 2",
-    "label_popularity": ranked("SELECT p.uri, p.name, round(ln(1 + COALESCE(s.n, 0)) + ln(1 + COALESCE(r.n, 0)), 6) AS weight FROM p_publications p LEFT JOIN (SELECT publication_uri, count(*) AS n FROM p_documents GROUP BY publication_uri) s ON s.publication_uri = p.uri LEFT JOIN (SELECT d.publication_uri, count(*) AS n FROM p_recommends e JOIN p_documents d ON d.uri = e.document_uri GROUP BY d.publication_uri) r ON r.publication_uri = p.uri", "weight DESC, uri", 50),
-    "publication_size_score": "SELECT p.uri, round(0.6 * sqrt(COALESCE(d.n, 0)) + 0.4 * sqrt(COALESCE(s.n, 0)), 6) AS score FROM p_publications p LEFT JOIN (SELECT publication_uri, count(*) AS n FROM p_documents GROUP BY publication_uri) d ON d.publication_uri = p.uri LEFT JOIN (SELECT publication_did, publication_rkey, count(DISTINCT did) AS n FROM p_subscriptions GROUP BY publication_did, publication_rkey) s ON s.publication_did = p.did AND s.publication_rkey = p.rkey",
     "publication_covers": "SELECT publication_uri, min(NULLIF(cover_image, '')) AS cover FROM p_documents WHERE publication_uri <> '' GROUP BY publication_uri",
 }
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..functions.common import AS_OF, LIVE, ranked, when
 
-_UNIT = {"7d": ("day", 7), "30d": ("day", 30), "90d": ("week", 90), "1y": ("month", 365), "all": (None, None)}
+#: Range -> bucket and how many days before today it begins.
+_UNIT = {"7d": ("day", 6), "30d": ("day", 29), "90d": ("day", 89), "1y": ("week", 364), "all": (None, None)}
 
 
 def timeline(span: str, field: str) -> str:
@@ -63,8 +64,6 @@ FACTS = {
     "facts_new_authors": f"SELECT count(*) AS n FROM (SELECT did FROM p_documents GROUP BY did HAVING min({_INDEXED}) >= {_RECENT}) x",
     "facts_other_platforms": "SELECT count(*) AS n FROM p_documents WHERE platform NOT IN ('leaflet', 'pckt', 'whitewind', 'offprint')",
     "facts_per_platform": "SELECT platform, count(*) AS n, count(DISTINCT did) AS authors, CAST(sum(length(content)) AS BIGINT) AS chars FROM p_documents GROUP BY platform",
-    "facts_first_arrival": "SELECT platform, uri, indexed_at FROM (SELECT platform, uri, indexed_at, row_number() OVER (PARTITION BY platform ORDER BY indexed_at, uri) AS r FROM p_documents WHERE @TS(created_at) IS NOT NULL) x WHERE r = 1",
-    "facts_deepest_import": ranked("SELECT uri, round((@EPOCH(@TS(indexed_at)) - @EPOCH(@TS(created_at))) / 86400.0, 6) AS days FROM p_documents WHERE @TS(created_at) IS NOT NULL AND (@EPOCH(@TS(indexed_at)) - @EPOCH(@TS(created_at))) / 86400.0 > 90", "days DESC, uri", 1),
     "facts_longest": ranked("SELECT uri, length(content) - length(replace(content, ' ', '')) + 1 AS words FROM (SELECT uri, content FROM p_documents ORDER BY length(content) DESC, uri LIMIT 10) x", "words DESC, uri", 1),
     "author_aggregates": "SELECT did, count(*) AS n, count(DISTINCT publication_uri) AS publications, round(avg(length(content)), 6) AS avg_length FROM p_documents GROUP BY did HAVING count(*) >= 5",
     "legacy_counter_events": "SELECT query, @SERIES(CAST(1 AS BIGINT), CAST(least(n, 5) AS BIGINT)) AS seq FROM (SELECT lower(trim(query)) AS query, count(*) AS n FROM p_search_events GROUP BY lower(trim(query))) x WHERE length(query) >= 2",

@@ -23,6 +23,14 @@ def distances(vectors: DataFrame, vec_id: int) -> DataFrame:
     return near.select("vec_id", "label", F.round(d, 8).alias("distance"))
 
 
+def nearest(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(vec_id, distance) of all vectors to a given one."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    near = vectors.withColumn("_q", q)
+    d = 1 - dot("embedding", "_q") / F.sqrt(dot("embedding", "embedding") * dot("_q", "_q"))
+    return near.select("vec_id", F.round(d, 8).alias("distance"))
+
+
 def top_k(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:
     return numbered(distances(vectors, vec_id), "distance", "vec_id", limit=k)
 
@@ -54,11 +62,23 @@ def fused(first: DataFrame, second: DataFrame, limit: int = 20) -> DataFrame:
     return numbered(both, F.desc("fusion"), "uri", limit=limit)
 
 
+def upper_median(values: DataFrame, column: str, bins: int = 10_000) -> DataFrame:
+    """(median): the value at floor(n / 2) of the ascending values, from zero.
+
+    Counts by bin find the bin that holds it, and only that bin's values are put in order."""
+    binned = values.select(F.col(column).alias("v"), F.floor(F.col(column) * bins).alias("bin"))
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy("bin").agg(F.count("*").alias("n"))  # at most `bins` rows for a unit of values
+    placed = counts.crossJoin(F.broadcast(counts.agg(F.floor(F.sum("n") / 2).alias("k")))).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))  # one row
+    at = placed.where("before <= k AND k < before + n").select("bin", (F.col("k") - F.col("before") + 1).alias("r"))
+    return binned.join(at, "bin").withColumn("i", F.row_number().over(Window.partitionBy("bin").orderBy("v"))).where("i = r").agg(F.max("v").alias("median"))
+
+
 def distance_report(vectors: DataFrame, vec_id: int) -> DataFrame:
     """Least, largest and upper median distance, and how many lie under some thresholds."""
     d = distances(vectors, vec_id).where(F.col("vec_id") != vec_id)
-    w = d.withColumn("_i", F.row_number().over(Window.orderBy("distance", "vec_id")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return w.agg(F.min("distance").alias("least"), F.max("distance").alias("most"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("distance"))).alias("median"), F.count_if(F.col("distance") < 0.5).alias("under_05"), F.count_if(F.col("distance") < 1.0).alias("under_10"))
+    sums = d.agg(F.min("distance").alias("least"), F.max("distance").alias("most"), F.count_if(F.col("distance") < 0.5).alias("under_05"), F.count_if(F.col("distance") < 1.0).alias("under_10"))
+    return sums.crossJoin(upper_median(d, "distance"))
 
 
 def distance_histogram(vectors: DataFrame, vec_id: int) -> DataFrame:
@@ -81,11 +101,16 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return vectors.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("value"), F.count("*").alias("n"))
 
 
+#: Labels up to which their centroids are broadcast.
+FEW_LABELS = 5_000
+
+
 def nearest_centroid(vectors: DataFrame) -> DataFrame:
-    """Each vector's label by the nearest centroid; the centroids, a row per label, are broadcast."""
+    """Each vector's label by the nearest centroid; the centroids, a row per label, are broadcast while they are few."""
     mean = vectors.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("v"))
     mean = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("_c")).withColumnRenamed("label", "near")
     d = F.expr("aggregate(zip_with(embedding, _c, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), 0D, (s, x) -> s + x)")
-    each = vectors.crossJoin(F.broadcast(mean)).withColumn("_d", F.round(d, 9))
+    few = vectors.agg(F.approx_count_distinct("label")).first()[0] <= FEW_LABELS
+    each = vectors.crossJoin(F.broadcast(mean) if few else mean).withColumn("_d", F.round(d, 9))
     best = each.groupBy("vec_id", "label").agg(F.min(F.struct("_d", "near")).alias("b"))
     return best.select("vec_id", "label", F.col("b.near").alias("near"), F.round(F.sqrt("b._d"), 6).alias("distance"))

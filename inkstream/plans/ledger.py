@@ -227,16 +227,16 @@ _VOTES = "WITH r AS (SELECT d.did, d.doc_id, l.quality, row_number() OVER (PARTI
 
 
 PLANS: dict[str, Plan] = {
-    "ledger_items": (items, with_views(_ITEMS + "SELECT did, uri, action, reason, decision FROM planned")),
+    "reconcile_plan": (items, with_views(_ITEMS + "SELECT did, uri, action, reason, decision FROM planned")),
     "ledger_repo_plans": (lambda c: ledger.repo_plans(repos(c), items(c), CAP), with_views(_ITEMS + "SELECT * FROM plans")),
-    "ledger_summary": (lambda c: ledger.summary(items(c), ledger.repo_plans(repos(c), items(c), CAP)), with_views(_ITEMS + "SELECT 'items' AS section, action || ':' || decision AS name, count(*) AS n FROM planned GROUP BY action, decision UNION ALL SELECT 'repos', decision, count(*) FROM plans GROUP BY decision")),
+    "reconcile_summary": (lambda c: ledger.summary(items(c), ledger.repo_plans(repos(c), items(c), CAP)), with_views(_ITEMS + "SELECT 'items' AS section, action || ':' || decision AS name, count(*) AS n FROM planned GROUP BY action, decision UNION ALL SELECT 'repos', decision, count(*) FROM plans GROUP BY decision")),
     "ledger_selected": (_selected, with_views(_ITEMS + _SELECTED)),
     "ledger_marked": (_marked, with_views(_ITEMS + "SELECT action, CASE WHEN action = 'delete' THEN 'done' ELSE status END AS status, CASE WHEN action = 'delete' THEN 'deleted' END AS outcome, count(*) AS n, CAST(sum(CASE WHEN action = 'delete' THEN 1 ELSE 0 END) AS BIGINT) AS attempts FROM run GROUP BY 1, 2, 3")),
     "ledger_outcomes": (_outcomes, with_views(_OUTCOMES)),
     "ledger_guards": (_guards, _GUARDS),
     "ledger_policies": (_policies, with_views(_POLICIES)),
     "write_admitted": (lambda c: _written(c).select("uri", "verdict", "stale_uri", "base_path", "platform", "has_publication"), with_views(_WRITTEN + "SELECT uri, verdict, stale_uri, base_path, platform, CASE WHEN publication_uri <> '' THEN 1 ELSE 0 END AS has_publication FROM w")),
-    "write_documents": (_after, with_views(_WRITTEN + _AFTER)),
+    "upsert_documents": (_after, with_views(_WRITTEN + _AFTER)),
     "write_tags": (lambda c: writes.replaced_tags(c.p_document_tags, _written(c)), with_views(_WRITTEN + "SELECT document_uri, tag FROM p_document_tags WHERE document_uri NOT IN (SELECT uri FROM w) AND document_uri NOT IN (SELECT stale_uri FROM w WHERE stale_uri IS NOT NULL) UNION ALL SELECT uri, 'lang' FROM w UNION ALL SELECT uri, 'even' FROM w WHERE doc_id % 2 = 0 UNION ALL SELECT uri, 'art' FROM w WHERE doc_id % 3 = 0")),
     "write_text_index": (lambda c: writes.reindexed(c.w_stored, _written(c)), with_views(_WRITTEN + "SELECT stale_uri AS uri, 'delete' AS op FROM w WHERE stale_uri IS NOT NULL UNION ALL SELECT uri, 'delete' FROM w WHERE verdict <> 'same_document' AND uri IN (SELECT uri FROM w_stored) UNION ALL SELECT uri, 'insert' FROM w WHERE verdict <> 'same_document'")),
     "write_cid_gate": (lambda c: c.w_batch.join(c.w_stored.select("uri", F.col("source_cid").alias("old"), F.length("content").alias("n")), "uri", "left").select("uri", F.expr("coalesce(" + writes.cid_gate_skips("old", "CASE WHEN doc_id % 8 = 0 THEN NULL ELSE source_cid END", "n", "length(substr(content, 1, 300))") + ", false)").alias("skips")), with_views("SELECT b.uri, EXISTS (SELECT 1 FROM w_stored s WHERE s.uri = b.uri AND s.source_cid = b.source_cid AND length(s.content) > least(300, length(b.content))) AND b.doc_id % 8 <> 0 AS skips FROM w_batch b")),

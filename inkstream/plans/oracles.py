@@ -114,3 +114,10 @@ NEAREST = """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v
 c AS (SELECT label, list(v ORDER BY i) AS v FROM m GROUP BY label),
 d AS (SELECT e.vec_id, e.label, c.label AS near, round(list_sum([(CAST(e.embedding[i] AS DOUBLE) - c.v[i]) * (CAST(e.embedding[i] AS DOUBLE) - c.v[i]) FOR i IN range(1, len(c.v) + 1)]), 9) AS d FROM embeddings e CROSS JOIN c)
 SELECT vec_id, label, near, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS r FROM d) x WHERE r = 1"""
+
+
+def neighbourhood(vec_id: int, k: int = 20) -> str:
+    near = f"SELECT vec_id FROM ({_near(vec_id)}) n WHERE vec_id <> {vec_id} ORDER BY distance, vec_id LIMIT {k}"
+    return with_views(f"""WITH r AS (SELECT d.* FROM p_documents d WHERE d.doc_id IN (SELECT vec_id FROM ({near}) x)),
+w AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_distinct([x FOR x IN regexp_extract_all(lower(title), '[\\p{{L}}]+') IF length(x) >= 4])) AS t FROM r) y GROUP BY t HAVING count(*) >= 2 ORDER BY n DESC, t LIMIT 10)
+SELECT count(*) AS n, count(DISTINCT did) AS authors, count(DISTINCT platform) AS platforms, coalesce((SELECT string_agg(t, ',' ORDER BY n DESC, t) FROM w), '') AS terms FROM r""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import atlas, metrics, policy, postings, search, social, vectors
 from ..operators.postings import SearchIndex
 from ..sources.projection import Corpus, with_views
-from . import ledger
+from . import ledger, maps, sources
 from . import oracles as o
 from .portable import Portable
 
@@ -65,7 +65,6 @@ _PLANS: dict[str, tuple[Callable[[Corpus], DataFrame], str]] = {
     "hybrid_rrf": (lambda c: vectors.fused(search.keyword(documents(c), "the", 75), vectors.semantic(c.embeddings, c.p_documents, 7, limit=75)), o.hybrid("the", 7)),
     "distance_report": (lambda c: vectors.distance_report(c.embeddings, 7), o.distance_report(7)),
     "distance_histogram": (lambda c: vectors.distance_histogram(c.embeddings, 7), o.distance_histogram(7)),
-    "cluster_context": (lambda c: vectors.neighbourhood(c.embeddings, c.p_documents, 7), ""),
     "cluster_centroids": (lambda c: vectors.centroids(c.embeddings), o.CENTROIDS),
     "outlier_assign": (lambda c: vectors.nearest_centroid(c.embeddings), o.NEAREST),
 }
@@ -79,7 +78,7 @@ def _bound(plan: Callable[[Corpus], DataFrame]) -> Query:
     return lambda spark, sf_dir: plan(Corpus(spark, sf_dir))
 
 
-_ALL = _PLANS | ledger.PLANS
+_ALL = _PLANS | ledger.PLANS | maps.PLANS | sources.PLANS
 
 
 def queries() -> dict[str, Query]:

@@ -55,6 +55,10 @@ SELECT uri, did, rkey, doc_id, CASE WHEN indexed_at <= '2024-01-20T00:00:00' THE
     "a_source": "SELECT uri, did, rkey, title, path, publication_uri, created_at, title || '|' || content AS fingerprint FROM p_documents",
     "a_target": "SELECT uri, did, rkey, CASE WHEN doc_id % 17 = 0 THEN 'old ' || title ELSE title END AS title, path, CASE WHEN doc_id % 19 = 0 THEN '' ELSE publication_uri END AS publication_uri, title || '|' || content AS fingerprint FROM p_documents WHERE doc_id % 11 <> 0",
     "a_snapshot": "SELECT uri FROM p_documents WHERE doc_id % 13 <> 0",
+    # Documents whose record key tells the time of writing; for some it agrees with the time of arrival, for others it does not.
+    "t_documents": f"""
+SELECT uri, title, did, platform, is_bridgyfed, indexed_at, CASE WHEN doc_id % 3 = 0 THEN indexed_at ELSE created_at END AS created_at, {" || ".join(f"substr('234567abcdefghijklmnopqrstuvwxyz', 1 + CAST((v >> {5 * k}) & 31 AS INT), 1)" for k in range(12, -1, -1))} AS rkey
+ FROM (SELECT *, (1704067200 + (doc_id % 30) * 86400 + CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 5 = 1 THEN 43200 ELSE 8640000 END) * CAST(1024000000 AS BIGINT) + doc_id % 1024 AS v FROM p_documents) d""",
     # Two sides of a reconciliation, and the repositories with their policy, audit and classifier state.
     "l_repos": """
 SELECT did, CASE WHEN n % 41 = 7 THEN 'banned' WHEN n % 43 = 11 THEN 'bridgy' ELSE 'eligible' END AS policy, CASE WHEN n % 37 = 13 THEN 'gone' WHEN n % 31 = 17 THEN 'error' ELSE 'complete' END AS audit_status,
@@ -122,10 +126,19 @@ class Corpus:
             self._known[name] = self.sql(VIEWS[name]) if name in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._known[name]
 
+    def with_table(self, name: str, df: DataFrame) -> Corpus:
+        """The corpus with another frame in place of a table, such as a micro-batch of it."""
+        self._known[name] = df
+        return self
+
     def state(self) -> str:
         """A name for the state of the tables that the views of documents read."""
         return store.state(self.spark, f"{self.sf_dir}/documents.parquet")
 
+    def catalog(self, names: tuple[str, ...] = ("documents", "embeddings", "events", "labels")) -> DataFrame:
+        """(name, columns) of the tables that must be there."""
+        return self.spark.createDataFrame([(n, len(getattr(self, n).columns)) for n in names], "name string, columns long")
+
     def sql(self, text: str) -> DataFrame:
         """A query whose table names are those of the corpus."""
         parts = re.split(r"('[^']*')", text)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
+import time
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 READY = "_ready"
 
@@ -57,3 +60,33 @@ def mark_ready(spark: SparkSession, path: str) -> None:
 
 def is_ready(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/{READY}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.option("pathGlobFilter", "*").text(path).collect())
+
+
+def cached(spark: SparkSession, name: str, build: Callable[[], DataFrame], seconds: float, now: float | None = None) -> DataFrame:
+    """A result that is computed again once it is older than `seconds`; the last good one stays when that fails.
+
+    A version is written beside the others and named by the pointer only when it is complete."""
+    now = time.time() if now is None else now
+    base = f"{folder(spark)}/cache-{name}"
+    last = json.loads(read_text(spark, f"{base}/pointer")) if exists(spark, f"{base}/pointer") else None
+    if last is None or now - last["at"] > seconds:
+        try:
+            version = f"{base}/v{int(now * 1000)}"
+            build().write.mode("overwrite").parquet(version)
+            write_text(spark, f"{base}/pointer", json.dumps({"at": now, "path": version}))
+            last = {"at": now, "path": version}
+        except Exception:
+            if last is None:
+                raise
+    return spark.read.parquet(last["path"])

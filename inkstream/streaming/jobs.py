@@ -88,6 +88,13 @@ def label_changes(labels: DataFrame, cursor: int) -> DataFrame:
     return labels.where(F.col("seq") > cursor)
 
 
+def label_backfill(labels: DataFrame, cursor: int) -> DataFrame:
+    """(seq, ..., error): the labels after a cursor, or the one error of a cursor beyond the log."""
+    last = labels.agg(F.max("seq").alias("_last")).where(f"coalesce(_last, 0) < {cursor}")
+    error = last.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in labels.schema), F.lit("FutureCursor").alias("error"))
+    return label_changes(labels, cursor).withColumn("error", F.lit(None).cast("string")).unionByName(error)
+
+
 def resume_point(cursor: str = "v") -> str:
     """SQL: a stored cursor is a time in microseconds from 1e15 on, a sequence number below."""
     return f"CASE WHEN {cursor} >= 1000000000000000 THEN struct('time' AS kind, {cursor} AS at) ELSE struct('seq' AS kind, {cursor} AS at) END"
