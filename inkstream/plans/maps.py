@@ -62,7 +62,7 @@ c AS (SELECT count(*) AS found, sum(x * w) / sum(w) AS cx, sum(y * w) / sum(w) A
 SELECT found, round(cx, 6) AS cx, round(cy, 6) AS cy, round(greatest(4.0, least(15.0, CASE WHEN d > 0 THEN least(500.0, 0.3 / d) ELSE 6.0 END)), 6) AS zoom FROM c, d WHERE found > 0"""
 
 _SIZES = "SELECT p.uri, round(0.06 * sqrt((SELECT count(*) FROM p_documents d WHERE d.publication_uri = p.uri)) + 0.9 * sqrt((SELECT count(DISTINCT s.did) FROM p_subscriptions s WHERE s.publication_did = p.did AND s.publication_rkey = p.rkey)), 6) AS score FROM p_publications p"
-_ORDER = """WITH b AS (SELECT uri, w FROM (SELECT r.document_uri AS uri, count(DISTINCT r.did) AS w, any_value(coalesce(d.created_at, '')) AS at FROM p_recommends r JOIN p_documents d ON d.uri = r.document_uri GROUP BY r.document_uri) x ORDER BY w DESC, at DESC, uri LIMIT 250),
+_ORDER = """WITH b AS (SELECT uri, w FROM (SELECT r.document_uri AS uri, count(DISTINCT r.did) AS w, any_value(coalesce(d.created_at, '')) AS made FROM p_recommends r JOIN p_documents d ON d.uri = r.document_uri GROUP BY r.document_uri) x ORDER BY w DESC, made DESC, uri LIMIT 250),
 n AS (SELECT base_path, count(*) AS n FROM p_documents WHERE base_path <> '' GROUP BY base_path)
 SELECT d.uri, round(ln(1 + coalesce(n.n, 0)) + coalesce(6.0 + ln(1 + b.w), 0.0), 6) AS weight FROM p_documents d LEFT JOIN n ON n.base_path = d.base_path LEFT JOIN b ON b.uri = d.uri"""
 
