@@ -20,13 +20,13 @@ def timeline(span: str, field: str) -> str:
 
 
 DASHBOARD = {
-    "dashboard_stats": """SELECT d.documents, d.bridged, d.with_publication, d.without_publication, p.publications, t.tags, r.recommends, s.subscriptions, e.searches FROM
- (SELECT count(*) AS documents, count(CASE WHEN is_bridgyfed = 1 THEN 1 END) AS bridged, count(CASE WHEN has_publication = 1 THEN 1 END) AS with_publication, count(CASE WHEN has_publication = 0 THEN 1 END) AS without_publication FROM p_documents) d
- CROSS JOIN (SELECT count(*) AS publications FROM p_publications) p CROSS JOIN (SELECT count(DISTINCT tag) AS tags FROM p_document_tags) t CROSS JOIN (SELECT count(*) AS recommends FROM p_recommends) r
- CROSS JOIN (SELECT count(*) AS subscriptions FROM p_subscriptions) s CROSS JOIN (SELECT count(*) AS searches FROM p_search_events) e""",
+    "dashboard_stats": """SELECT d.documents, p.publications, e.searches, x.errors, x.started_at, v.embeddings, d.bridged, d.last_indexed FROM
+ (SELECT count(*) AS documents, count(CASE WHEN COALESCE(is_bridgyfed, 0) = 1 THEN 1 END) AS bridged, COALESCE(CAST(@EPOCH(@TS(max(indexed_at))) AS BIGINT), 0) AS last_indexed FROM p_documents) d
+ CROSS JOIN (SELECT count(*) AS publications FROM p_publications) p CROSS JOIN (SELECT count(*) AS searches FROM p_search_events) e
+ CROSS JOIN (SELECT count(CASE WHEN endpoint = 'error' THEN 1 END) AS errors, CAST(floor(@EPOCH(min(ts))) AS BIGINT) AS started_at FROM p_requests) x CROSS JOIN (SELECT count(*) AS embeddings FROM a_vectors) v""",
     "dashboard_platforms": "SELECT CASE WHEN is_bridgyfed = 1 THEN 'bridgy fed' ELSE platform END AS platform, count(*) AS n FROM p_documents GROUP BY 1",
     "dashboard_tags": ranked("SELECT tag, count(*) AS n FROM p_document_tags GROUP BY tag", "n DESC, tag", 100),
-    "dashboard_top_pubs": ranked(f"SELECT p.name, p.base_path, count(*) AS n FROM (SELECT publication_uri FROM p_documents WHERE {LIVE}) d JOIN p_publications p ON p.uri = d.publication_uri GROUP BY p.name, p.base_path", "n DESC, name", 8),
+    "dashboard_top_pubs": ranked("SELECT p.name, p.base_path, count(*) AS n FROM (SELECT publication_uri FROM p_documents WHERE COALESCE(is_bridgyfed, 0) = 0) d JOIN p_publications p ON p.uri = d.publication_uri GROUP BY p.uri, p.name, p.base_path", "n DESC, name, base_path", 8),
     "popular": ranked("SELECT query, count(*) AS n FROM p_search_events WHERE searched_at >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY query", "n DESC, query", 5),
     "search_retention": "SELECT count(*) AS kept FROM p_search_events WHERE searched_at >= TIMESTAMP '2023-11-02 00:00:00'",
     "freshness": "SELECT max(indexed_at) AS newest, count(*) AS n, count(NULLIF(cover_image, '')) AS covers FROM p_documents",
@@ -50,21 +50,25 @@ SELECT h.endpoint, h.hour, COALESCE(b.n, 0) AS n, round(COALESCE(CAST(b.sum_us A
     "counters": "SELECT b.n + COALESCE(d.n, 0) AS total FROM (SELECT count(*) AS n FROM p_search_events WHERE searched_at < TIMESTAMP '2024-01-20 00:00:00') b CROSS JOIN (SELECT count(*) AS n FROM p_search_events WHERE searched_at >= TIMESTAMP '2024-01-20 00:00:00') d",
 }
 
-_INDEXED = "@DAY(indexed_at)"
 _RECENT = f"@MINUS_DAYS({AS_OF}, 30)"
+_TOLD = "COALESCE(is_bridgyfed, 0) = 0"
+#: The first day whose arrivals were seen as they came, characters of a novel.
+EPOCH, NOVEL = "2024-01-02", 500_000
+_WORDS = "CASE WHEN trim(content) = '' THEN 0 ELSE length(@GSUB(@GSUB(trim(content), '[^ \t\n\r]+', 'x'), '[ \t\n\r]+', '')) END"
 FACTS = {
     "facts_tags": ranked("SELECT tag, count(*) AS n FROM p_document_tags GROUP BY tag", "n DESC, tag", 6),
     "facts_tags_once": "SELECT count(*) AS n FROM (SELECT tag FROM p_document_tags GROUP BY tag HAVING count(*) = 1) x",
-    "facts_prolific": ranked("SELECT did, count(*) AS n FROM p_documents GROUP BY did", "n DESC, did", 1),
-    "facts_single_authors": "SELECT count(CASE WHEN n = 1 THEN 1 END) AS single, count(*) AS authors FROM (SELECT did, count(*) AS n FROM p_documents GROUP BY did) x",
-    "facts_recent_share": f"SELECT count(CASE WHEN {_INDEXED} >= {_RECENT} THEN 1 END) AS recent, count(*) AS n FROM p_documents",
-    "facts_busiest_day": ranked("SELECT substr(indexed_at, 1, 10) AS day, count(*) AS n FROM p_documents GROUP BY substr(indexed_at, 1, 10)", "n DESC, day", 1),
-    "facts_largest_publication": ranked("SELECT p.name, count(*) AS n FROM p_documents d JOIN p_publications p ON p.uri = d.publication_uri GROUP BY p.name", "n DESC, name", 1),
-    "facts_size": "SELECT count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars, count(NULLIF(cover_image, '')) AS covers, round(count(NULLIF(cover_image, '')) * 100.0 / count(*), 6) AS cover_percent, round(sum(length(content)) / 500000.0, 6) AS novels FROM p_documents",
-    "facts_new_authors": f"SELECT count(*) AS n FROM (SELECT did FROM p_documents GROUP BY did HAVING min({_INDEXED}) >= {_RECENT}) x",
-    "facts_other_platforms": "SELECT count(*) AS n FROM p_documents WHERE platform NOT IN ('leaflet', 'pckt', 'whitewind', 'offprint')",
+    "facts_prolific": ranked(f"SELECT did, count(*) AS n FROM p_documents WHERE {_TOLD} GROUP BY did", "n DESC, did", 1),
+    "facts_single_authors": f"SELECT count(CASE WHEN n = 1 THEN 1 END) AS single, count(*) AS authors FROM (SELECT did, count(*) AS n FROM p_documents WHERE {_TOLD} GROUP BY did) x",
+    "facts_recent_share": f"SELECT count(CASE WHEN created_at >= @DATE_TEXT({_RECENT}) THEN 1 END) AS recent, count(*) AS n FROM p_documents WHERE {_TOLD}",
+    "facts_busiest_day": ranked(f"SELECT substr(indexed_at, 1, 10) AS day, count(*) AS n FROM p_documents WHERE {_TOLD} AND indexed_at >= '{EPOCH}' GROUP BY substr(indexed_at, 1, 10)", "n DESC, day", 1),
+    "facts_largest_publication": ranked(f"SELECT p.name, p.base_path, count(*) AS n FROM p_documents d JOIN p_publications p ON p.uri = d.publication_uri WHERE {_TOLD} GROUP BY p.uri, p.name, p.base_path", "n DESC, name", 1),
+    "facts_publications": "SELECT count(*) AS n FROM p_publications",
+    "facts_size": f"SELECT count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars, count(NULLIF(cover_image, '')) AS covers, CAST(round(count(NULLIF(cover_image, '')) * 100.0 / count(*), 6) AS DOUBLE) AS cover_percent, CAST(round(sum(length(content)) / {NOVEL}.0, 6) AS DOUBLE) AS novels FROM p_documents WHERE {_TOLD}",
+    "facts_new_authors": f"SELECT count(*) AS n FROM (SELECT did FROM p_documents WHERE {_TOLD} GROUP BY did HAVING min(indexed_at) >= @DATE_TEXT({_RECENT})) x",
+    "facts_other_platforms": f"SELECT count(*) AS n FROM p_documents WHERE {_TOLD} AND platform = 'other'",
     "facts_per_platform": "SELECT platform, count(*) AS n, count(DISTINCT did) AS authors, CAST(sum(length(content)) AS BIGINT) AS chars FROM p_documents GROUP BY platform",
-    "facts_longest": ranked("SELECT uri, length(content) - length(replace(content, ' ', '')) + 1 AS words FROM (SELECT uri, content FROM p_documents ORDER BY length(content) DESC, uri LIMIT 10) x", "words DESC, uri", 1),
+    "facts_longest": ranked(f"SELECT uri, {_WORDS} AS words FROM (SELECT uri, content FROM p_documents WHERE {_TOLD} ORDER BY length(content) DESC, uri LIMIT 10) x", "words DESC, uri", 1),
     "author_aggregates": "SELECT did, count(*) AS n, count(DISTINCT publication_uri) AS publications, round(avg(length(content)), 6) AS avg_length FROM p_documents GROUP BY did HAVING count(*) >= 5",
     "legacy_counter_events": "SELECT query, @SERIES(CAST(1 AS BIGINT), CAST(least(n, 5) AS BIGINT)) AS seq FROM (SELECT lower(trim(query)) AS query, count(*) AS n FROM p_search_events GROUP BY lower(trim(query))) x WHERE length(query) >= 2",
     "last_recommend": f"SELECT r.did, max({when()}) AS last_at FROM p_recommends r GROUP BY r.did",
