@@ -27,7 +27,8 @@ The plan, none of whose steps holds a group of documents in one task or lists pa
    components are found.
 5. Sets whose signatures are shared by several components are paired across components as well, by the
    shingles of the common-order prefix, of which a linked pair has one in common.  Shingles of few sets list
-   their pairs; the sets of commoner ones are compared in blocks by their sketches.
+   their pairs.  The sets of commoner ones go on to pairs of shingles, of a prefix longer by one, of which a
+   linked pair has two in common; only those of pairs that are still common are compared in blocks by sketches.
 """
 
 from __future__ import annotations
@@ -158,14 +159,14 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def across_components(block, rows: list[tuple[int, int, int, bytes, bytes]], num: int, den: int) -> tuple[list[int], list[int]]:
-    """The pairs of a block of sets (document, component, size, sketch, prefix) that share its shingle, lie in
-    different components and may link.  A pair comes only from the least shingle that its prefixes share."""
+    """The pairs of a block of sets (document, component, size, sketch, prefix) that share its shingles, lie in
+    different components and may link.  A pair comes only from the least second shingle that its prefixes share."""
     out: tuple[list[int], list[int]] = ([], [])
     if len(rows) < 2 or all(r[1] == rows[0][1] for r in rows):
         return out
     doc, place, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
     width = np.array([len(r[3]) for r in rows])
-    key = np.uint64(block[0] & (1 << 64) - 1)
+    key, second = (np.uint64(x & (1 << 64) - 1) for x in block[:2])
     kinds = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
     bits = {w: np.frombuffer(b"".join(rows[i][3] for i in at), np.uint8).reshape(len(at), w) for w, at in kinds.items()}
     for w, x in kinds.items():
@@ -186,7 +187,9 @@ def across_components(block, rows: list[tuple[int, int, int, bytes, bytes]], num
                     good = differ * (den + num) <= (den - num) * (n[i[s]] + n[y[t]])
                     for a, b in zip(i[s[good]].tolist(), y[t[good]].tolist(), strict=True):
                         both = np.intersect1d(np.frombuffer(rows[a][4], np.uint64), np.frombuffer(rows[b][4], np.uint64), assume_unique=True)
-                        if len(both) and both[0] == key:
+                        if second != key:
+                            both = both[both != key]
+                        if len(both) and both[0] == second:
                             out[0].append(min(int(doc[a]), int(doc[b])))
                             out[1].append(max(int(doc[a]), int(doc[b])))
     return out
@@ -419,12 +422,18 @@ class JaccardJoin:
             return done.limit(0)
         opened = placed.mapInArrow(spread, "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
 
-        def listed(rows: DataFrame) -> DataFrame:
+        def listed(rows: DataFrame, by: list[str]) -> DataFrame:
             """The pairs across components of keys with few sets."""
             x, y = rows.where(f"many <= {FEW}").alias("x"), rows.where(f"many <= {FEW}").alias("y")
-            met = x.join(y, F.expr(f"x.key = y.key AND x.component < y.component AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
+            same = " AND ".join(f"x.{c} = y.{c}" for c in by)
+            met = x.join(y, F.expr(f"{same} AND x.component < y.component AND least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
             return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
+        def held_by_several(rows: DataFrame, by: list[str]) -> DataFrame:
+            """The rows of keys whose sets lie in several components, with how many sets have the key."""
+            wide = rows.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+            return staged(rows.join(wide.select(*by, "many"), by))
+
         def tested(pairs: DataFrame) -> DataFrame:
             return self._possible(pairs.distinct().join(done, ["a", "b"], "left_anti"), sketches)
 
@@ -434,26 +443,32 @@ class JaccardJoin:
                 rows = []
                 for _, s in shingle_sets(binary(b["text"]), k):
                     m = len(s) - needed(len(s), num, den) + 1
-                    rare = np.sort(s[np.lexsort((s, known[(s >> U(_SHIFT)).astype(np.int64)]))[:m]])
-                    rows.append((len(s), sketch(s), rare.tobytes(), rare.view(np.int64)))
-                n, bits, held, keys = zip(*rows, strict=True) if rows else ([], [], [], [])
-                yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "doc_id long, component long, n long, bits binary, held binary, keys array<long>"))
-        each = full.select(F.explode("keys").alias("key"), "doc_id", "n", "component")
-        wide = each.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-        shared = staged(each.join(wide.select("key", "many"), "key"))
-        near = tested(listed(shared))
-        # The sets of a common shingle are compared in a grid of blocks of about 1,024.
-        grid = shared.where(f"many > {FEW}").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
-        grid = grid.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
-        grid = grid.join(full.select("doc_id", "component", "n", "bits", "held"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+                    rare = s[np.lexsort((s, known[(s >> U(_SHIFT)).astype(np.int64)]))[: m + 1]]
+                    more = np.sort(rare)
+                    rows.append((len(s), sketch(s), more.tobytes(), np.sort(rare[:m]).view(np.int64), more.view(np.int64)))
+                n, bits, held, keys, more = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+                longs = pa.list_(pa.int64())
+                yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "keys": pa.array(keys, longs), "more": pa.array(more, longs)})
+
+        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "doc_id long, component long, n long, bits binary, held binary, keys array<long>, more array<long>"))
+        shared = held_by_several(full.select(F.explode("keys").alias("key"), "doc_id", "n", "component"), ["key"])
+        # A linked pair of different sets has two shingles in common, if the threshold is above a half.
+        hot = shared.where(f"many > {FEW}").select("key", "doc_id").join(full.select("doc_id", "n", "component", "more"), "doc_id")
+        second = F.explode("more") if 2 * num > den else F.col("key")
+        two = hot.select("key", second.alias("second"), "doc_id", "n", "component").where("second <> key" if 2 * num > den else "true")
+        twice = held_by_several(two, ["key", "second"])
+        near = tested(listed(shared, ["key"]).unionByName(listed(twice, ["key", "second"])))
+        # The sets of what is still common are compared in a grid of blocks of about 1,024.
+        grid = twice.where(f"many > {FEW}").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
+        by = ["key", "second", "p", "q"]
+        grid = grid.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "second", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+        grid = grid.join(full.select("doc_id", "component", "n", "bits", "held"), "doc_id").repartition(*by).sortWithinPartitions(*by)
 
         def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, rows = None, []
             for b in it:
                 found = []
-                for *block, doc, place, n, bits, held in zip(*(b[c].to_pylist() for c in ("key", "p", "q", "doc_id", "component", "n", "bits", "held")), strict=True):
+                for *block, doc, place, n, bits, held in zip(*(b[c].to_pylist() for c in (*by, "doc_id", "component", "n", "bits", "held")), strict=True):
                     if block != at:
                         found.append(across_components(at, rows, num, den))
                         at, rows = block, []

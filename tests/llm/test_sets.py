@@ -20,7 +20,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def components(rows):
+def components(rows, num=4, den=5):
     sets = {i: shingles(t) for i, t in rows}
     up = {i: i for i in sets}
 
@@ -33,7 +33,7 @@ def components(rows):
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if a < b and sets[a] and sets[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and den * both >= num * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -58,6 +58,25 @@ def test_jaccard_of_chains_of_near_copies(spark):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize(("few", "num", "den"), [(1, 4, 5), (3, 4, 5), (1, 1, 2)])
+def test_common_shingles_lose_no_link(spark, monkeypatch, few, num, den):
+    """Many sets share shingles of their prefixes; pairs across components come through pairs of shingles and blocks."""
+    from inkstream.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "FEW", few)
+    monkeypatch.setattr(j, "PARTNERS", 1)
+    r = random.Random(few * den)
+    word = lambda: f"u{r.random()}"
+    stem = [word() for _ in range(30)]
+    rows = []
+    for i in range(90):
+        w = stem[: r.choice((20, 25, 30))] + [word() for _ in range(r.choice((0, 1, 2, 5, 9)))]
+        rows.append((i * 5 % 91, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in JaccardJoin(num=num, den=den).components(df).collect()}
+    assert got == components(rows, num, den)
+
+
 def test_jaccard_of_nothing(empty):
     assert JaccardJoin().components(empty).collect() == []
 
@@ -120,6 +139,44 @@ def test_repeated_rows_do_not_precede_each_other(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 40)]
 
 
+def test_phrases_of_one_anchor_are_told_apart(monkeypatch):
+    """Marks of an automaton with and without crowds, and by brute force: many phrases share their middle words."""
+    import numpy as np
+
+    from inkstream.llm import substring_dedup as d
+
+    r = random.Random(8)
+    word = lambda: f"x{r.randrange(400)}".encode()
+    middle = [word() for _ in range(5)]
+    phrases = []
+    for k in range(60):
+        words = [word() for _ in range(r.randint(15, 25))]
+        at = r.randint(0, len(words))
+        phrases.append((k, 0, words[:at] + middle + words[at:], [at]))
+    text = []
+    for k in range(40):
+        held = phrases[r.randrange(60)][2]
+        lo = r.randint(0, max(0, len(held) - 20))
+        text += held[lo : lo + r.randint(15, 30)] + [word() for _ in range(3)]
+    want = np.zeros(len(text), bool)
+    for _, _, held, (at,) in phrases:
+        for i in range(len(text) - 4):
+            if text[i : i + 5] == middle:
+                lo, hi = 0, 5
+                while lo < min(i, at) and text[i - lo - 1] == held[at - lo - 1]:
+                    lo += 1
+                while i + hi < len(text) and at + hi < len(held) and text[i + hi] == held[at + hi]:
+                    hi += 1
+                if lo + hi >= 20:
+                    want[i - lo : i + hi] = True
+    assert want.any() and not want.all()
+    for many in (0, 16, 1000):
+        monkeypatch.setattr(d, "_MANY", many)
+        gone = np.zeros(len(text), bool)
+        d._Automaton(phrases, 20).mark(10**6, text, gone)
+        assert (gone == want).all(), many
+
+
 def test_substring_dedup_of_nothing(empty):
     assert SubstringDedup().dedup(empty).collect() == []
 
