@@ -306,6 +306,31 @@ class SubstringDedup:
         return self._cut(documents, others, True).select(*(at[c].alias(c) for c in documents.columns))
 
 
+#: Phrases of one anchor from which on they are told apart by the words beside it.
+_MANY = 16
+
+
+class _Crowd:
+    """The phrases of a common anchor, by the words before it and by those after it.
+
+    An equal run of `size` words around an anchor has `half` equal words on one side of it at least."""
+
+    def __init__(self, hits: list[tuple[int, int]], phrases: list[tuple[int, int, np.ndarray]], size: int):
+        self.half = (size - GRAM + 1) // 2
+        self.left: dict[bytes, list[tuple[int, int]]] = {}
+        self.right: dict[bytes, list[tuple[int, int]]] = {}
+        for k, a in hits:
+            codes = phrases[k][2]
+            if a >= self.half:
+                self.left.setdefault(codes[a - self.half : a].tobytes(), []).append((k, a))
+            if a + GRAM + self.half <= len(codes):
+                self.right.setdefault(codes[a + GRAM : a + GRAM + self.half].tobytes(), []).append((k, a))
+
+    def at(self, codes: np.ndarray, i: int) -> list[tuple[int, int]]:
+        before = self.left.get(codes[i - self.half : i].tobytes(), []) if i >= self.half else []
+        return before + self.right.get(codes[i + GRAM : i + GRAM + self.half].tobytes(), [])
+
+
 class _Automaton:
     """Phrases as strings of word codes, found by their anchors."""
 
@@ -321,7 +346,7 @@ class _Automaton:
             for a in anchors:
                 seeds.setdefault(symbols[3 * a : 3 * (a + GRAM)], []).append((k, a))
         for s, hits in seeds.items():
-            self.machine.add_word(s, hits)
+            self.machine.add_word(s, _Crowd(hits, self.phrases, size) if len(hits) > _MANY else hits)
         self.machine.make_automaton()
 
     def mark(self, doc: int, words: list[bytes], gone: np.ndarray) -> None:
@@ -331,7 +356,7 @@ class _Automaton:
         done: dict[tuple[int, int], int] = {}
         for end, hits in self.machine.iter(_symbols(codes)):
             i = end // 3 - GRAM + 1
-            for k, a in hits:
+            for k, a in hits.at(codes, i) if isinstance(hits, _Crowd) else hits:
                 if done.get((k, i - a), -1) >= i:
                     continue
                 home, at, phrase = self.phrases[k]
