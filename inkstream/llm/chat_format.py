@@ -8,7 +8,9 @@ transition table says which orders of turns are valid.
 
 A long conversation is formatted in chunks of turns that are joined last, so that rows of one conversation
 spread over tasks; a chunk carries the machine's state function, and functions compose.  A null role, turn
-or text is an empty one (turn: first); null conversation ids form one conversation.
+or text is an empty one (turn: first); null conversation ids form one conversation.  Repeated turns stay, next to
+each other; turns of one number are a tie that role and text decide, and lie in one chunk.  A text of any length
+is one segment; an empty table gives no conversations, and other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

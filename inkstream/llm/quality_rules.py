@@ -1,7 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 A word is a run of characters other than 0x20 and 0x09-0x0D.  Null texts are empty: they have no words and
-fail the base rules.  Repeated words are those in windows of eight words that occur twice or more in the
+fail the base rules.  Very long texts are measured whole; repeated rows and rows that share a doc_id are judged
+each by itself, a ratio that equals its bound passes, an empty table gives none, and other columns are not read,
+whatever their names.  Repeated words are those in windows of eight words that occur twice or more in the
 text; windows are compared by a 64-bit hash of their words' 64-bit hashes.
 """
 
