@@ -7,7 +7,10 @@ piece and emitted full, and what is left of the piece opens a window in its plac
 leaves is full.  What is still open at the end of each partition is laid end to end over all partitions and
 cut at multiples of `size`: only the last sequence of all is not full.
 
-A null text is an empty one; each document has its end token, so none is without a piece.
+A null text is an empty one; each document has its end token, so none is without a piece.  Rows that share a
+doc_id, repeated rows among them, are documents of their own.  Very long texts fill whole sequences.  Of windows
+with equal room the older one is taken.  An empty table gives no pieces; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import pairwise, repeat
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,8 @@ from .words import batches
 
 #: Sequence ids of merged leftovers start here; before it they are partition << 32 | number.
 MERGED = 1 << 62
-_CACHE = 600_000
+#: Words that a tokenizer remembers, and those that stay when there are too many: the first met, mostly the common ones.
+_CACHE, _KEPT = 400_000, 250_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -42,6 +46,13 @@ def _byte_alphabet() -> dict[int, str]:
 _BYTES = _byte_alphabet()
 
 
+class _Places(dict):
+    """Where a word's ids begin; -1 for a word that is not known."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class WordTokenizer:
     """A tokenizer of lower case whose pre-tokens never cross white space, run once for each distinct word.
 
@@ -50,7 +61,7 @@ class WordTokenizer:
     #: A pre-token of its own that stands between words given to the tokenizer at once.
     _MARK = "\x01"
     #: A full stop or comma after a letter or digit and before white space is a pre-token of its own.
-    _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
+    _STOP = re.compile(rb"([.,])(?=[ \n]|$)(?<=[a-z0-9][.,])")
 
     _SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
@@ -67,13 +78,15 @@ class WordTokenizer:
         self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the mark must be one token")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.cut = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """All words but the first."""
+        self.place = _Places(islice(self.place.items(), _KEPT))
+        self.cut = self.cut[: len(self.place) + 1]
+
     def _learn(self, words: list[bytes]) -> None:
         simple = [w for w in words if self._SIMPLE(w)]
         if simple:
@@ -101,7 +114,7 @@ class WordTokenizer:
         self.cut = np.concatenate([self.cut, used + np.cumsum(sizes)])
 
     def _codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         for _, part in batches(texts):
@@ -115,10 +128,10 @@ class WordTokenizer:
             at = self._codes(words)
             if (at < 0).any():
                 new = list({words[i] for i in np.flatnonzero(at < 0).tolist()})
-                if len(self.place) + len(new) > _CACHE and self.place:
-                    self._reset()
-                    new = list(set(words))
-                    at[:] = -1
+                if len(self.place) + len(new) > _CACHE:
+                    self._forget()
+                    at[at >= len(self.place)] = -1
+                    new = list({words[i] for i in np.flatnonzero(at < 0).tolist()})
                 self._learn(new)
                 todo = np.flatnonzero(at < 0)
                 at[todo] = self._codes([words[i] for i in todo.tolist()])
@@ -130,6 +143,17 @@ class WordTokenizer:
                 yield np.append(out[a:b], np.uint32(self.end))
 
 
+#: The tokenizer of this process with the words that it has learnt; one task of a worker hands it to the next.
+_ready: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def _tokenizer(path: str, end: int) -> WordTokenizer:
+    if (path, end) not in _ready:
+        _ready.clear()
+        _ready[path, end] = WordTokenizer(path, end)
+    return _ready[path, end]
+
+
 class _Packer:
     def __init__(self, size: int, limit: int, part: int):
         self.size, self.limit, self.next = size, limit, part << 32
@@ -191,7 +215,7 @@ class Packing:
         path, end, size, limit, names, kinds = self.path, self.end, self.size, self.open_windows, self._NAMES, self._KINDS
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens = WordTokenizer(path, end)
+            tokens = _tokenizer(path, end)
             part = TaskContext.get().partitionId()
             packer = _Packer(size, limit, part)
 
