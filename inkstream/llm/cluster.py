@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
@@ -84,6 +85,51 @@ def dealt(df: DataFrame, n: int, bucket: str = "bucket"):
     return df.withColumn(bucket, F.col(bucket).cast("int")).repartitionById(n, F.col(bucket)).groupBy(bucket)
 
 
+def release() -> None:
+    """Gives this worker's free memory back: workers stay for other tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """The function of a task over batches, after which its worker gives memory back."""
+
+    def task(it):
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return task
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same of a group."""
+
+    def task(t):
+        try:
+            return run(t)
+        finally:
+            release()
+
+    return task
+
+
+def lean_pair(run: Callable) -> Callable:
+    """The same of two groups of one key."""
+
+    def task(a, b):
+        try:
+            return run(a, b)
+        finally:
+            release()
+
+    return task
+
+
 def binary(col) -> list[bytes | None]:
     """An Arrow column of strings as UTF-8 bytes."""
     if isinstance(col, pa.ChunkedArray):
@@ -151,14 +197,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     no component in one task, and is written to the shared folder.  Partitions contract their own links
     before each round, so chains shrink by more than the star rounds alone would do."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = staged(e.mapInArrow(_contract, "u long, v long"))
+    e = staged(e.mapInArrow(lean(_contract), "u long, v long"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().mapInArrow(_contract, "u long, v long").distinct())
+        e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().mapInArrow(lean(_contract), "u long, v long").distinct())
         inner = e.select("v").distinct().join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         if inner.isEmpty() and not e.groupBy("u").count().where("count > 1").limit(1).count():
             break

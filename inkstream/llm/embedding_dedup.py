@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import Forest, connected_components, staged, tidy
+from .cluster import Forest, connected_components, lean, lean_group, staged, tidy
 
 _USABLE = "label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
 
@@ -119,7 +119,7 @@ class EmbeddingDedup:
                     yield pa.record_batch({"label": t["label"], "dim": t["dim"], "cell": pa.array(cell.astype(np.int64)), "home": pa.array(home), "rep": t["rep"], "many": t["many"], "embedding": t["embedding"]})
 
         kind = classes.schema["label"].dataType.simpleString()
-        cells = staged(classes.select("label", "dim", "rep", "many", "embedding").mapInArrow(place, f"label {kind}, dim int, cell long, home boolean, rep long, many long, embedding array<double>"))
+        cells = staged(classes.select("label", "dim", "rep", "many", "embedding").mapInArrow(lean(place), f"label {kind}, dim int, cell long, home boolean, rep long, many long, embedding array<double>"))
         key = ["label", "dim", "cell"]
         sizes = cells.groupBy(*key).agg(F.expr(f"(count_if(home) + {self.block - 1}) div {self.block}").alias("rows"), F.expr(f"(count(*) + {self.block - 1}) div {self.block}").alias("cols")).where("rows > 0")
         dealt = cells.join(sizes, key)
@@ -154,7 +154,7 @@ class EmbeddingDedup:
                 pa.table({"rep": none(len(u)), "links": none(len(u)), "u": pa.array(u, pa.int64()), "v": pa.array(w, pa.int64())}),
             ])
 
-        met = staged(homes.unionByName(members).groupBy(*key, "i", "j").applyInArrow(meet, "rep long, links long, u long, v long"))
+        met = staged(homes.unionByName(members).groupBy(*key, "i", "j").applyInArrow(lean_group(meet), "rep long, links long, u long, v long"))
         links = met.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
         comp = connected_components(met.where("u IS NOT NULL").select("u", "v"))
         found = classes.join(links, "rep", "left").join(comp, classes.rep == comp.node, "left")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary, buckets, connected_components, dealt, groups, staged, tidy
+from .cluster import binary, buckets, connected_components, dealt, groups, lean, lean_group, staged, tidy
 from .words import U, Words, batches, mix, windows
 
 SLOTS = 1 << 18
@@ -264,7 +264,7 @@ class JaccardJoin:
             none = pa.nulls(_RANGES, pa.int64())
             yield pa.record_batch({"doc_id": none, "n": none, "fp1": none, "fp2": none, "span": pa.array(range(_RANGES), pa.int64()), "seen": pa.array([x.tobytes() for x in seen.reshape(_RANGES, -1)], pa.binary())})
 
-        return self._two(docs).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, span long, seen binary")
+        return self._two(docs).mapInArrow(lean(run), "doc_id long, n long, fp1 long, fp2 long, span long, seen binary")
 
     @staticmethod
     def _counted(profile: DataFrame) -> np.ndarray:
@@ -274,7 +274,7 @@ class JaccardJoin:
             total = np.sum([np.frombuffer(x, np.int64) for x in t["seen"].to_pylist()], axis=0)
             return pa.table({"span": t["span"][:1], "seen": pa.array([total.tobytes()], pa.binary())})
 
-        parts = profile.where("span IS NOT NULL").select("span", "seen").groupBy("span").applyInArrow(add, "span long, seen binary").collect()
+        parts = profile.where("span IS NOT NULL").select("span", "seen").groupBy("span").applyInArrow(lean_group(add), "span long, seen binary").collect()
         out = np.zeros((_RANGES, SLOTS // _RANGES), np.int64)
         for r in parts:
             out[r.span] = np.frombuffer(bytes(r.seen), np.int64)
@@ -328,8 +328,8 @@ class JaccardJoin:
             ids, at = np.unique(_joined(t, "doc", np.int64), return_inverse=True)
             return pa.table({"doc_id": ids, "hits": np.bincount(at, weights=_joined(t, "hits", np.int64), minlength=len(ids)).astype(np.int64)})
 
-        sent = self._two(docs).mapInArrow(send, "bucket long, key binary, doc binary, direct binary")
-        hits = dealt(dealt(sent, n_buckets).applyInArrow(meet, "to long, doc binary, hits binary"), n_buckets, "to").applyInArrow(total, "doc_id long, hits long")
+        sent = self._two(docs).mapInArrow(lean(send), "bucket long, key binary, doc binary, direct binary")
+        hits = dealt(dealt(sent, n_buckets).applyInArrow(lean_group(meet), "to long, doc binary, hits binary"), n_buckets, "to").applyInArrow(lean_group(total), "doc_id long, hits long")
         # Any member may have gone on for its class; the class survives by the member with most hits.
         rep = hits.join(placed, "doc_id").groupBy("rep", "n").agg(F.max("hits").alias("hits"))
         return rep.where(f"hits >= greatest(1, ((n * {num} + {den - 1}) div {den}) div 10)").select(F.col("rep").alias("doc_id"))
@@ -375,8 +375,8 @@ class JaccardJoin:
             found = np.unique(np.concatenate([found, _joined(t, "direct", np.int64).reshape(-1, 2)]), axis=0)
             return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-        sent = kept.select("doc_id", "text").mapInArrow(send, "bucket long, key binary, doc binary, size binary, direct binary")
-        return dealt(sent, n_buckets).applyInArrow(meet, "a long, b long").distinct()
+        sent = kept.select("doc_id", "text").mapInArrow(lean(send), "bucket long, key binary, doc binary, size binary, direct binary")
+        return dealt(sent, n_buckets).applyInArrow(lean_group(meet), "a long, b long").distinct()
 
     # ---- 5: pairs across components
 
@@ -416,11 +416,11 @@ class JaccardJoin:
                         key = signatures(s, known[(s >> U(_SHIFT)).astype(np.int64)], num, den).view(np.int64)
                         yield pa.record_batch({"key": pa.array(key), "doc_id": pa.array(np.full(len(key), ids[i], np.int64))})
 
-        sent = placed.mapInArrow(send, "bucket long, key binary, place binary, direct binary")
-        keys = staged(dealt(sent, n_buckets).applyInArrow(still_open, "key long"))
+        sent = placed.mapInArrow(lean(send), "bucket long, key binary, place binary, direct binary")
+        keys = staged(dealt(sent, n_buckets).applyInArrow(lean_group(still_open), "key long"))
         if keys.isEmpty():
             return done.limit(0)
-        opened = placed.mapInArrow(spread, "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
+        opened = placed.mapInArrow(lean(spread), "key long, doc_id long").join(keys, "key", "left_semi").select("doc_id").distinct()
 
         def listed(rows: DataFrame, by: list[str]) -> DataFrame:
             """The pairs across components of keys with few sets."""
@@ -450,7 +450,7 @@ class JaccardJoin:
                 longs = pa.list_(pa.int64())
                 yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "keys": pa.array(keys, longs), "more": pa.array(more, longs)})
 
-        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(prefix, "doc_id long, component long, n long, bits binary, held binary, keys array<long>, more array<long>"))
+        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(lean(prefix), "doc_id long, component long, n long, bits binary, held binary, keys array<long>, more array<long>"))
         shared = held_by_several(full.select(F.explode("keys").alias("key"), "doc_id", "n", "component"), ["key"])
         # A linked pair of different sets has two shingles in common, if the threshold is above a half.
         hot = shared.where(f"many > {FEW}").select("key", "doc_id").join(full.select("doc_id", "n", "component", "more"), "doc_id")
@@ -477,7 +477,7 @@ class JaccardJoin:
             a, b = across_components(at, rows, num, den)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        pairs = grid.mapInArrow(meet, "a long, b long").distinct()
+        pairs = grid.mapInArrow(lean(meet), "a long, b long").distinct()
         return near.unionByName(pairs.join(done, ["a", "b"], "left_anti")).distinct()
 
     # ---- exact verification
@@ -493,7 +493,7 @@ class JaccardJoin:
                     bits.append(sketch(s))
                 yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-        return kept.mapInArrow(run, "doc_id long, n long, bits binary")
+        return kept.mapInArrow(lean(run), "doc_id long, n long, bits binary")
 
     def _possible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """The pairs whose sketches differ in no more bits than linked sets can."""
@@ -511,7 +511,7 @@ class JaccardJoin:
 
         one = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
         two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
-        return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+        return pairs.join(one, "a").join(two, "b").mapInArrow(lean(run), "a long, b long")
 
     def _verified(self, pairs: DataFrame, kept: DataFrame) -> DataFrame:
         """Links among the pairs (a, b).  Each chunk of at most about 64 partners meets its a once."""
@@ -539,7 +539,7 @@ class JaccardJoin:
                 yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
         together = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
-        return together.mapInArrow(run, "u long, v long")
+        return together.mapInArrow(lean(run), "u long, v long")
 
     @tidy
     def components(self, docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .cluster import GROUP_BYTES, binary, buckets, staged, tidy
+from .cluster import GROUP_BYTES, binary, buckets, lean, staged, tidy
 from .words import U, mix
 
 #: Up to so many sources their parameters are broadcast; beyond it they are joined by a shuffle.
@@ -206,7 +206,7 @@ class Mixing:
 
         text = F.col(self.text).cast("string")
         docs = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.source).cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("tie"), *kept)
-        sized = staged(docs.mapInArrow(measure, "doc_id long, source string, size long, tie long" + "".join(f", {c} long" for c in kept)))
+        sized = staged(docs.mapInArrow(lean(measure), "doc_id long, source string, size long, tie long" + "".join(f", {c} long" for c in kept)))
         chunks = 4 * buckets(spark, sized.count() * GROUP_BYTES // _CHUNK)
         sized = sized.withColumn("chunk", F.expr(f"pmod(xxhash64(doc_id), {chunks})"))
         totals = staged(sized.groupBy("source", "chunk").agg(F.sum("size").alias("size")))
@@ -259,7 +259,7 @@ class Mixing:
                         yield pa.record_batch({"shard": pa.array(tree.shard(place, p)), "rank": pa.array(rank), "copy": pa.array(np.full(len(go), epoch, np.int64)), "start": pa.array((start - lo[row])[go]), "length": pa.array((end - start)[go])} | {x: t[x] for x in keep})
 
         kinds = dict(placed.dtypes)
-        return placed.mapInArrow(draw, "shard long, rank long, copy long, start long, length long" + "".join(f", {x} {kinds[x]}" for x in keep))
+        return placed.mapInArrow(lean(draw), "shard long, rank long, copy long, start long, length long" + "".join(f", {x} {kinds[x]}" for x in keep))
 
     @tidy
     def dealt(self, documents: DataFrame) -> DataFrame:
@@ -324,5 +324,5 @@ class Mixing:
                 yield pa.record_batch({f.name: new if f.name == text else out[f.name] for f in schema} | {"__mix_shard": pa.array(shard, pa.int32()), "__mix_rank": pa.array(rank, pa.int64())})
 
         out = StructType([*schema, StructField("__mix_shard", IntegerType()), StructField("__mix_rank", LongType())])
-        dealt = rows.join(draws, "__mix_row").mapInArrow(run, out).repartitionById(n, F.col("__mix_shard"))
+        dealt = rows.join(draws, "__mix_row").mapInArrow(lean(run), out).repartitionById(n, F.col("__mix_shard"))
         return dealt.sortWithinPartitions("__mix_shard", "__mix_rank", doc_id).select(*documents.columns)

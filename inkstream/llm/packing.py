@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import binary, staged
+from .cluster import binary, lean, staged
 from .words import batches
 
 #: Sequence ids of merged leftovers start here; before it they are partition << 32 | number.
 MERGED = 1 << 62
-#: Words that a tokenizer remembers, and those that stay when there are too many: the first met, mostly the common ones.
-_CACHE, _KEPT = 400_000, 250_000
+#: Words that a tokenizer remembers, and those that stay when there are too many and between tasks: the first met, mostly
+#: the common ones.
+_CACHE, _KEPT = 400_000, 150_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -82,10 +83,11 @@ class WordTokenizer:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.cut = np.zeros(1, np.int64)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """All words but the first."""
         self.place = _Places(islice(self.place.items(), _KEPT))
-        self.cut = self.cut[: len(self.place) + 1]
+        self.cut = self.cut[: len(self.place) + 1].copy()
+        self.flat = self.flat[: int(self.cut[-1])].copy()
 
     def _learn(self, words: list[bytes]) -> None:
         simple = [w for w in words if self._SIMPLE(w)]
@@ -129,7 +131,7 @@ class WordTokenizer:
             if (at < 0).any():
                 new = list({words[i] for i in np.flatnonzero(at < 0).tolist()})
                 if len(self.place) + len(new) > _CACHE:
-                    self._forget()
+                    self.forget()
                     at[at >= len(self.place)] = -1
                     new = list({words[i] for i in np.flatnonzero(at < 0).tolist()})
                 self._learn(new)
@@ -236,9 +238,10 @@ class Packing:
                 yield rows()
             packer.close()
             yield rows()
+            tokens.forget()
 
         two = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
-        return two.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, spot long, part long")
+        return two.mapInArrow(lean(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, spot long, part long")
 
     def pack(self, docs: DataFrame) -> DataFrame:
         """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) per piece; ids are little-endian 32-bit."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary
+from .cluster import binary, lean
 
 FEATURES = ("log_words", "word_length", "symbols", "exclaims", "upper", "digits", "punctuation", "beyond_ascii", "adjacent_repeats", "distinct_share", "repeated_lines", "line_words", "short_words", "long_words")
 _CLASSES = np.zeros((256, 6))
@@ -182,7 +182,7 @@ class QualityClassifier:
                 yield pa.record_batch({"doc_id": pa.array([ids[i] for i in rows], pa.int64()), "x": pa.array(x, pa.list_(pa.float64()))})
 
         two = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
-        rows = sorted((r.doc_id, r.x) for r in two.mapInArrow(run, "doc_id long, x array<double>").collect())
+        rows = sorted((r.doc_id, r.x) for r in two.mapInArrow(lean(run), "doc_id long, x array<double>").collect())
         x = np.array([r[1] for r in rows], np.float64).reshape(-1, len(FEATURES))
         return AdditiveModel().fit(x, np.array([chosen.value[r[0]] for r in rows], np.float64))
 
@@ -196,7 +196,7 @@ class QualityClassifier:
                 yield pa.record_batch({"doc_id": b["doc_id"], "score": pa.array(model.value.score(x))})
 
         two = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
-        out = two.mapInArrow(run, "doc_id long, score double")
+        out = two.mapInArrow(lean(run), "doc_id long, score double")
         return out.select("doc_id", (fold("doc_id", self.folds) == self.held_out).alias("held_out"), "score", F.expr(f"CAST(score >= {self.threshold} AS INT)").alias("predicted"))
 
     def accepted(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -209,4 +209,4 @@ class QualityClassifier:
                 x = np.array([features(t) for t in binary(b[text])], np.float64).reshape(-1, len(FEATURES))
                 yield b.filter(pa.array(model.value.score(x) >= threshold))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)

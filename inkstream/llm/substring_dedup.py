@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary, buckets, dealt, groups, staged, text_bytes, tidy
+from .cluster import binary, buckets, dealt, groups, lean, lean_group, lean_pair, staged, text_bytes, tidy
 from .words import OTHER_STEP, U, Words, batches, minimizers, runs, windows
 
 GRAM = 5
@@ -117,7 +117,7 @@ class SubstringDedup:
             rows = [(d, at[i].tobytes()) for d, i in groups(doc)]
             return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.binary())})
 
-        return dealt(docs.mapInArrow(send, "bucket long, key binary, doc binary, at binary"), n).applyInArrow(meet, "doc_id long, at binary")
+        return dealt(docs.mapInArrow(lean(send), "bucket long, key binary, doc binary, at binary"), n).applyInArrow(lean_group(meet), "doc_id long, at binary")
 
     # ---- 2
 
@@ -151,7 +151,7 @@ class SubstringDedup:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.table({c: pa.array(v, k) for c, v, k in zip(("shard", "doc_id", "start", "n", "words"), out, kinds, strict=True)})
 
-        return dealt(docs, n, "shard").cogroup(dealt(marks, n, "shard")).applyInArrow(cut, "shard long, doc_id long, start long, n long, words binary")
+        return dealt(docs, n, "shard").cogroup(dealt(marks, n, "shard")).applyInArrow(lean_pair(cut), "shard long, doc_id long, start long, n long, words binary")
 
     # ---- 3
 
@@ -205,8 +205,8 @@ class SubstringDedup:
             i, k = runs(cut)
             return pa.table({"shard": s[i].astype(np.int64), "doc_id": d[i], "at": p[i].astype(np.int64), "n": k.astype(np.int64)})
 
-        sent = passages.select("shard", "doc_id", "start", "words").mapInArrow(send, "bucket long, key binary, more binary, shard binary, doc binary, at binary, many binary")
-        return dealt(sent, n).applyInArrow(meet, "shard long, doc_id long, at long, n long")
+        sent = passages.select("shard", "doc_id", "start", "words").mapInArrow(lean(send), "bucket long, key binary, more binary, shard binary, doc binary, at binary, many binary")
+        return dealt(sent, n).applyInArrow(lean_group(meet), "shard long, doc_id long, at long, n long")
 
     def _phrases(self, passages: DataFrame, places: DataFrame) -> DataFrame:
         """(shard, doc_id, at, words): maximal runs of first places, with their words."""
@@ -237,7 +237,7 @@ class SubstringDedup:
 
         listed = places.groupBy("shard", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
         cuts = passages.select("doc_id", "start", "n", "words")
-        return listed.join(cuts, "doc_id").select("shard", "doc_id", "start", "n", "words", "runs").mapInArrow(cut, "shard long, doc_id long, at long, words binary")
+        return listed.join(cuts, "doc_id").select("shard", "doc_id", "start", "n", "words", "runs").mapInArrow(lean(cut), "shard long, doc_id long, at long, words binary")
 
     # ---- 4
 
@@ -271,7 +271,7 @@ class SubstringDedup:
 
         fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
         schema = ", ".join([*fields, "__doc long, __n_words long, __n_removed long, __kept string, __removed array<struct<start: long, length: long>>"])
-        return dealt(docs, n, "shard").cogroup(dealt(phrases, n, "shard")).applyInArrow(run, schema)
+        return dealt(docs, n, "shard").cogroup(dealt(phrases, n, "shard")).applyInArrow(lean_pair(run), schema)
 
     def _cut(self, documents: DataFrame, keep: list[str], as_it_was: bool) -> DataFrame:
         """(__keep0, ..., __doc, __n_words, __n_removed, __kept, __removed)."""

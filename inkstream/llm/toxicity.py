@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary
+from .cluster import binary, lean, lean_group
 from .quality_classifier import fold
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -221,7 +221,7 @@ class Toxicity:
             return pa.table({"first": t["first"][:1], "seen": pa.array([total.tobytes()], pa.binary())})
 
         counts = np.zeros((_N, _N * _N), np.int64)
-        for r in docs.select("text").mapInArrow(count, "first long, seen binary").groupBy("first").applyInArrow(add, "first long, seen binary").collect():
+        for r in docs.select("text").mapInArrow(lean(count), "first long, seen binary").groupBy("first").applyInArrow(lean_group(add), "first long, seen binary").collect():
             counts[r["first"]] = np.frombuffer(bytes(r["seen"]), np.int64)
         return costs(counts.reshape(-1))
 
@@ -240,7 +240,7 @@ class Toxicity:
 
         chosen = spark.sparkContext.broadcast(sample)  # max_rows rows at most
         first: dict[tuple[int, int], int] = {}
-        for r in docs.mapInArrow(kin, "doc_id long, kin long").collect():
+        for r in docs.mapInArrow(lean(kin), "doc_id long, kin long").collect():
             key = (r.kin, sample[r.doc_id])
             first[key] = min(first.get(key, r.doc_id), r.doc_id)
         rows = {d: y for (_, y), d in first.items()}
@@ -261,7 +261,7 @@ class Toxicity:
 
         kind, sure = "doc_id long, y int, entry string", math.log(self.certain)
         least = sure / -math.log(rate)  # so many toxic rows at least, were all rows of the entry toxic
-        counts = docs.mapInArrow(lambda it: spread(None, it), kind).groupBy("entry").agg(F.sum("y").alias("bad"), F.count("*").alias("all")).where(f"bad >= {least} AND bad >= {self.purity} * all").collect()
+        counts = docs.mapInArrow(lean(lambda it: spread(None, it)), kind).groupBy("entry").agg(F.sum("y").alias("bad"), F.count("*").alias("all")).where(f"bad >= {least} AND bad >= {self.purity} * all").collect()
         seen = np.array([(r.bad, r["all"] - r.bad) for r in counts], float).reshape(-1, 2)
         possible = evidence(seen[:, 0], seen[:, 1], rate) >= sure
         rest = {r.entry: r.bad / (r["all"] + self.doubt) for r, ok in zip(counts, possible.tolist(), strict=True) if ok}
@@ -269,7 +269,7 @@ class Toxicity:
         if not names:
             return {}, min(0.5, (toxic + 0.5) / (toxic + clean + 1.0))
         wanted = spark.sparkContext.broadcast({e: i for i, e in enumerate(names)})
-        found = docs.mapInArrow(lambda it: spread(wanted, it), kind).groupBy("doc_id", "y").agg(F.collect_set("entry").alias("e")).collect()
+        found = docs.mapInArrow(lean(lambda it: spread(wanted, it)), kind).groupBy("doc_id", "y").agg(F.collect_set("entry").alias("e")).collect()
         at = {e: i for i, e in enumerate(names)}
         row = np.repeat(np.arange(len(found)), [len(r.e) for r in found])
         entry = np.array([at[e] for r in found for e in r.e], np.int64)
@@ -321,5 +321,5 @@ class Toxicity:
                     found.append(sorted({e for _, e in best.values()}))
                 yield pa.record_batch({"doc_id": b["doc_id"], "score": pa.array(score, pa.float64()), "found": pa.array(found, pa.list_(pa.string()))})
 
-        out = docs.mapInArrow(run, "doc_id long, score double, found array<string>")
+        out = docs.mapInArrow(lean(run), "doc_id long, score double, found array<string>")
         return out.select("doc_id", (fold("doc_id", self.folds) == self.held_out).alias("held_out"), "score", F.expr(f"CAST(score >= {self.threshold} AS INT)").alias("predicted"), "found")
