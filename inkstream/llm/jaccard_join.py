@@ -158,9 +158,10 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
 
 
-def across_components(block, rows: list[tuple[int, int, int, bytes, bytes]], num: int, den: int) -> tuple[list[int], list[int]]:
-    """The pairs of a block of sets (document, component, size, sketch, prefix) that share its shingles, lie in
-    different components and may link.  A pair comes only from the least second shingle that its prefixes share."""
+def across_components(block, rows: list[tuple[int, int, int, bytes, bytes, bytes]], num: int, den: int) -> tuple[list[int], list[int]]:
+    """The pairs of a block of sets (document, component, size, sketch, prefix, longer prefix) that share its shingles,
+    lie in different components and may link.  A pair comes only from the least shingle that its prefixes share and
+    the least other one that the longer prefixes share."""
     out: tuple[list[int], list[int]] = ([], [])
     if len(rows) < 2 or all(r[1] == rows[0][1] for r in rows):
         return out
@@ -186,10 +187,9 @@ def across_components(block, rows: list[tuple[int, int, int, bytes, bytes]], num
                     differ = np.bitwise_count(bits[w][lo : lo + 64][s] ^ far[t]).sum(axis=1, dtype=np.int64)
                     good = differ * (den + num) <= (den - num) * (n[i[s]] + n[y[t]])
                     for a, b in zip(i[s[good]].tolist(), y[t[good]].tolist(), strict=True):
-                        both = np.intersect1d(np.frombuffer(rows[a][4], np.uint64), np.frombuffer(rows[b][4], np.uint64), assume_unique=True)
-                        if second != key:
-                            both = both[both != key]
-                        if len(both) and both[0] == second:
+                        both, more = (np.intersect1d(np.frombuffer(rows[a][c], np.uint64), np.frombuffer(rows[b][c], np.uint64), assume_unique=True) for c in (4, 5))
+                        rest = more if second == key else more[more != key]
+                        if len(both) and both[0] == key and (second == key or (len(rest) and rest[0] == second)):
                             out[0].append(min(int(doc[a]), int(doc[b])))
                             out[1].append(max(int(doc[a]), int(doc[b])))
     return out
@@ -445,12 +445,13 @@ class JaccardJoin:
                     m = len(s) - needed(len(s), num, den) + 1
                     rare = s[np.lexsort((s, known[(s >> U(_SHIFT)).astype(np.int64)]))[: m + 1]]
                     more = np.sort(rare)
-                    rows.append((len(s), sketch(s), more.tobytes(), np.sort(rare[:m]).view(np.int64), more.view(np.int64)))
-                n, bits, held, keys, more = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+                    first = np.sort(rare[:m])
+                    rows.append((len(s), sketch(s), first.tobytes(), more.tobytes(), first.view(np.int64), more.view(np.int64)))
+                n, bits, held, longer, keys, more = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
                 longs = pa.list_(pa.int64())
-                yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "keys": pa.array(keys, longs), "more": pa.array(more, longs)})
+                yield pa.record_batch({"doc_id": b["doc_id"], "component": b["component"], "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary()), "held": pa.array(held, pa.binary()), "longer": pa.array(longer, pa.binary()), "keys": pa.array(keys, longs), "more": pa.array(more, longs)})
 
-        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(lean(prefix), "doc_id long, component long, n long, bits binary, held binary, keys array<long>, more array<long>"))
+        full = staged(placed.join(opened, "doc_id", "left_semi").mapInArrow(lean(prefix), "doc_id long, component long, n long, bits binary, held binary, longer binary, keys array<long>, more array<long>"))
         shared = held_by_several(full.select(F.explode("keys").alias("key"), "doc_id", "n", "component"), ["key"])
         # A linked pair of different sets has two shingles in common, if the threshold is above a half.
         hot = shared.where(f"many > {FEW}").select("key", "doc_id").join(full.select("doc_id", "n", "component", "more"), "doc_id")
@@ -462,17 +463,17 @@ class JaccardJoin:
         grid = twice.where(f"many > {FEW}").withColumn("side", F.expr("(many + 1023) div 1024")).withColumn("i", F.expr("pmod(xxhash64(doc_id), side)"))
         by = ["key", "second", "p", "q"]
         grid = grid.withColumn("j", F.explode(F.expr("sequence(0L, side - 1)"))).select("key", "second", "doc_id", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
-        grid = grid.join(full.select("doc_id", "component", "n", "bits", "held"), "doc_id").repartition(*by).sortWithinPartitions(*by)
+        grid = grid.join(full.select("doc_id", "component", "n", "bits", "held", "longer"), "doc_id").repartition(*by).sortWithinPartitions(*by)
 
         def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, rows = None, []
             for b in it:
                 found = []
-                for *block, doc, place, n, bits, held in zip(*(b[c].to_pylist() for c in (*by, "doc_id", "component", "n", "bits", "held")), strict=True):
+                for *block, doc, place, n, bits, held, longer in zip(*(b[c].to_pylist() for c in (*by, "doc_id", "component", "n", "bits", "held", "longer")), strict=True):
                     if block != at:
                         found.append(across_components(at, rows, num, den))
                         at, rows = block, []
-                    rows.append((doc, place, n, bits, held))
+                    rows.append((doc, place, n, bits, held, longer))
                 yield pa.record_batch({c: pa.array([x for f in found for x in f[i]], pa.int64()) for i, c in enumerate("ab")})
             a, b = across_components(at, rows, num, den)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
