@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that one group of exchanged blobs or texts holds, about.
 GROUP_BYTES = 32 << 20
+#: Rows of a batch that goes to Python while a table is staged.
+BATCH_ROWS = 2_000
 _open = threading.local()
 
 
@@ -32,13 +35,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/inkstream-{sc.applicationId}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Python is handed batches of at most BATCH_ROWS rows: of texts the usual ones are large, and the
+    JVM and the worker hold each of them several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     if getattr(_open, "tables", None):
         _open.tables[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
