@@ -80,6 +80,13 @@ def described(target: str) -> tuple[str, str, str, int, int]:
     return outcome, a.get("q"), effective_mode(a.get("q"), mode if mode in MODES else "keyword"), a.number("limit", 20, 1, MOST), a.number("offset", 0, 0)
 
 
+def _plain(value: str) -> str:
+    """An identifier for a query's text: a uri or did has none of the characters that could end a string."""
+    if "'" in value or "\\" in value:
+        raise BadRequest("not an identifier")
+    return value
+
+
 class Api:
     """Requests over one corpus.  embed: a text's vector, for semantic and hybrid search."""
 
@@ -137,7 +144,7 @@ class Api:
 
     def _recommended(self, a: Args) -> DataFrame:
         window, sort = a.get("since", "all"), a.get("sort", "top")
-        return self._run(social.recommended(window if window in WINDOWS else "all", sort if sort in ("top", "trending", "recent") else "top", a.get("author"), a.get("curator")))
+        return self._run(social.recommended(window if window in WINDOWS else "all", sort if sort in ("top", "trending", "recent") else "top", _plain(a.get("author")), _plain(a.get("curator"))))
 
     def _window(self, a: Args) -> str:
         return a.get("since", "all") if a.get("since", "all") in WINDOWS else "all"
@@ -150,6 +157,38 @@ class Api:
         make = social.subscribed_people if a.get("view") == "people" else social.subscribed_publications
         return self._run(make(self._window(a)))
 
+    def _recommenders(self, a: Args) -> DataFrame:
+        return self._run(social.recommenders(_plain(a.get("uri"))))
+
+    def _subscribers(self, a: Args) -> DataFrame:
+        if a.get("did"):
+            return self._run(social.subscribers_of_owner(_plain(a.get("did"))))
+        parts = _plain(a.get("publication")).removeprefix("at://").split("/")
+        if len(parts) != 3:
+            raise BadRequest("publication or did required")
+        return self._run(social.subscribers_of_publication(parts[0], parts[2]))
+
+    def _lenses(self, known: dict[str, str]) -> DataFrame:
+        """(section, body): the rows of several small results as JSON, one row each."""
+        out = None
+        for name, sql in known.items():
+            rows = self._run(sql)
+            one = rows.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*rows.columns)))).alias("body")).select(F.lit(name).alias("section"), F.col("body"))  # a result of bounded size
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _wrapped(self, a: Args) -> DataFrame:
+        me = _plain(a.get("did"))
+        if not me:
+            raise BadRequest("did required")
+        lenses = social.wrapped(me)
+        ranks = {k: f"SELECT * FROM ({lenses[k]}) w WHERE w.did = '{me}'" for k in ("publisher_ranks", "curator_ranks", "reader")}
+        return self._lenses(lenses | ranks)
+
+    def _dashboard(self, a: Args) -> DataFrame:
+        known = metrics.queries()
+        return self._lenses({k: known[k] for k in ("dashboard_stats", "dashboard_platforms", "dashboard_tags", "dashboard_top_pubs", "timeline_30d_indexed", "latency_stats")})
+
     def _timeline(self, a: Args) -> DataFrame:
         span = a.get("range", "30d") if a.get("range", "30d") in ("7d", "30d", "90d", "1y", "all") else "30d"
         return self._run(metrics.timeline(span, "created_at" if a.get("field") == "created" else "indexed_at"))
@@ -179,14 +218,14 @@ class Api:
         "/recommended": _recommended,
         "/recommended-by-top-authors": lambda self, a: self._run(social.by_top_authors(self._window(a), a.number("pool", 10, 1, 500))),
         "/curators": lambda self, a: self._run(social.curators(self._window(a))),
-        "/recommenders": lambda self, a: self._named("recommenders")(a),
+        "/recommenders": _recommenders,
         "/subscribed": _subscribed,
-        "/subscribers": lambda self, a: self._named("subscribers_owner" if a.get("did") else "subscribers_publication")(a),
+        "/subscribers": _subscribers,
         "/tags": lambda self, a: self._named("dashboard_tags")(a),
         "/popular": lambda self, a: self._named("popular")(a),
         "/stats": lambda self, a: self._named("dashboard_stats")(a),
-        "/wrapped": lambda self, a: self._named("wrapped_author")(a),
-        "/api/dashboard": lambda self, a: self._named("dashboard_stats")(a),
+        "/wrapped": _wrapped,
+        "/api/dashboard": _dashboard,
         "/api/timeline": _timeline,
         "/api/latency": lambda self, a: self._named("latency_series")(a),
         "/activity": lambda self, a: self._named("traffic_series")(a),

@@ -38,8 +38,9 @@ DASHBOARD = {
 #: Percentiles are the element at floor(n p) of the ascending last 1,000 samples, counted from zero.
 LATENCY = {
     "latency_stats": """WITH last AS (SELECT endpoint, latency_us FROM (SELECT endpoint, latency_us, row_number() OVER (PARTITION BY endpoint ORDER BY ts DESC, event_id DESC) AS r FROM p_requests) x WHERE r <= 1000),
-o AS (SELECT endpoint, latency_us, row_number() OVER (PARTITION BY endpoint ORDER BY latency_us) - 1 AS i, count(*) OVER (PARTITION BY endpoint) AS n FROM last)
-SELECT endpoint, count(*) AS n, round(avg(latency_us), 6) AS avg_us, max(CASE WHEN i = floor(n * 0.5) THEN latency_us END) AS p50, max(CASE WHEN i = floor(n * 0.95) THEN latency_us END) AS p95, max(CASE WHEN i = floor(n * 0.99) THEN latency_us END) AS p99, max(latency_us) AS max_us FROM o GROUP BY endpoint""",
+o AS (SELECT endpoint, latency_us, row_number() OVER (PARTITION BY endpoint ORDER BY latency_us) - 1 AS i, count(*) OVER (PARTITION BY endpoint) AS n FROM last),
+s AS (SELECT endpoint, avg(latency_us) AS mean, max(CASE WHEN i = floor(n * 50 / 100.0) THEN latency_us END) AS p50, max(CASE WHEN i = floor(n * 95 / 100.0) THEN latency_us END) AS p95, max(CASE WHEN i = floor(n * 99 / 100.0) THEN latency_us END) AS p99, max(latency_us) AS max_us FROM o GROUP BY endpoint)
+SELECT s.endpoint, t.n, round(s.mean / 1000, 6) AS avg_ms, CAST(s.p50 AS DOUBLE) / 1000 AS p50_ms, CAST(s.p95 AS DOUBLE) / 1000 AS p95_ms, CAST(s.p99 AS DOUBLE) / 1000 AS p99_ms, CAST(s.max_us AS DOUBLE) / 1000 AS max_ms FROM s JOIN (SELECT endpoint, count(*) AS n FROM p_requests GROUP BY endpoint) t ON t.endpoint = s.endpoint""",
     "latency_hourly": "SELECT endpoint, @HOUR_NO(ts) AS hour, count(*) AS n, CAST(sum(latency_us) AS BIGINT) AS sum_us, max(latency_us) AS max_us FROM p_requests GROUP BY endpoint, @HOUR_NO(ts)",
     "latency_series": """WITH b AS (SELECT endpoint, @HOUR_NO(ts) AS hour, count(*) AS n, CAST(sum(latency_us) AS BIGINT) AS sum_us, max(latency_us) AS max_us FROM p_requests GROUP BY endpoint, @HOUR_NO(ts)),
 h AS (SELECT e.endpoint, s.hour FROM (SELECT DISTINCT endpoint FROM p_requests) e CROSS JOIN (SELECT @SERIES(CAST(474071 - 167 AS BIGINT), CAST(474071 AS BIGINT)) AS hour) s)

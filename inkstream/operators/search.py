@@ -61,9 +61,9 @@ def keyword(index: SearchIndex, query: str, limit: int = 20, live: bool = True,
 
 
 def prefiltered(index: SearchIndex, query: str, limit: int = 20, depth: int = 2000) -> DataFrame:
-    """Best `depth` by rank alone, then by rank and recency."""
-    best = ranked_rows(index, query).where(LIVE).orderBy("rank", "uri").limit(depth)
-    return numbered(scored(best).select(*_SHOWN), "score", "uri", limit=limit)
+    """The best `depth` matches by rank alone, of those the live ones by rank and recency."""
+    best = index.matches(query).orderBy("rank", "uri").limit(depth)
+    return numbered(scored(index.rows.join(best, "uri").where(LIVE)).select(*_SHOWN), "score", "uri", limit=limit)
 
 
 def by_publication_text(index: SearchIndex, publications: SearchIndex, query: str, limit: int = 20, **filters) -> DataFrame:

@@ -45,7 +45,8 @@ def snippets(word: str) -> str:
 
 
 def prefiltered(query: str, depth: int) -> str:
-    hits = f"SELECT uri, did, title, created_at, rank, round(rank + {_AGE}, 6) AS score FROM (SELECT d.*, r.rank FROM ranked r JOIN p_documents d ON d.uri = r.uri WHERE {LIVE} ORDER BY rank, d.uri LIMIT {depth}) x"
+    best = f"SELECT uri, rank FROM ranked ORDER BY rank, uri LIMIT {depth}"
+    hits = f"SELECT d.uri, d.did, d.title, d.created_at, b.rank, round(b.rank + {_AGE}, 6) AS score FROM ({best}) b JOIN p_documents d ON d.uri = b.uri WHERE {LIVE}"
     return with_views(f"WITH {_rank_ctes(parse_query(query), 'p_documents', _DOC_TEXT)} {ranked(hits, 'score, uri', 20)}")
 
 
