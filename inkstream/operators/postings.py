@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,6 +50,10 @@ def _earlier(k: int):
     return lambda place: place - k
 
 
+#: Indexes that this driver has opened, by their folder, which names the application.
+_open: dict[str, SearchIndex] = {}
+
+
 class SearchIndex:
     """The index in a folder."""
 
@@ -58,13 +63,14 @@ class SearchIndex:
         self.postings, self.rows, self.stats = read("postings"), read("rows"), read("stats")
 
     @classmethod
-    def of(cls, docs: DataFrame, name: str, state: str, text: str, columns: list[str]) -> SearchIndex:
-        """The stored index of that name and state, built first where there is none."""
-        spark = docs.sparkSession
+    def of(cls, spark: SparkSession, docs: Callable[[], DataFrame], name: str, state: str, text: str, columns: list[str]) -> SearchIndex:
+        """The stored index of that name and state, built first where there is none; an open one is handed out again."""
         path = f"{store.folder(spark)}/index-{name}-{state}"
-        if not store.is_ready(spark, path):
-            cls.build(docs, path, text, columns)
-        return cls(spark, path)
+        if path not in _open or _open[path].spark._jsparkSession != spark._jsparkSession:
+            if not store.is_ready(spark, path):
+                cls.build(docs(), path, text, columns)
+            _open[path] = cls(spark, path)
+        return _open[path]
 
     @staticmethod
     def build(docs: DataFrame, path: str, text: str, columns: list[str]) -> None:

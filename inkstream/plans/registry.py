@@ -20,19 +20,19 @@ _TEXT = "concat(title, ' ', content)"
 
 
 def documents(c: Corpus) -> SearchIndex:
-    return SearchIndex.of(c.p_documents, "documents", c.state(), _TEXT, _ROW)
+    return SearchIndex.of(c.spark, lambda: c.p_documents, "documents", c.state(), _TEXT, _ROW)
 
 
 def pubs(c: Corpus) -> SearchIndex:
-    return SearchIndex.of(c.p_publications, "publications", c.state(), "concat_ws(' ', name, description, base_path)", ["did", "name", "base_path"])
+    return SearchIndex.of(c.spark, lambda: c.p_publications, "publications", c.state(), "concat_ws(' ', name, description, base_path)", ["did", "name", "base_path"])
 
 
 def snapshot(c: Corpus) -> SearchIndex:
-    return SearchIndex.of(c.p_snapshot, "snapshot", c.state(), _TEXT, _ROW)
+    return SearchIndex.of(c.spark, lambda: c.p_snapshot, "snapshot", c.state(), _TEXT, _ROW)
 
 
 def overlay(c: Corpus) -> SearchIndex:
-    return SearchIndex.of(c.p_overlay.where("deleted = 0"), "overlay", c.state(), _TEXT, ["did", "title", "created_at", "is_bridgyfed"])
+    return SearchIndex.of(c.spark, lambda: c.p_overlay.where("deleted = 0"), "overlay", c.state(), _TEXT, ["did", "title", "created_at", "is_bridgyfed"])
 
 
 #: Queries of one batch over the index.

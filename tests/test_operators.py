@@ -144,11 +144,11 @@ def test_archives_are_read_back():
 def test_index_is_built_once_and_folds(spark):
     docs = spark.createDataFrame([("1", "Crème", "don't stop the foo-bar baz"), ("2", "creme", "stop don"), ("3", "", "")], "uri string, title string, content string")
     state = f"t{id(docs)}"
-    index = SearchIndex.of(docs, "test", state, "concat(title, ' ', content)", ["title"])
+    index = SearchIndex.of(spark, lambda: docs, "test", state, "concat(title, ' ', content)", ["title"])
     found = lambda q: sorted(r.uri for r in index.matches(q).collect())
     assert found("creme") == ["1", "2"] and found('"crème"') == ["1", "2"] and found('"don\'t stop"') == ["1"] and found('"foo-bar baz"') == ["1"]
     assert found('"bar foo"') == [] and found('"!!"') == [] and found("") == [] and found("sto") == ["1", "2"]
-    again = SearchIndex.of(docs.limit(0), "test", state, "concat(title, ' ', content)", ["title"])
+    again = SearchIndex.of(spark, lambda: docs.limit(0), "test", state, "concat(title, ' ', content)", ["title"])
     assert again.path == index.path and again.rows.count() == 3
     plan = index.matches('"don\'t stop"')._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [don,stop,t])]" in plan or "In(term" in plan
