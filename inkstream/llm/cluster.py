@@ -51,12 +51,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new name in the shared folder, deleted when the operator returns, if it is tidy and its result does not read it."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     if getattr(_open, "tables", None):
         _open.tables[-1].append(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from .mixing import Mixing
 from .packing import Packing
 from .quality_classifier import QualityClassifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .sequenced_changes import SequencedChanges, dense_numbers
 from .substring_dedup import SubstringDedup
 from .toxicity import Toxicity
 
@@ -102,8 +103,30 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EmbeddingDedup(cosine=0.98).dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = dense_numbers(_table(spark, sf_dir, "client_changes").distinct(), "client_id", "seq", "n")
+    hashed = F.crc32(F.col("change_id").cast("string"))
+    changes = changes.where(F.col("valid_at").isNotNull() & (hashed % 11 != 0))
+    changes = changes.withColumn("day", (F.unix_date(F.to_date("valid_at")) + 2 * (hashed % 4)).cast("int"))
+    part = F.least(F.lit(8), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - 19723) * 8 / 160)))
+    applier = SequencedChanges("client_id", "n", "day", "change_id", "op", ("city", "balance"), patience=5)
+    out = applier.applied(changes.withColumn("part", part), "part", 8)
+    return out.select(
+        "change_id",
+        "client_id",
+        F.when(F.col("applied"), "applied").otherwise("rejected").alias("status"),
+        "batch",
+        "missed",
+        "city",
+        F.floor(100 * F.col("balance") + 0.5).cast("long").alias("cents"),
+        "current",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_packing, op5_chat_format, op6_substring_dedup, op7_quality_classifier, op8_jaccard_join, op9_mixing, op10_embedding_dedup)}
+    first = (op1_license_scan, op2_quality_rules, op3_toxicity, op4_packing, op5_chat_format, op6_substring_dedup)
+    then = (op7_quality_classifier, op8_jaccard_join, op9_mixing, op10_embedding_dedup, op11_sequenced_changes)
+    return {f.__name__: f for f in (*first, *then)}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
