@@ -12,12 +12,15 @@ from .embedding_dedup import EmbeddingDedup
 from .jaccard_join import JaccardJoin
 from .license_scan import BASE, license_scan, rules
 from .mixing import Mixing
+from .oracles import SEQUENCED, pii
 from .packing import Packing
+from .pii import KINDS, pii_spans
 from .quality_classifier import QualityClassifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sequenced_changes import SequencedChanges, dense_numbers
 from .substring_dedup import SubstringDedup
 from .toxicity import Toxicity
+from .whitening import Whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,9 +126,26 @@ def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_spans(_table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    count = lambda kind: F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
+    listed = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return out.select(
+        "doc_id",
+        *(count(k.name) for k in KINDS if k.base),
+        F.sha2(F.expr(listed.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
+        F.expr(listed.format("spans")).alias("spans"),
+        F.expr("coalesce(array_max(transform(spans, s -> s.score)), 0.0D)").alias("score"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Whitening(scale=64, offset=1_000_000, components=32).whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     first = (op1_license_scan, op2_quality_rules, op3_toxicity, op4_packing, op5_chat_format, op6_substring_dedup)
-    then = (op7_quality_classifier, op8_jaccard_join, op9_mixing, op10_embedding_dedup, op11_sequenced_changes)
+    then = (op7_quality_classifier, op8_jaccard_join, op9_mixing, op10_embedding_dedup, op11_sequenced_changes, op12_pii, op13_whitening)
     return {f.__name__: f for f in (*first, *then)}
 
 
@@ -230,4 +250,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": _OP6,
         "op8_jaccard_join": _OP8,
         "op10_embedding_dedup": _OP10,
+        "op11_sequenced_changes": SEQUENCED,
+        "op12_pii": pii(),
     }
