@@ -130,6 +130,15 @@ class SearchIndex:
         hits = found.where(" AND ".join(need)).crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(self.stats))  # one row each
         return hits.select("uri", F.expr(rank).alias("rank"))
 
+    def _kept(self, kept: Column | None, tags: DataFrame | None) -> DataFrame:
+        """The rows that a condition and a list of uris keep."""
+        rows = self.rows if kept is None else self.rows.where(kept)
+        return rows if tags is None else rows.join(tags, "uri", "left_semi")
+
+    def candidates(self, query: str | Parsed, k: int, kept: Column | None = None, tags: DataFrame | None = None) -> DataFrame:
+        """(rows' columns, rank) among which are the best k of the rows that match: here all of them."""
+        return self._kept(kept, tags).join(self.matches(query), "uri")
+
     def batch(self, queries: list[str]) -> DataFrame:
         """(query, uri, rank) of many queries of bare words at once, the last word of each a prefix.
 

@@ -5,6 +5,8 @@ and scores, and the best are taken by a top-N.  Texts are read for the snippets
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,18 @@ def scored(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(F.col("rank") + age(), 6))
 
 
+def _conditions(live: bool, platform: str = "", since: str = "", author: str = "") -> Column | None:
+    """Filters of rows as one condition; None where none is set."""
+    conditions = [F.expr(LIVE)] if live else []
+    if platform:
+        conditions.append(F.col("platform") == platform)
+    if since:
+        conditions.append((F.col("created_at") != "") & (F.col("created_at") >= since))
+    if author:
+        conditions.append(F.col("did") == author)
+    return reduce(lambda a, b: a & b, conditions) if conditions else None
+
+
 def filtered(docs: DataFrame, platform: str = "", since: str = "", author: str = "", tag: str = "", tags: DataFrame | None = None) -> DataFrame:
     """Filters that apply before the limit; an unset one adds nothing to the plan."""
     if platform:
@@ -53,10 +67,10 @@ def numbered(df: DataFrame, *order: Column | str, limit: int | None = None) -> D
 _SHOWN = ("uri", "did", "title", "created_at", "rank", "score")
 
 
-def keyword(index: SearchIndex, query: str, limit: int = 20, live: bool = True, **filters) -> DataFrame:
+def keyword(index: SearchIndex, query: str, limit: int = 20, live: bool = True, tag: str = "", tags: DataFrame | None = None, **filters) -> DataFrame:
     """(uri, did, title, created_at, rank, score, pos).  Statistics are of the whole corpus, filters apply to hits."""
-    hits = ranked_rows(index, query)
-    hits = filtered(hits.where(LIVE) if live else hits, **filters)
+    tagged = tags.where(F.col("tag") == tag).select(F.col("document_uri").alias("uri")) if tag else None
+    hits = index.candidates(query, limit, _conditions(live, **filters), tagged)
     return numbered(scored(hits).select(*_SHOWN), "score", "uri", limit=limit)
 
 

@@ -19,13 +19,19 @@ def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkstream-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/inkstream-store-{sc.applicationId}"
 
 
+def shared(spark: SparkSession) -> str:
+    """A folder for what other applications use as well, where spark.checkpoint.dir is set; else this application's own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base.rstrip('/')}/inkstream-shared" if base else folder(spark)
+
+
 def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())

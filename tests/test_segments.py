@@ -1,0 +1,96 @@
+"""The segmented index against an index built anew."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkstream.operators import search, segments
+from inkstream.operators.postings import SearchIndex
+from inkstream.operators.segments import SegmentIndex, commit, manifest
+
+COLUMNS = ["did", "title", "created_at", "platform", "is_bridgyfed", "url_dead"]
+SCHEMA = "uri string, content string, did string, title string, created_at string, platform string, is_bridgyfed int, url_dead int"
+AGE = "coalesce((unix_micros(TIMESTAMP '2024-01-31 00:00:00Z') - unix_micros(try_to_timestamp(nullif(created_at, '')))) / 86400e6D / 30.0D, 120.0D)"
+WORDS = ["common", "comet", "also", "often", "some", "rare", "rarer", "été"]
+QUERIES = ["common ", "com", "also often", "rare x", "rarest", '"common also" often', '"common also"', "zzz", "ete"]
+
+
+def row(r, i):
+    text = None if i % 53 == 0 else " ".join(r.choices(WORDS, [60, 8, 30, 20, 10, 2, 1, 2], k=r.randint(0, 30)))
+    day = r.choice(["", "junk", None, f"2023-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T05:00:00"])
+    return (f"at://{i}", text, f"did:{i % 7}", "common title" if i % 3 else "", day, r.choice("ab"), r.choice([None, 0, 0, 1]), 0)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def found(index, query, **filters):
+    return [tuple(x) for x in search.keyword(index, query, **filters).orderBy("pos").collect()]
+
+
+def rebuilt(spark, rows, path):
+    SearchIndex.build(frame(spark, rows), path, "concat_ws(' ', title, content)", COLUMNS)
+    return SearchIndex(spark, path)
+
+
+def test_equal_to_a_rebuild_after_random_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "FEW", 20)
+    monkeypatch.setattr(segments, "BLOCK", 8)
+    monkeypatch.setattr(segments, "HOT", 50)
+    r = random.Random(4)
+    new = lambda s: SegmentIndex(s, f"{tmp_path}/index", "concat_ws(' ', title, content)", COLUMNS, AGE)
+    index, rows, written = new(spark), {}, []
+    for k in range(10):
+        mine = {i: row(r, i) for i in (range(150) if not k else r.sample(range(220), 12))}
+        gone = [] if not k else r.sample(range(260), 5)
+        gone = [i for i in gone if i not in mine]
+        index.apply(f"b{k}", frame(spark, list(mine.values())), spark.createDataFrame([(f"at://{i}",) for i in gone], "uri string"))
+        written.append(index.manifest.segments[-1]["rows"])
+        for i in gone:
+            rows.pop(i, None)
+        rows |= mine
+        if k == 5:
+            index.compact(index.due() or 0)
+    assert written == [150] + [12] * 9  # a segment holds its batch alone
+    plain = rebuilt(spark, list(rows.values()), f"{tmp_path}/plain")
+    for q in QUERIES:
+        assert found(index, q) == found(plain, q), q
+    assert found(index, "common also", platform="a", since="2023-05-01") == found(plain, "common also", platform="a", since="2023-05-01")
+    other = new(spark.newSession())  # another session reads what is there, and a batch applied before changes nothing
+    version = other.manifest.version
+    assert other.apply("b3", frame(spark, [row(r, 1)])).manifest.version == version and found(other, "also often") == found(plain, "also often")
+    before = len(index.open().manifest.segments)
+    index.compact(0)
+    index.vacuum()
+    assert before > 1 and len(index.manifest.segments) == 1 and index.gone.count() == 0
+    for q in QUERIES[:4]:
+        assert found(index, q) == found(plain, q), q
+
+
+def test_common_words_read_few_blocks(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(f"at://{i}", "common " * r.randint(1, 3) + r.choice(["", "x"]), f"d{i}", "t", f"20{r.randint(10, 23)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T00:00:00", "a", 0, 0) for i in range(12_000)]
+    index = SegmentIndex(spark, f"{tmp_path}/index", "content", COLUMNS, AGE).apply("all", frame(spark, rows))
+    read, whole = index.read_share("common ", 20)
+    assert whole >= 40 and read * 5 < whole
+    plain = [tuple(x) for x in search.numbered(search.scored(index.rows.join(index.matches("common "), "uri")).select(*search._SHOWN), "score", "uri", limit=20).orderBy("pos").collect()]
+    assert found(index, "common ") == plain
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    index = SegmentIndex(spark, path, "content", COLUMNS)
+    m = manifest(spark, path)
+    index.apply("a", frame(spark, [row(random.Random(0), 1)]))
+    m.version += 1
+    with pytest.raises(Exception, match="exist"):
+        commit(spark, path, m)
+    assert manifest(spark, path).batches == ["a"]
+
+
+def test_empty(spark, tmp_path):
+    index = SegmentIndex(spark, f"{tmp_path}/index", "content", COLUMNS)
+    index.apply("none", frame(spark, []).limit(0))
+    assert found(index, "common ") == [] and index.rows.where(F.lit(True)).count() == 0
