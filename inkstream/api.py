@@ -10,17 +10,17 @@ import json
 from collections.abc import Callable
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.common import WINDOWS
-from .functions.query_text import effective_mode, split_uris
+from .functions.query_text import candidate_limit, effective_mode, split_uris
 from .operators import metrics, policy, search, social, vectors
 from .plans.portable import Portable
 from .sources.projection import Corpus
 
 # Limits of paging, and the modes of a search.
-MOST, FARTHEST, HYBRID_DEPTH = 40, 1000, 75
+MOST, FARTHEST, HYBRID_DEPTH, BOUNDED = 40, 1000, 75, 2000
 MODES = ("keyword", "semantic", "hybrid")
 LABEL_PAGE, MOST_LABELS = 50, 250
 
@@ -110,6 +110,39 @@ class Api:
 
     # ---- pages
 
+    def _composed(self, q: dict, want: int) -> DataFrame:
+        """(block, uri, did, title, score, pos) of a search by text: documents, then documents of publications that match,
+        then publications themselves.
+
+        Each block has a bounded number of candidates, by score; policy and dedup apply to these, and a document counts
+        once, an author's title once.  Without filters the first block is taken from the best matches by rank alone.
+        Publications have no date or platform, so they are left out where one is asked for."""
+        from .plans.registry import documents, pubs
+
+        index, known, most = documents(self.c), pubs(self.c), candidate_limit(want)
+        filters = {k: q[k] for k in ("platform", "since", "author") if q[k]}
+        places = self.c.p_documents.select("uri", "base_path")
+        shown = lambda rows: self.visible(rows.join(places, "uri"), q["labeled"], q["undiscoverable"])
+        if filters:
+            hits = search.filtered(search.ranked_rows(index, q["q"]).where(search.LIVE), **filters)
+        else:
+            hits = index.rows.join(index.matches(q["q"]).orderBy("rank", "uri").limit(BOUNDED), "uri").where(search.LIVE)
+        first = shown(search.scored(hits).orderBy("score", "uri").limit(most)).withColumn("block", F.lit(0))
+        held = known.matches(q["q"]).withColumnRenamed("uri", "publication_uri")
+        of = search.filtered(index.rows.where(search.LIVE), **filters).join(held, "publication_uri")
+        second = shown(search.scored(of).orderBy("score", "uri").limit(most)).withColumn("block", F.lit(1))
+        columns = ["block", "uri", "did", "title", "score"]
+        rows = first.select(columns).unionByName(second.select(columns))
+        once = rows.withColumn("_r", F.row_number().over(Window.partitionBy("uri").orderBy("block", "score"))).where("_r = 1").drop("_r")
+        rows = search.deduped(once, "block", "score", "uri")
+        if not q["since"] and not q["platform"]:
+            shells = search.ranked_rows(known, q["q"])
+            shells = shells.where(F.col("did") == q["author"]) if q["author"] else shells
+            shells = shells.orderBy("rank", "uri").limit(most).withColumns({"publication_uri": F.col("uri"), "base_path": F.lit("")})
+            shells = self.visible(shells, q["labeled"], q["undiscoverable"])
+            rows = rows.unionByName(shells.select(F.lit(2).alias("block"), "uri", "did", F.col("name").alias("title"), F.col("rank").alias("score")))
+        return search.numbered(rows, "block", "score", "uri", limit=want)
+
     def _search(self, a: Args) -> DataFrame:
         from .plans.registry import documents
 
@@ -117,6 +150,8 @@ class Api:
         index, want = documents(self.c), q["offset"] + q["limit"] + 1
         places = self.c.p_documents.select("uri", "base_path")
         extra = {k: q[k] for k in ("platform", "since", "author", "tag") if q[k]} | ({"tags": self.c.p_document_tags} if q["tag"] else {})
+        if q["mode"] == "keyword" and q["q"] and not q["tag"]:
+            return self._composed(q, want)
         if q["mode"] == "keyword":
             hits = search.scored(search.ranked_rows(index, q["q"])) if q["q"] else index.rows.withColumn("rank", F.lit(0.0)).withColumn("score", search.age())
             hits = search.filtered(hits.where(search.LIVE), **extra).join(places, "uri")
@@ -131,11 +166,13 @@ class Api:
         semantic = search.numbered(rows.select("uri", "did", "title", "distance", "vec_id"), "distance", "vec_id", limit=max(want, HYBRID_DEPTH))
         if q["mode"] == "semantic":
             return semantic.select("uri", "did", "title", "distance", "pos")
-        return vectors.fused(search.keyword(index, q["q"], HYBRID_DEPTH, **extra), semantic, want).join(index.rows.select("uri", "did", "title"), "uri")
+        by_text = self._composed(q, HYBRID_DEPTH)
+        titles = by_text.select("uri", "did", "title").unionByName(semantic.select("uri", "did", "title")).dropDuplicates(["uri"])
+        return vectors.fused(by_text, semantic, want).join(titles, "uri")
 
     def _similar(self, a: Args) -> DataFrame:
         own = self.c.p_documents.where(F.col("uri") == a.get("uri")).select("doc_id").first()
-        return vectors.similar(self.c.embeddings, self.c.p_documents, own.doc_id if own else -1, 5)
+        return vectors.similar(self.c.embeddings, self.c.p_documents, own.doc_id if own else -1, 5, shown=self.visible)
 
     def _document(self, a: Args) -> DataFrame:
         uris = split_uris(a.get("uri"))

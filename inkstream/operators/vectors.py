@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,11 @@ def top_k(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:
     return numbered(distances(vectors, vec_id), "distance", "vec_id", limit=k)
 
 
-def similar(vectors: DataFrame, docs: DataFrame, vec_id: int, limit: int = 5, over: int = 25) -> DataFrame:
-    """Neighbours of a document: itself dropped, live only, one per author and title."""
+def similar(vectors: DataFrame, docs: DataFrame, vec_id: int, limit: int = 5, over: int = 25, shown: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Neighbours of a document: itself dropped, live only, those that policy shows, one per author and title."""
     near = distances(vectors, vec_id).where(F.col("vec_id") != vec_id).orderBy("distance", "vec_id").limit(limit + over)
     rows = near.join(docs.where("coalesce(is_bridgyfed, 0) = 0 AND title <> ''"), near.vec_id == docs.doc_id)
-    rows = deduped(rows.select("vec_id", "uri", "did", "title", "distance"), "distance", "vec_id")
+    rows = deduped(shown(rows).select("vec_id", "uri", "did", "title", "distance"), "distance", "vec_id")
     return numbered(rows, "distance", "vec_id", limit=limit)
 
 

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 from ..functions.common import AS_OF, LIVE, ranked
-from ..functions.query_text import Parsed, parse_query
+from ..functions.query_text import Parsed, candidate_limit, parse_query
 from ..sources.projection import with_views
 
 _AGE = f"coalesce((epoch(TIMESTAMP '{AS_OF} 00:00:00') - epoch(try_cast(nullif(created_at, '') AS TIMESTAMP))) / 86400.0 / 30.0, 120.0)"
@@ -70,6 +70,46 @@ e AS (SELECT *, row_number() OVER (PARTITION BY did, title ORDER BY block, score
 {ranked("SELECT block, uri, did, title, score FROM e WHERE s = 1 OR did = '' OR title = ''", "block, score, uri", 20)}""")
 
 
+def _composed(query: str, visible: str, most: int, where: str = "") -> str:
+    """CTEs that end in composed(block, uri, did, title, score): blocks of a search after policy and dedup."""
+    q = parse_query(query)
+    pool = "rd" if where else "(SELECT uri, rank FROM rd ORDER BY rank, uri LIMIT 2000)"
+    shown = lambda block, a, score, rest: f"SELECT {block} AS block, d.uri, d.did, d.title, d.score FROM (SELECT d.*, {score} AS score FROM {a} {rest} ORDER BY score, d.uri LIMIT {most}) d WHERE TRUE{visible}"
+    score = f"round(r.rank + {_AGE}, 6)"
+    shells = "" if where else " UNION ALL " + visible_shells(most, visible)
+    return f"""{_rank_ctes(q, "p_documents", _DOC_TEXT, "rd")}, {_rank_ctes(q, "p_publications", _PUB_TEXT, "rp")},
+docs AS ({shown(0, f"{pool} r JOIN p_documents d ON d.uri = r.uri", score, f"WHERE {LIVE}{where}")} UNION ALL {shown(1, "rp r JOIN p_documents d ON d.publication_uri = r.uri", score, f"WHERE {LIVE}{where}")}),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY block, score) AS r FROM docs) x WHERE r = 1),
+titled AS (SELECT *, row_number() OVER (PARTITION BY did, title ORDER BY block, score, uri) AS s FROM once),
+composed AS (SELECT block, uri, did, title, score FROM titled WHERE s = 1 OR did = '' OR title = ''{shells})"""
+
+
+def visible_shells(most: int, visible: str) -> str:
+    """Publications that match, as rows of a search."""
+    return f"SELECT 2 AS block, d.uri, d.did, d.title, d.score FROM (SELECT p.uri, p.did, p.name AS title, rank AS score, p.uri AS publication_uri, '' AS base_path FROM rp JOIN p_publications p ON p.uri = rp.uri ORDER BY rank, p.uri LIMIT {most}) d WHERE TRUE{visible}"
+
+
+def composed(query: str, visible: str, limit: int, offset: int, where: str = "") -> str:
+    most = candidate_limit(limit + offset + 1)
+    rows = f"SELECT uri, did, title, row_number() OVER (ORDER BY block, score, uri) AS place FROM composed"
+    return with_views(f"WITH {_composed(query, visible, most, where)} SELECT uri, did, title, CAST(place - {offset} AS BIGINT) AS pos FROM ({rows}) n WHERE place > {offset} AND place <= {offset + limit}")
+
+
+def similar_shown(vec_id: int, visible: str) -> str:
+    near = f"SELECT * FROM ({_near(vec_id)}) n WHERE vec_id <> {vec_id} ORDER BY distance, vec_id LIMIT 30"
+    return with_views(_deduped(f"SELECT n.vec_id, d.uri, d.did, d.title, n.distance FROM ({near}) n JOIN p_documents d ON d.doc_id = n.vec_id WHERE coalesce(is_bridgyfed, 0) = 0 AND title <> ''{visible}", 5))
+
+
+def hybrid_shown(query: str, vec_id: int, visible: str) -> str:
+    near = f"SELECT * FROM ({_near(vec_id)}) m ORDER BY distance, vec_id LIMIT 200"
+    second = _deduped(f"SELECT n.vec_id, d.uri, d.did, d.title, n.distance FROM ({near}) n JOIN p_documents d ON d.doc_id = n.vec_id WHERE coalesce(is_bridgyfed, 0) = 0 AND title <> ''{visible}", 75)
+    first = "SELECT uri, did, title, row_number() OVER (ORDER BY block, score, uri) AS pos FROM composed"
+    legs = f"SELECT uri, did, title, pos FROM ({first}) a WHERE pos <= 75 UNION ALL SELECT uri, did, title, pos FROM ({second}) b"
+    both = f"SELECT uri, any_value(did) AS did, any_value(title) AS title, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS fusion FROM ({legs}) l GROUP BY uri"
+    numbered = f"SELECT uri, did, title, row_number() OVER (ORDER BY fusion DESC, uri) AS pos FROM ({both}) f"
+    return with_views(f"WITH {_composed(query, visible, candidate_limit(75))} SELECT uri, did, title, CAST(pos AS BIGINT) AS pos FROM ({numbered}) n WHERE pos <= 40")
+
+
 def overlay_merge(query: str) -> str:
     q = parse_query(query)
     return with_views(f"""WITH live_overlay AS (SELECT * FROM p_overlay WHERE deleted = 0), {_rank_ctes(q, "live_overlay", _DOC_TEXT, "ro")}, {_rank_ctes(q, "p_snapshot", _DOC_TEXT, "rs")},
