@@ -54,7 +54,7 @@ def rows_of(seed, n=900, batches=6, late=False):
     for i in range(n):
         batch = r.randint(1, batches)
         batch = 4 if batch == 3 else batch  # an empty batch
-        key = r.choice([None, 1, 2, 3, 3, 3, 3, 3, 4, *range(5, 40)])
+        key = r.choice([None, 1, 2**53 + 1, 3, 3, 3, 3, 3, 2**53 + 3, *range(5, 40)])
         day = 19_723 + r.randint(-30, 50) if late else 19_723 + batch * 6 + r.randint(0, 5)
         out.append((i, key, None if i % 97 == 0 else r.randint(1, 12 if key != 3 else 150), None if i % 89 == 0 else day, r.choice("IUUUUDX"), (r.choice([None, "x", "y"]), r.choice([None, 1.5, 2.5])), batch))
     return out
