@@ -2,7 +2,7 @@
 
 Vectors of one label and length link when their cosine, in double precision, reaches the threshold; that is
 a Euclidean distance of at most r = sqrt(2 - 2 c) between unit vectors.  Null labels, null or zero vectors
-and vectors with null or non-finite components link with nothing.
+and vectors with null or non-finite components link with nothing; nor does a row without an id.
 
 Equal vectors are one class, counted before anything is exchanged.  Pivots, a sample by hash of each label's own
 classes, divide it into cells: a class lives in the cell of its nearest pivot p, and visits the cell of a pivot q
@@ -92,7 +92,8 @@ class EmbeddingDedup:
         radius = math.sqrt(2 - 2 * self.cosine) + 1e-9
         v = vectors.select(F.col(self.vec_id).cast("long").alias("vec_id"), F.col(self.label).alias("label"), F.col(self.embedding).cast("array<double>").alias("embedding"))
         v = staged(v.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("least"), F.count("*").alias("rows")).select("vec_id", "least.*", "rows"))
-        good = v.where(_USABLE)
+        usable = f"vec_id IS NOT NULL AND coalesce({_USABLE}, false)"
+        good = v.where(usable)
         classes = staged(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")).withColumn("dim", F.size("embedding")))
         held = spark.sparkContext.broadcast(self._pivots(classes))  # max_pivots vectors at most
 
@@ -160,6 +161,6 @@ class EmbeddingDedup:
         found = classes.join(links, "rep", "left").join(comp, classes.rep == comp.node, "left")
         found = found.select("label", "embedding", F.expr("many - 1 + coalesce(links, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
         linked = good.join(found, ["label", "embedding"]).select("vec_id", "n_links", "component_id", "rows")
-        alone = v.where(f"NOT coalesce({_USABLE}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), "rows")
+        alone = v.where(f"NOT ({usable})").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), "rows")
         out = linked.unionByName(alone).withColumn("kept", F.expr("coalesce(vec_id = component_id, true)"))
         return out.withColumn("rows", F.explode(F.expr("sequence(1L, rows)"))).drop("rows")

@@ -3,7 +3,7 @@
 Two documents link when intersection / union of their shingle sets reaches the threshold (a ratio of
 integers).  Sets are the distinct k-word shingles; a shorter text is one shingle, a text without words is
 empty and links with nothing.  Null texts are empty.  Of rows that share a doc_id the least text counts, and
-each row gets its result.  Very long texts are read whole, ties of the common
+each row gets its result.  A row without an id links with nothing: its size is counted, its component is null.  Very long texts are read whole, ties of the common
 order go by hash, an empty table gives no rows, and other columns are not read, whatever their names.
 
 The plan, none of whose steps holds a group of documents in one task or lists pairs within one:
@@ -264,7 +264,7 @@ class JaccardJoin:
             none = pa.nulls(_RANGES, pa.int64())
             yield pa.record_batch({"doc_id": none, "n": none, "fp1": none, "fp2": none, "span": pa.array(range(_RANGES), pa.int64()), "seen": pa.array([x.tobytes() for x in seen.reshape(_RANGES, -1)], pa.binary())})
 
-        return self._two(docs).mapInArrow(lean(run), "doc_id long, n long, fp1 long, fp2 long, span long, seen binary")
+        return self._all(docs).mapInArrow(lean(run), "doc_id long, n long, fp1 long, fp2 long, span long, seen binary")
 
     @staticmethod
     def _counted(profile: DataFrame) -> np.ndarray:
@@ -280,9 +280,13 @@ class JaccardJoin:
             out[r.span] = np.frombuffer(bytes(r.seen), np.int64)
         return out.reshape(-1)
 
-    def _two(self, docs: DataFrame) -> DataFrame:
+    def _all(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
 
+    def _two(self, docs: DataFrame) -> DataFrame:
+        """Those with an id: an Arrow column of ids with a null would become doubles."""
+        return self._all(docs).where("doc_id IS NOT NULL")
+
     # ---- 2: who can have a partner
 
     def _survivors(self, docs: DataFrame, placed: DataFrame, common, n_buckets: int) -> DataFrame:
@@ -548,7 +552,8 @@ class JaccardJoin:
         spark = docs.sparkSession
         profile = staged(self.profile(docs))
         common = spark.sparkContext.broadcast(self._counted(profile))
-        doc = profile.where("span IS NULL").select("doc_id", "n", "fp1", "fp2")
+        doc = profile.where("span IS NULL AND doc_id IS NOT NULL").select("doc_id", "n", "fp1", "fp2")
+        nameless = profile.where("span IS NULL AND doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         differ = " OR ".join(f"min({c}) <> max({c})" for c in ("n", "fp1", "fp2"))
         told = staged(doc.groupBy("doc_id").agg(F.count("*").alias("rows"), F.expr(differ).alias("differ")))
         several = told.where("rows > 1").select("doc_id", "rows")
@@ -557,7 +562,7 @@ class JaccardJoin:
             least = two.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
             one = JaccardJoin(self.k, self.num, self.den).components(staged(two.join(several, "doc_id", "left_anti").unionByName(least)))
             again = one.join(several, "doc_id", "left").withColumn("rows", F.explode(F.expr("sequence(1L, coalesce(rows, 1L))")))
-            return again.drop("rows")
+            return again.drop("rows").unionByName(nameless)
         n = buckets(spark, 8 * (doc.agg(F.sum("n")).first()[0] or 0))  # what a shingle comes to in an exchange, about
         first = doc.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
         placed = staged(doc.join(first, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
@@ -570,4 +575,6 @@ class JaccardJoin:
         more = staged(self._across(kept, comp, pairs, sketches, common, n))
         if not more.isEmpty():
             comp = connected_components(links.unionByName(self._verified(more, kept)))
-        return placed.join(comp, placed.rep == comp.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        out = placed.join(comp, placed.rep == comp.node, "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        return out.unionByName(nameless)

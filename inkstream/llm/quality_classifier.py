@@ -9,7 +9,7 @@ The model is fitted on the driver on at most `max_rows` labelled rows, those of
 parameter, and only those rows are read for it.  Then every document is read once and scored by itself.
 
 A null or empty text has all-zero features and a score like any other; without labels every score is 0.5.
-Null labels and ids are not learnt from; of several labels of a doc_id the largest counts, and of rows that
+Null labels and ids are not learnt from (a null id's fold is that of an empty text); of several labels of a doc_id the largest counts, and of rows that
 share a doc_id each is learnt from and scored by its own text.  Features of very long texts are of the whole
 text.  Ties of the hash go by doc_id.  Other columns are not read, whatever their names; `accepted` passes them on.
 """
@@ -155,8 +155,8 @@ class AdditiveModel:
 
 
 def fold(doc_id: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds."""
-    return F.expr(f"crc32(CAST(CAST({doc_id} AS STRING) AS BINARY)) % {folds}")
+    """crc32 of the id as text, modulo folds; a null id is the empty text."""
+    return F.expr(f"crc32(CAST(coalesce(CAST({doc_id} AS STRING), '') AS BINARY)) % {folds}")
 
 
 class QualityClassifier:
@@ -182,6 +182,8 @@ class QualityClassifier:
                 yield pa.record_batch({"doc_id": pa.array([ids[i] for i in rows], pa.int64()), "x": pa.array(x, pa.list_(pa.float64()))})
 
         two = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
+        taken = spark.createDataFrame([(d,) for d in chosen.value], "doc_id long")
+        two = two.join(F.broadcast(taken), "doc_id", "left_semi")  # other texts do not go to Python
         rows = sorted((r.doc_id, r.x) for r in two.mapInArrow(lean(run), "doc_id long, x array<double>").collect())
         x = np.array([r[1] for r in rows], np.float64).reshape(-1, len(FEATURES))
         return AdditiveModel().fit(x, np.array([chosen.value[r[0]] for r in rows], np.float64))

@@ -3,7 +3,7 @@
 A window is `size` consecutive words of one document.  Every word that lies in a window whose words also
 start earlier (a smaller doc_id, or earlier in the same document) is removed; windows are judged on the
 input.  Null and empty texts have no words; rows that share a doc_id are one document, so neither precedes the
-other, and each repeated row is cut alike.  Very long texts are streamed whole.  An empty table gives no rows.
+other, and each repeated row is cut alike.  A row without an id precedes nothing and loses nothing.  Very long texts are streamed whole.  An empty table gives no rows.
 Columns to keep may have any names, those of the result and of this module's own tables included: a kept column
 of a result's name takes its place.
 
@@ -250,7 +250,7 @@ class SubstringDedup:
             for doc, text in zip(d["doc_id"].to_pylist(), binary(d["text"]), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words), bool)
-                if len(words) >= size:
+                if len(words) >= size and doc is not None:
                     for a in automata:
                         a.mark(doc, words, gone)
                 n_words.append(len(words))
@@ -278,11 +278,12 @@ class SubstringDedup:
         text = F.col(self.text).cast("string")
         n = buckets(documents.sparkSession, text_bytes(documents, self.text))
         shard = F.expr(f"CAST(pmod(xxhash64(doc_id), {n}) AS INT)")
+        spread = F.when(F.col("doc_id").isNull(), F.expr(f"CAST(pmod(xxhash64(text), {n}) AS INT)")).otherwise(shard)
         own = [f"__keep{i}" for i in range(len(keep))]
         docs = documents.select(F.col(self.doc_id).cast("long").alias("doc_id"), text.alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(keep, own, strict=True)))
-        sharded = docs.select(shard.alias("shard"), "doc_id", "text", *own)
-        plain = sharded.select("shard", "doc_id", "text")
-        marks = self._anchors(docs.select("doc_id", "text"), n).select(shard.alias("shard"), "doc_id", "at")
+        sharded = docs.select(spread.alias("shard"), "doc_id", "text", *own)
+        plain = sharded.select("shard", "doc_id", "text").where("doc_id IS NOT NULL")
+        marks = self._anchors(plain.select("doc_id", "text"), n).select(shard.alias("shard"), "doc_id", "at")
         passages = staged(self._passages(plain, marks, n))
         phrases = self._phrases(passages, staged(self._first_places(passages, n)))
         return self._stream(sharded, phrases, n, own, as_it_was)

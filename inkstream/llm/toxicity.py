@@ -19,7 +19,7 @@ Fitting reads at most `max_rows` labelled rows, those of least hash, a parameter
 possible; the language model counts all rows.  Tokens of any length are decoded, in one pass of bounded states.
 Null and empty texts hold no entry and have the base score; so does every text where there are no labels (0.5).
 Very long texts are read whole.  Rows that share a doc_id are scored each by its own text and share the largest
-of their labels; null labels and ids are not learnt from.  Other columns are not read, whatever their names.
+of their labels; null labels and ids are not learnt from, and a null id's fold is that of an empty text.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary, lean, lean_group
+from .cluster import binary, lean, lean_group, staged, tidy
 from .quality_classifier import fold
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -231,6 +231,8 @@ class Toxicity:
         known = labels.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
         known = known.where(fold("doc_id", self.folds) != self.held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
         sample = {r.doc_id: r.y for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.max_rows).collect()}
+        taken = spark.createDataFrame([(d,) for d in sample], "doc_id long")
+        docs = staged(docs.join(F.broadcast(taken), "doc_id", "left_semi"))  # other texts do not go to Python
 
         def kin(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The word of least hash, on which near copies mostly agree."""
@@ -289,6 +291,7 @@ class Toxicity:
         rest = {e: (int(b[i]) + rest[e]) / (int(b[i] + g[i]) + 1.0) for i, e in enumerate(names)}
         return rest | lexicon, min(0.5, (toxic - gone[0] + 0.5) / (toxic + clean - sum(gone) + 1.0))
 
+    @tidy
     def scored(self, documents: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted, found): found lists the lexicon entries."""
         sc = documents.sparkSession.sparkContext

@@ -36,7 +36,7 @@ OPERATORS = {
 
 def clashing(spark, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
-    return spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t or ""), *("k" for _ in CLASHING)) for i, t in rows], schema).repartition(3)
+    return spark.createDataFrame([(i, t, "en", "ab"[(i or 0) % 2], len(t or ""), *("k" for _ in CLASHING)) for i, t in rows], schema).repartition(3)
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -55,6 +55,38 @@ def test_edges(spark, labels, name):
     assert op(clashing(spark, rows[:1]), labels).count() == 1
 
 
+BIG = 2**53
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_rows_without_an_id(spark, labels, name):
+    """They neither crash nor change other rows, ids that doubles cannot hold included."""
+    base = [(BIG + 1 + 2 * i, t) for i, t in enumerate(texts())]
+    none = [(None, texts()[12]), (None, texts()[7]), (None, None)]
+    op = OPERATORS[name]
+    with_, without = (op(clashing(spark, rows).coalesce(1), labels).collect() for rows in (base + none, base))
+    key = lambda rows: sorted(tuple(r) for r in rows if r.doc_id is not None)
+    assert [r[0] for r in key(with_)] == [r[0] for r in key(without)] and len({r.doc_id for r in with_}) == len(base) + 1
+    if name in ("license_scan", "quality_rules", "substring_dedup", "jaccard_join"):
+        assert key(with_) == key(without)
+    if name == "jaccard_join":
+        assert all(r.component_id is None for r in with_ if r.doc_id is None) and len([r for r in with_ if r.doc_id is None]) == 3
+        assert len({r.component_id for r in with_ if r.doc_id}) < len(base)
+    if name == "substring_dedup":
+        assert all(r.n_removed == 0 for r in with_ if r.doc_id is None)
+    if name in ("toxicity", "quality_classifier"):
+        full = (Toxicity if name == "toxicity" else QualityClassifier)().scored(clashing(spark, base + none), labels)
+        assert full.where("held_out IS NULL").count() == 0
+
+
+def test_vectors_without_an_id(spark):
+    v = [[1.0, 0.0], [0.999, 0.01]]
+    rows = [(BIG + 1, v[0], 0), (BIG + 3, v[1], 0), (None, v[0], 0), (None, v[1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in EmbeddingDedup().dedup(df).collect()]
+    assert sorted(got, key=str) == sorted([(BIG + 1, 1, BIG + 1, True), (BIG + 3, 1, BIG + 1, False), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     t = [" ".join(f"q{i}{k}" for i in range(40)) for k in range(2)]
     df = spark.createDataFrame([(1, t[1]), (1, t[0]), (2, t[0]), (3, t[1])], "doc_id long, text string")
