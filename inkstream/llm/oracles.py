@@ -18,9 +18,9 @@ ev AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY batch, r IS
 state AS (
  SELECT client_id, 0::BIGINT AS k, 0::BIGINT AS batch, 1::BIGINT AS next, []::STRUCT(n BIGINT, day BIGINT, change_id BIGINT, op VARCHAR, city VARCHAR, balance DOUBLE)[] AS held, []::STRUCT(n BIGINT, day BIGINT, change_id BIGINT, op VARCHAR, city VARCHAR, balance DOUBLE)[] AS done, 0::BIGINT AS missed, false AS again, NULL::BIGINT AS refused FROM (SELECT DISTINCT client_id FROM fed)
  UNION ALL
- SELECT client_id, k, batch, CASE WHEN lead > 0 THEN at + lead ELSE next END, all_[lead + 1:], all_[1:lead], CASE WHEN jumps THEN at - next ELSE 0 END, jumps, refused FROM (
-  SELECT *, CASE WHEN r IS NULL AND NOT jumps THEN 0 ELSE len([i FOR i IN range(1, len(all_) + 1) IF all_[i].n = at + i - 1]) END AS lead FROM (
-   SELECT *, CASE WHEN jumps THEN all_[1].n ELSE next END AS at FROM (
+ SELECT client_id, k, batch, CASE WHEN taken > 0 THEN least_n + taken ELSE next END, all_[taken + 1:], all_[1:taken], CASE WHEN jumps THEN least_n - next ELSE 0 END, jumps, refused FROM (
+  SELECT *, CASE WHEN r IS NULL AND NOT jumps THEN 0 ELSE len([i FOR i IN range(1, len(all_) + 1) IF all_[i].n = least_n + i - 1]) END AS taken FROM (
+   SELECT *, CASE WHEN jumps THEN all_[1].n ELSE next END AS least_n FROM (
     SELECT s.client_id, e.k, e.batch, s.next, e.r,
      coalesce(e.r IS NULL AND len(s.held) > 0 AND list_min([x.day FOR x IN s.held]) + 5 <= e.horizon, false) AS jumps,
      CASE WHEN e.r IS NOT NULL AND (e.r.n < s.next OR list_contains([x.n FOR x IN s.held], e.r.n)) THEN e.r.change_id END AS refused,
@@ -29,8 +29,8 @@ state AS (
 applied AS (SELECT client_id, batch, done[i] AS r, CASE WHEN i = 1 THEN missed ELSE 0 END AS missed FROM (SELECT *, unnest(range(1, len(done) + 1)) AS i FROM state)),
 ordered AS (SELECT client_id, batch, missed, r.*, count(*) FILTER (WHERE r.op IN ('I', 'D')) OVER (PARTITION BY client_id ORDER BY r.n) AS era, max(r.n) OVER (PARTITION BY client_id) AS top FROM applied),
 shown AS (SELECT *, last_value(CASE WHEN op IN ('I', 'U') THEN city END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN op IN ('I', 'U') THEN balance END IGNORE NULLS) OVER w AS b FROM ordered WINDOW w AS (PARTITION BY client_id, era ORDER BY n))
-SELECT change_id, client_id, 'applied' AS status, batch, missed, c AS city, CAST(floor(100 * b + 0.5) AS BIGINT) AS cents, n = top AND op IS DISTINCT FROM 'D' AS current FROM shown
-UNION ALL SELECT refused, client_id, 'rejected', batch, 0, NULL, NULL, false FROM state WHERE refused IS NOT NULL
+SELECT change_id, client_id, 'applied' AS status, CAST(batch AS INT) AS batch, missed, c AS city, CAST(floor(100 * b + 0.5) AS BIGINT) AS cents, n = top AND op IS DISTINCT FROM 'D' AS current FROM shown
+UNION ALL SELECT refused, client_id, 'rejected', CAST(batch AS INT), 0, NULL, NULL, false FROM state WHERE refused IS NOT NULL
 """
 
 
