@@ -14,6 +14,7 @@ from ..functions.common import rows_with_urls
 from ..operators import social, writes
 from ..sources import files, repos, store
 from ..sources.projection import Corpus, with_views
+from ..sources.sequence import SequenceLog
 from ..streaming import jobs
 from . import ledger
 from . import oracles as o
@@ -329,6 +330,24 @@ def _page(path: str) -> Callable[[Corpus], DataFrame]:
     return lambda c: api.Api(c).rows(path)
 
 
+def _sequence(c: Corpus) -> DataFrame:
+    """Events by number from an archive and a tail that repeats some of them, in three runs of a query on one checkpoint."""
+    base = f"{store.folder(c.spark)}/sequence-{uuid.uuid4().hex}"
+    all_ = c.events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), "value")
+    last = all_.agg(F.max("seq")).first()[0] or 0
+    seam = last * 6 // 10
+    all_.where(F.col("seq") <= seam).repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(f"{base}/archive")
+    for lo, hi in ((seam - last // 20, last * 7 // 10), (last * 7 // 10 - last // 20, last * 9 // 10), (last * 8 // 10, last)):
+        all_.where((F.col("seq") > lo) & (F.col("seq") <= hi)).write.mode("append").parquet(f"{base}/tail")
+    c.spark.dataSource.register(SequenceLog)
+    for until in (last * 3 // 10, last * 8 // 10 + 1, last):
+        read = c.spark.readStream.format("sequence_log").options(archive=f"{base}/archive", tail=f"{base}/tail", columns="seq long, kind string, value double", after=-1, until=until, step=max(1000, last // 16))
+        out = read.load().writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    rows = c.spark.read.parquet(f"{base}/rows")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def _similar(c: Corpus) -> DataFrame:
     return api.Api(c).rows(f"/similar?uri={c.p_documents.where('doc_id = 7').first().uri}")
 
@@ -359,6 +378,7 @@ PLANS: dict[str, Plan] = {
     "source_backlinks": (_backlinks, with_views("SELECT uri, document_uri AS target FROM p_recommends WHERE length(uri) % 2 = 1")),
     "source_identities": (_identities, with_views(_IDENTITIES)),
     "source_archive_walk": (_walked, _WALKED),
+    "stream_sequence": (_sequence, "SELECT event_type AS kind, count(*) AS n, count(DISTINCT event_id) AS seqs, min(event_id) AS first, max(event_id) AS last, round(sum(value), 4) AS total FROM events GROUP BY event_type"),
     "stream_ingest": (_ingested, _INGESTED),
     "stream_hourly": (_hourly, _HOURLY),
     "stream_dedup": (_deduplicated, "SELECT event_id AS seq FROM events"),
