@@ -124,8 +124,10 @@ def _spans(kind: Kind, text: str, near: int) -> str:
     """SQL for the array of a kind's confirmed spans, with their scores."""
     parts = rf"split(regexp_replace({text}, {_literal(kind.pattern)}, '\u0001$0\u0001'), '\u0001', -1)"
     length = "aggregate({}, 0, (a, x) -> a + length(x))"
-    blocks = f"transform(sequence(0, (size(p) - 1) DIV 64), c -> {length.format('slice(p, c * 64 + 1, 64)')})"
-    start = f"aggregate(slice(sums, 1, i DIV 64), 0, (a, x) -> a + x) + {length.format('slice(p, (i DIV 64) * 64 + 1, i % 64)')}"
+    blocks = "transform(sequence(0, (size(p) - 1) DIV 64), c -> slice(p, c * 64 + 1, 64))"  # a slice copies its whole array
+    sums = f"transform(blocks, b -> {length.format('b')})"
+    before = "transform(sequence(0, size(sums) - 1), c -> aggregate(slice(sums, 1, c), 0, (a, x) -> a + x))"
+    start = f"starts[i DIV 64] + {length.format('slice(blocks[i DIV 64], 1, i % 64)')}"
     words = _literal(kind.words)
     score = f"least(1.0D, {kind.score}D + CASE WHEN lower(right(before, {near})) RLIKE {words} OR lower(left(after, {near})) RLIKE {words} THEN 0.3D ELSE 0.0D END)"
     valid = kind.valid.replace("\\", "\\\\")
@@ -134,7 +136,7 @@ def _spans(kind: Kind, text: str, near: int) -> str:
     span = f"named_struct('kind', '{kind.name}', 'start', {at}, 'end', {at} + ({kind.inner[1]}), 'score', {score}, 'base', {str(kind.base).lower()})"
     found = f"transform(filter(sequence(1, size(p) - 2, 2), i -> {names(valid)}), i -> {names(span)})"
     none = "CAST(array() AS ARRAY<STRUCT<kind: STRING, start: INT, end: INT, score: DOUBLE, base: BOOLEAN>>)"
-    whole = _let(parts, "p", f"CASE WHEN size(p) > 1 THEN {_let(blocks, 'sums', found)} ELSE {none} END")
+    whole = _let(parts, "p", f"CASE WHEN size(p) > 1 THEN {_let(blocks, 'blocks', _let(sums, 'sums', _let(before, 'starts', found)))} ELSE {none} END")
     return f"CASE WHEN contains({text}, '{kind.needs}') THEN {whole} ELSE {none} END"
 
 
