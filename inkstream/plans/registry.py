@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import atlas, metrics, policy, postings, search, social, vectors
 from ..operators.postings import SearchIndex
 from ..sources.projection import Corpus, with_views
-from . import cells, ledger, maps, segments, sources
+from . import cells, keyed, ledger, maps, segments, sources
 from . import oracles as o
 from .portable import Portable
 
@@ -78,7 +78,7 @@ def _bound(plan: Callable[[Corpus], DataFrame]) -> Query:
     return lambda spark, sf_dir: plan(Corpus(spark, sf_dir))
 
 
-_ALL = _PLANS | ledger.PLANS | maps.PLANS | sources.PLANS | segments.PLANS | cells.PLANS
+_ALL = _PLANS | ledger.PLANS | maps.PLANS | sources.PLANS | segments.PLANS | cells.PLANS | keyed.PLANS
 
 
 def queries() -> dict[str, Query]:

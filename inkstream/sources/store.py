@@ -75,6 +75,20 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; it fails where there is one already."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    at, fs = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.option("pathGlobFilter", "*").text(path).collect())
 
