@@ -265,7 +265,7 @@ class Api:
         "/api/dashboard": _dashboard,
         "/api/timeline": _timeline,
         "/api/latency": lambda self, a: self._named("latency_series")(a),
-        "/activity": lambda self, a: self._named("traffic_series")(a),
+        "/activity": lambda self, a: self._named("activity_slots")(a),
         "/api/labeler": _labeler,
         "/admin/overlay": lambda self, a: self._named("overlay_status")(a),
         "/snapshot": lambda self, a: self._named("snapshot_counts")(a),

@@ -45,6 +45,9 @@ SELECT s.endpoint, t.n, round(s.mean / 1000, 6) AS avg_ms, CAST(s.p50 AS DOUBLE)
     "latency_series": """WITH b AS (SELECT endpoint, @HOUR_NO(ts) AS hour, count(*) AS n, CAST(sum(latency_us) AS BIGINT) AS sum_us, max(latency_us) AS max_us FROM p_requests GROUP BY endpoint, @HOUR_NO(ts)),
 h AS (SELECT e.endpoint, s.hour FROM (SELECT DISTINCT endpoint FROM p_requests) e CROSS JOIN (SELECT @SERIES(CAST(474071 - 167 AS BIGINT), CAST(474071 AS BIGINT)) AS hour) s)
 SELECT h.endpoint, h.hour, COALESCE(b.n, 0) AS n, round(COALESCE(CAST(b.sum_us AS DOUBLE) / b.n, 0.0), 6) AS avg_us, COALESCE(b.max_us, 0) AS max_us FROM h LEFT JOIN b ON b.endpoint = h.endpoint AND b.hour = h.hour""",
+    # The last 60 slots of 100 ms up to the latest request, empty ones included.
+    "activity_slots": """WITH b AS (SELECT CAST(floor(@EPOCH(ts) * 10) AS BIGINT) AS slot, count(*) AS n FROM p_requests GROUP BY CAST(floor(@EPOCH(ts) * 10) AS BIGINT)),
+h AS (SELECT @SERIES(last - 59, last) AS slot FROM (SELECT max(slot) AS last FROM b) m) SELECT h.slot, COALESCE(b.n, 0) AS n FROM h LEFT JOIN b ON b.slot = h.slot""",
     "traffic_series": "SELECT @HOUR_NO(ts) AS hour, count(*) AS n FROM p_requests WHERE endpoint <> 'error' GROUP BY @HOUR_NO(ts)",
     "latency_rollup": "SELECT endpoint, round(sum(avg_us * n) / sum(n), 6) AS avg_us, max(max_us) AS worst FROM (SELECT endpoint, @HOUR_NO(ts) AS hour, avg(latency_us) AS avg_us, count(*) AS n, max(latency_us) AS max_us FROM p_requests GROUP BY endpoint, @HOUR_NO(ts)) b GROUP BY endpoint",
     "bench_stats": "SELECT endpoint, count(*) AS n, round(avg(latency_us), 6) AS mean, min(latency_us) AS least, max(latency_us) AS most, round(median(latency_us), 6) AS median, round(stddev_samp(latency_us), 6) AS deviation FROM p_requests GROUP BY endpoint",

@@ -74,3 +74,40 @@ def test_authors_as_all_at_once_in_any_order_of_arrival(spark, tmp_path):
         authors.run(spark, f"{at}/inbox", rows.schema, f"{at}/state", f"{at}/out", "40 days")
         got = authors.latest_states(spark.read.schema(authors.STATES).parquet(f"{at}/out"))
         assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_a_stalled_stream_is_reported(spark, tmp_path):
+    import time
+
+    from inkstream.streaming.watch import Silence
+
+    now, said = [0.0], []
+    listener = Silence(30, lambda name, silent: said.append((name, silent)), lambda: now[0])
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        query = stream.writeStream.queryName("stalled").format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+        query.processAllAvailable()
+        for _ in range(100):
+            if listener.spoke:
+                break
+            time.sleep(0.1)
+        listener.look()
+        assert said == []
+        now[0] = 31.5
+        listener.look()
+        listener.look()
+        assert said == [("stalled", 31.5)]
+        spark.range(5, 9).write.mode("append").parquet(f"{tmp_path}/in")
+        query.processAllAvailable()
+        for _ in range(100):
+            if not listener.told:
+                break
+            time.sleep(0.1)
+        now[0] = 70.0
+        listener.look()
+        assert [name for name, _ in said] == ["stalled", "stalled"]
+        query.stop()
+    finally:
+        spark.streams.removeListener(listener)
