@@ -15,7 +15,8 @@ named are not carried.  Lost executors repeat their partition's sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,8 +57,8 @@ def _vectors(batch: pa.RecordBatch, column: int, size: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, size)
 
 
-def _merge(a: Moments | None, b: Moments | None) -> Moments | None:
-    return a.merged(b) if a is not None and b is not None else a if b is None else b
+def _merge(a: Moments, b: Moments) -> Moments:
+    return a.merged(b)
 
 
 class Whitening:
@@ -78,28 +79,25 @@ class Whitening:
         """The whole-number vectors less the offset, which no difference or covariance sees."""
         return np.floor(self.scale * v).astype(np.int64)
 
-    def fit(self, rows: DataFrame, size: int) -> Moments | None:
+    def fit(self, rows: DataFrame, size: int) -> Moments:
         """Moments of all rows."""
         whole = self._whole
         return self._gathered(rows, lambda b: whole(_vectors(b, 0, size)))
 
-    def _gathered(self, rows: DataFrame, of: object) -> Moments | None:
-        """Moments of a matrix for each batch, merged within the partitions and then in a tree."""
+    def _gathered(self, rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> Moments:
+        """Moments of a matrix for each batch, merged within the partitions and then in a tree; there are rows."""
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pickle
-
             total = None
             for b in batches:
                 if b.num_rows:
-                    total = _merge(total, Moments.of(of(b)))
+                    one = Moments.of(of(b))
+                    total = one if total is None else total.merged(one)
             if total is not None:
                 yield pa.record_batch({"moments": pa.array([pickle.dumps(total)], pa.binary())})
 
-        import pickle
-
         each = rows.select("v").mapInArrow(task, "moments binary").rdd.map(lambda r: pickle.loads(r.moments))
-        return each.treeAggregate(None, _merge, _merge, self.depth)
+        return each.treeReduce(_merge, self.depth)
 
     def whitened(self, vectors: DataFrame, identity: str = "vec_id", embedding: str = "embedding") -> DataFrame:
         """(identity, component, n, deviation, whitened, explained, identity_error) for each vector and component."""
