@@ -1,7 +1,7 @@
 """A stored vector index: vectors by cells around centroids, of which a search reads the nearest few.
 
 Centroids are fitted on a bounded sample, and so is the number of cells that a search probes: the least that finds
-`recall` of the sample's own nearest neighbours.  Every vector is stored, in the folder of its cell, so files of cells
+`recall` of the nearest neighbours in the sample of vectors that no centroid was fitted on.  Every vector is stored, in the folder of its cell, so files of cells
 that are not probed are not read; a large cell is cut into parts, each a task of its own.  Probing all cells is an exact
 search.  Vectors that are null, zero or hold null or non-finite entries have no direction and are left out."""
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..sources import store
 from .vectors import nearest
 
-#: Vectors that centroids are fitted on, cells, and rows of a part of a cell, at most.
-SAMPLE, CELLS, PART = 20_000, 4_096, 50_000
+#: Vectors of the sample, cells, rows of a part of a cell, and vectors of the sample that probes are set by, at most.
+SAMPLE, CELLS, PART, HELD = 20_000, 4_096, 50_000, 1_024
 _USABLE = "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < CAST('Infinity' AS DOUBLE)) AND exists(embedding, x -> x <> 0)"
 
 
@@ -42,15 +42,22 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def _probes(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
-    """How many cells hold, on average, `recall` of the k nearest of a vector in the sample."""
-    home, q = (x @ c.T).argmax(axis=1), x[:queries]
-    order = np.argsort(-(q @ c.T), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(c))[None, :], axis=1)
-    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
-    depth = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
-    return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+def _probes(q: np.ndarray, x: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
+    """How many cells hold, on average, `recall` of the k nearest in the sample x of the vectors q, and nine tenths for that share of them.
+
+    No centroid may have been fitted on q."""
+    home, depth = (x @ c.T).argmax(axis=1), []
+    for lo in range(0, len(q), 256):
+        some = q[lo : lo + 256]
+        order = np.argsort(-(some @ c.T), axis=1)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(c))[None, :], axis=1)
+        near = np.argsort(-(some @ x.T), axis=1, kind="stable")[:, :k]
+        depth.append(np.sort(np.take_along_axis(place, home[near], axis=1), axis=1))
+    by_query = np.concatenate(depth)
+    at = lambda v, share: int(np.sort(v)[min(len(v) - 1, int(np.ceil(share * len(v))))])
+    most = by_query[:, min(by_query.shape[1] - 1, int(np.ceil(0.9 * by_query.shape[1])) - 1)]
+    return max(at(by_query.ravel(), recall), at(most, recall)) + 1
 
 
 class VectorIndex:
@@ -79,9 +86,11 @@ class VectorIndex:
         size, n = (sizes[0].size, sizes[0]["count"]) if sizes else (1, 0)
         taken = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
         x = _matrix(taken["embedding"], size)
-        many = min(cells or max(1, round(n**0.5)), CELLS, max(1, len(x)))
-        c = _centroids(x, many) if len(x) else np.ones((1, size))
-        probes = min(len(c), _probes(x, c, k, recall)) if len(x) else 1
+        held = min(HELD, len(x) // 10)
+        fit, asked = x[: len(x) - held], x[len(x) - held :] if held else x
+        many = min(cells or max(1, round(n**0.5)), CELLS, max(1, len(fit)))
+        c = _centroids(fit, many) if len(x) else np.ones((1, size))
+        probes = min(len(c), _probes(asked, x, c, k, recall)) if len(x) else 1
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

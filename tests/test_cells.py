@@ -53,3 +53,13 @@ def test_no_vectors(spark, tmp_path):
     VectorIndex.build(df, f"{tmp_path}/index")
     index = VectorIndex(spark, f"{tmp_path}/index")
     assert index.search(df).collect() == [] and recall(index, df).first().asked == 0
+
+
+def test_recall_of_vectors_without_structure(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(6000, 48))
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    VectorIndex.build(df, f"{tmp_path}/index", cells=200)
+    index = VectorIndex(spark, f"{tmp_path}/index")
+    assert index.meta["probes"] < 200
+    got = recall(index, df.where("vec_id % 20 = 0")).first()
+    assert got.asked == 6000 and got.found >= 0.93 * got.asked
