@@ -73,6 +73,8 @@ class SegmentIndex(SearchIndex):
 
     text is the indexed expression, columns the further ones of rows, prior an expression that is added to scores."""
 
+    key = "uri"
+
     def __init__(self, spark: SparkSession, path: str, text: str, columns: list[str], prior: str = "0D"):
         self.spark, self.path, self.text, self.columns, self.prior = spark, path, text, columns, prior
         self.open()
