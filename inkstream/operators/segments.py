@@ -6,8 +6,9 @@ Dictionary entries are differences: a batch subtracts what it hides, so sums ove
 the segments equals one of an index built anew.  What a batch writes follows from the batch alone.  A manifest names the
 segments; it is created, never overwritten, so of two writers one fails and readers keep the version they opened.
 
-Postings of a word are ordered by what they can come to in a score, the word's weight less the row's prior (its age), and
-cut into blocks with bounds: the largest count, the shortest row, the least prior.  A query for the best K first reads
+Postings are cut into blocks where their rows are: a task takes a run of them, orders those of a word by what they can
+come to in a score, the word's weight less the row's prior (its age), and cuts blocks with bounds: the largest count, the
+shortest row, the least prior.  A batch moves texts once and no postings; a compaction moves postings once.  A query for the best K first reads
 the best blocks, which bounds the K-th score, and then only blocks with a row that could reach it.  A row of a block that
 is passed over cannot be among the best, whatever it holds elsewhere, so the result is exact."""
 
@@ -16,28 +17,113 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.query_text import Parsed, parse_query
 from ..sources import store
-from .postings import K1, SearchIndex, token_words, tokens
+from .postings import K1, SearchIndex, inverted, token_words, tokens
 from .postings import B as DAMP
 
 #: Postings of a block.
 BLOCK = 256
-#: Rows from which on a word's postings are ordered in several tasks.
-HOT = 65_536
+#: Postings of a run, within which those of a word are ordered.
+HOT = 1_000_000
 #: Letters up to which beginnings are counted; the rows of longer ones are counted from their postings.
 BEGIN = 24
 #: Rows of a query's words up to which all of them are read at once.
 FEW = 4_096
 
 
+def blocked(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the postings (term, uri, dl, prior, tf, at) of a task, in runs sorted by term."""
+
+    def run(t: pa.Table, name: str) -> Iterator[pa.RecordBatch]:
+        terms = t["term"].combine_chunks().dictionary_encode()
+        word, n = terms.indices.to_numpy(), len(t)
+        dl, prior, tf = (t[c].to_numpy().astype(np.float64) for c in ("dl", "prior", "tf"))
+        df = np.bincount(word)
+        weight = np.maximum(np.log((df.max() - df + 0.5) / (df + 0.5)), 1e-6)[word]
+        top = (K1 + 1) * tf / (tf + K1 * (1 - DAMP + DAMP * dl / max(dl.mean(), 1.0))) * weight - prior
+        by_text = np.empty(len(df), np.int64)
+        by_text[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(df))
+        order = np.lexsort((-top, by_text[word]))
+        word = word[order]
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+        first = np.flatnonzero(place % block == 0)
+        posts = pa.StructArray.from_arrays([t[c].combine_chunks().take(pa.array(order)) for c in ("uri", "dl", "tf", "at")], ["uri", "dl", "tf", "at"])
+        out = pa.table({
+            "term": terms.dictionary.take(pa.array(word[first])),
+            "block": pa.array([f"{name}-{i}" for i in (place[first] // block).tolist()]),
+            "top": top[order][first],
+            "max_tf": np.maximum.reduceat(tf[order], first).astype(np.int32),
+            "min_dl": np.minimum.reduceat(dl[order], first).astype(np.int32),
+            "min_prior": np.minimum.reduceat(prior[order], first),
+            "rows": np.diff(np.r_[first, n]),
+            "posts": pa.ListArray.from_arrays(pa.array(np.r_[first, n].astype(np.int32)), posts),
+        })
+        yield from out.to_batches(2_000)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, held, n, runs = context.partitionId() if context else 0, [], 0, 0
+        for b in batches:
+            for lo in range(0, b.num_rows, most):
+                held.append(b.slice(lo, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    yield from run(pa.Table.from_batches(held), f"{part}-{runs}")
+                    held, n, runs = [], 0, runs + 1
+        if n:
+            yield from run(pa.Table.from_batches(held), f"{part}-{runs}")
+
+    return task
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, begins, df): how many rows (terms, by) hold a word, or a beginning of words, each weighed by `by`.
+
+    Of a row's sorted words, each begins in those ways new to the row that are longer than what it shares with the word before."""
+    for b in batches:
+        words = pc.list_flatten(b["terms"]).dictionary_encode()
+        if not len(words):
+            continue
+        texts = words.dictionary.take(pc.sort_indices(words.dictionary))
+        place = np.empty(len(texts), np.int64)
+        place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(texts))
+        texts = texts.to_pylist()
+        letters = np.array([w[:BEGIN] for w in texts], f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
+        size = pc.list_value_length(b["terms"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        pair = np.sort(np.repeat(np.arange(len(size)), size) * len(texts) + place[words.indices.to_numpy()])
+        row, word = pair // len(texts), pair % len(texts)
+        by = b["by"].to_numpy().astype(np.float64)[row]
+        shared = np.zeros(len(pair), np.int64)
+        for lo in range(1, len(pair), 200_000):
+            at = np.arange(lo, min(lo + 200_000, len(pair)))
+            differs = letters[word[at]] != letters[word[at - 1]]
+            same = np.where(differs.any(axis=1), differs.argmax(axis=1), BEGIN)
+            shared[at] = np.where(row[at] == row[at - 1], same, 0)
+        new = np.bincount(word * (BEGIN + 1) + shared, weights=by, minlength=len(texts) * (BEGIN + 1)).reshape(len(texts), BEGIN + 1).cumsum(axis=1).astype(np.int64)
+        of: dict[str, int] = {}
+        for w, n in zip(texts, new.tolist(), strict=True):
+            for k in range(1, min(BEGIN, len(w)) + 1):
+                of[w[:k]] = of.get(w[:k], 0) + n[k - 1]
+        df = np.r_[np.bincount(word, weights=by, minlength=len(texts)).astype(np.int64), np.fromiter(of.values(), np.int64, len(of))]
+        yield pa.record_batch({"text": pa.array(texts + list(of), pa.string()), "begins": pa.array(np.r_[np.zeros(len(texts), bool), np.ones(len(of), bool)]), "df": pa.array(df)})
+
+
+_BLOCKS = "term string, block string, top double, max_tf int, min_dl int, min_prior double, rows long, posts array<struct<uri: string, dl: int, tf: int, at: array<int>>>"
+
+
 @dataclass
 class Manifest:
     version: int = 0
@@ -109,22 +195,27 @@ class SegmentIndex(SearchIndex):
         self.open()
         folder = f"seg-{uuid.uuid4().hex}"
         at = f"{self.path}/{folder}"
-        said = docs.withColumn("_t", tokens(f"coalesce({self.text}, '')"))
         own = [c for c in self.columns if c != "uri"]
-        said.select("uri", *own, F.expr(self.prior).cast("double").alias("prior"), F.size("_t").alias("dl"), F.array_distinct("_t").alias("terms"), "_t").write.parquet(f"{at}/said")
-        said = self.spark.read.parquet(f"{at}/said")
-        said.drop("_t").write.parquet(f"{at}/rows")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        said = docs.select("uri", *own, F.expr(self.prior).cast("double").alias("prior"), F.expr(self.text).alias("_s")).repartition(n, "uri")  # a table may be one large file
+        said.withColumn("_t", tokens("coalesce(_s, '')")).drop("_s").write.parquet(f"{at}/said")
+        said = self.spark.read.parquet(f"{at}/said").withColumn("dl", F.size("_t"))
+        said.select("uri", *own, "prior", "dl", F.array_distinct("_t").alias("terms")).write.parquet(f"{at}/rows")
         gone = said.select("uri") if deleted is None else said.select("uri").unionByName(deleted.select("uri")).distinct()
         gone.sortWithinPartitions("uri").write.parquet(f"{at}/gone")
         gone, rows = self.spark.read.parquet(f"{at}/gone"), self.spark.read.parquet(f"{at}/rows")
-        hidden = self.live(self._rows).select("uri", "dl", "terms").join(gone, "uri", "left_semi") if self.manifest.segments else rows.limit(0).select("uri", "dl", "terms")
-        each = said.select("uri", "dl", "prior", F.posexplode("_t").alias("at", "term"))
-        posts = each.groupBy("term", "uri", "dl", "prior").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
+        if self.manifest.segments:
+            self.live(self._rows.select("seg", "uri", "dl", "terms").join(gone, "uri", "left_semi")).select("dl", "terms").write.parquet(f"{at}/hidden")
+            hidden = self.spark.read.parquet(f"{at}/hidden")
+        else:
+            hidden = rows.limit(0).select("dl", "terms")
         self._write_words(at, rows, hidden)
-        self._write_blocks(at, posts)
+        invert, cut = inverted(["uri", "dl", "prior"]), blocked(BLOCK, HOT)
+        self._write_blocks(at, said.select("uri", "dl", "prior", "_t").mapInArrow(lambda b: cut(invert(b)), _BLOCKS))
         counts = [F.count_if(F.col("dl") > 0), F.coalesce(F.sum("dl"), F.lit(0).cast("long")), F.count("*")]
         plus, minus = rows.agg(*counts).first(), hidden.agg(*counts).first()
         store.delete(self.spark, f"{at}/said")
+        store.delete(self.spark, f"{at}/hidden")
         self._commit(m, [*m.segments, {"folder": folder, "rows": plus[2]}], [*m.batches, batch], m.n + plus[0] - minus[0], m.dl + plus[1] - minus[1])
         return self.open()
 
@@ -134,35 +225,11 @@ class SegmentIndex(SearchIndex):
     def _write_words(self, at: str, rows: DataFrame, hidden: DataFrame) -> None:
         """(text, begins, df): in how many more rows a word, or a beginning of words, stands than before."""
         both = rows.select("terms", F.lit(1).alias("by")).unionByName(hidden.select("terms", F.lit(-1).alias("by")))
-        begun = F.expr(f"array_distinct(flatten(transform(terms, t -> transform(sequence(1, least({BEGIN}, length(t))), n -> left(t, n)))))")
-        of = lambda text, begins: both.select(F.explode(text).alias("text"), F.lit(begins).alias("begins"), "by")
-        words = of(F.col("terms"), False).unionByName(of(begun, True)).groupBy("text", "begins").agg(F.sum("by").alias("df")).where("df <> 0")
+        words = both.mapInArrow(counted, "text string, begins boolean, df long").groupBy("text", "begins").agg(F.sum("df").alias("df")).where("df <> 0")
         words.repartitionByRange("text", "begins").sortWithinPartitions("text").write.option("parquet.page.row.count.limit", 2000).parquet(f"{at}/words")
 
-    def _write_blocks(self, at: str, posts: DataFrame) -> None:
-        """Postings (term, uri, dl, prior, tf, at) in blocks by what they can come to in a score."""
-        posts.write.parquet(f"{at}/posts")
-        posts = self.spark.read.parquet(f"{at}/posts")
-        size = posts.agg(F.count_distinct("uri").alias("n"), F.avg("dl").alias("a")).first()
-        hot = posts.groupBy("term").agg(F.count("*").alias("df")).where(f"df > {HOT}").select("term", F.expr(f"df div {HOT} + 1").alias("parts"), "df")
-        mean = max(size.a or 0.0, 1.0)
-        weight = F.expr(f"CASE WHEN df IS NULL THEN 1D ELSE greatest(ln(({size.n} - df + 0.5D) / (df + 0.5D)), 1e-6D) END")
-        comes = F.expr(f"{K1 + 1}D * tf / (tf + {K1}D * ({1 - DAMP}D + {DAMP}D * dl / {mean}D))") * weight - F.col("prior")
-        spread = posts.join(hot, "term", "left").withColumn("part", F.expr("pmod(xxhash64(uri), coalesce(parts, 1))")).withColumn("top", comes)
-        place = F.row_number().over(Window.partitionBy("term", "part").orderBy(F.desc("top"), "uri"))
-        cut = spread.withColumn("block", F.floor((place - 1) / BLOCK)).groupBy("term", "part", "block")
-        blocks = cut.agg(
-            F.max("top").alias("top"),
-            F.max("tf").alias("max_tf"),
-            F.min("dl").alias("min_dl"),
-            F.min("prior").alias("min_prior"),
-            F.count("*").alias("rows"),
-            F.sort_array(F.collect_list(F.struct("uri", "dl", "tf", "at"))).alias("posts"),
-        )
-        blocks = blocks.select("term", F.concat_ws("-", "part", "block").alias("block"), "top", "max_tf", "min_dl", "min_prior", "rows", "posts")
-        blocks = blocks.repartitionByRange(F.col("term"), F.col("top").desc()).sortWithinPartitions("term", F.col("top").desc())
+    def _write_blocks(self, at: str, blocks: DataFrame) -> None:
         blocks.write.option("parquet.page.row.count.limit", 64).parquet(f"{at}/blocks")
-        store.delete(self.spark, f"{at}/posts")
 
     def compact(self, first: int = 0) -> SegmentIndex:
         """The segments from `first` on as one; folders that only older versions name stay until `vacuum`."""
@@ -178,9 +245,10 @@ class SegmentIndex(SearchIndex):
         gone.sortWithinPartitions("uri").write.parquet(f"{at}/gone")
         words = self.words.where(late).groupBy("text", "begins").agg(F.sum("df").alias("df")).where("df <> 0")
         words.repartitionByRange("text", "begins").sortWithinPartitions("text").write.option("parquet.page.row.count.limit", 2000).parquet(f"{at}/words")
-        posts = self.blocks.where(late).select("seg", "term", F.explode("posts").alias("p")).select("seg", "term", "p.*")
-        priors = self.spark.read.parquet(f"{at}/rows").select("uri", "prior")
-        self._write_blocks(at, self.live(posts).drop("seg").join(priors, "uri"))
+        posts = self.blocks.where(late).select("seg", "term", F.explode("posts").alias("p")).select("seg", "term", "p.uri", "p.dl", "p.tf", "p.at")
+        alive = self.live(self._rows.where(late).select("seg", "uri", "prior"))
+        posts = posts.join(alive, ["seg", "uri"]).select("term", "uri", "dl", "prior", "tf", "at")
+        self._write_blocks(at, posts.mapInArrow(blocked(BLOCK, HOT), _BLOCKS))
         kept = self.spark.read.parquet(f"{at}/rows").count()
         self._commit(m, [*m.segments[:first], {"folder": folder, "rows": kept}], m.batches, m.n, m.dl)
         return self.open()

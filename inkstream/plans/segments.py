@@ -29,9 +29,9 @@ def index(c: Corpus) -> SegmentIndex:
         if name not in out.manifest.batches:
             mine = changes.where(F.col("doc_id") % BATCHES == i)
             out.apply(name, mine.where("deleted = 0").select("uri", "content", *COLUMNS), mine.where("deleted = 1").select("uri"))
-            due = out.due()
-            if due is not None:
-                out.compact(due)
+    due = out.due()
+    if due is not None:  # once for all batches that came together: reads merge segments in the meantime
+        out.compact(due)
     return out
 
 

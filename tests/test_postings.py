@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from inkstream.operators import postings
 from inkstream.operators.postings import SearchIndex, inverted
+from inkstream.operators.segments import blocked, counted
 
 
 def test_runs_hold_every_posting(monkeypatch):
@@ -29,3 +30,29 @@ def test_a_build_moves_rows_and_no_postings(spark, tmp_path):
     spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     assert 300 <= moved() - before < 400
     assert SearchIndex(spark, f"{tmp_path}/index").postings.count() > 10_000
+
+
+def test_words_and_beginnings_are_counted_once_a_row():
+    r = random.Random(8)
+    words = ["a", "ab", "abc", "été", "étage", "𝒳y", "b" * 30, "b" * 24 + "c", "zz"]
+    rows = [(r.sample(words, r.randint(0, 6)), r.choice([1, 1, -1])) for _ in range(200)]
+    batch = pa.record_batch({"terms": pa.array([t for t, _ in rows], pa.list_(pa.string())), "by": pa.array([b for _, b in rows], pa.int32())})
+    got = {(p["text"], p["begins"]): p["df"] for b in counted(iter([batch])) for p in b.to_pylist()}
+    want = {}
+    for terms, by in rows:
+        for key in {(w, False) for w in terms} | {(w[:k], True) for w in terms for k in range(1, min(24, len(w)) + 1)}:
+            want[key] = want.get(key, 0) + by
+    assert got == want
+
+
+def test_blocks_hold_every_posting_and_bound_it():
+    r = random.Random(3)
+    rows = [{"term": r.choice("abc"), "uri": f"u{i}", "dl": r.randint(1, 50), "prior": r.random() * 9, "tf": r.randint(1, 5), "at": [i, i + 1]} for i in range(500)]
+    batch = pa.Table.from_pylist(rows, pa.schema({"term": pa.string(), "uri": pa.string(), "dl": pa.int32(), "prior": pa.float64(), "tf": pa.int32(), "at": pa.list_(pa.int32())})).to_batches()
+    at = {x["uri"]: x for x in rows}
+    out = [p for b in blocked(16, 200)(iter(batch)) for p in b.to_pylist()]
+    assert sorted(p["uri"] for b in out for p in b["posts"]) == sorted(at) and len({(b["term"], b["block"]) for b in out}) == len(out)
+    for b in out:
+        own = [at[p["uri"]] for p in b["posts"]]
+        assert b["rows"] == len(own) <= 16 and all(x["term"] == b["term"] and [p["tf"], p["dl"], p["at"]] == [x["tf"], x["dl"], x["at"]] for x, p in zip(own, b["posts"], strict=True))
+        assert (b["max_tf"], b["min_dl"], b["min_prior"]) == (max(x["tf"] for x in own), min(x["dl"] for x in own), min(x["prior"] for x in own))
