@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .classifier import STOP_WORDS
 from .graph import components
 
@@ -87,14 +91,72 @@ def scaled(points: DataFrame, columns: tuple[str, ...] = ("x", "y")) -> DataFram
     return out.drop(*(f"_{n}_{c}" for c in columns for n in ("lo", "hi")))
 
 
-def near_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b): points (id, x, y) at most `radius` apart, in both orders; they meet in the cells around them."""
-    p = points.select("id", "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
-    away = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    q = p.select(F.col("id").alias("b"), F.col("x").alias("qx"), F.col("y").alias("qy"), "cx", "cy").withColumn("dx", F.explode(away)).withColumn("dy", F.explode(away))
-    q = q.select("b", "qx", "qy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    return p.join(q, ["cx", "cy"]).where((F.col("id") != F.col("b")) & (d2 <= radius * radius)).select(F.col("id").alias("a"), "b")
+#: Side of a cell in radii: all points of a cell are within the radius of each other, and points within it are at most two cells apart.
+SIDE = 0.7
+#: Cells from the origin up to which doubles tell cells apart; places beyond are an error.
+FAR = float(1 << 40)
+#: Pairs of points that are compared one by one to link cells, as a multiple of all dense points, and halvings of a cell at most before that.
+COMPARED, HALVINGS = 16, 20
+
+
+def _within(radius: float) -> Column:
+    return (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")) <= radius * radius
+
+
+def _around(points: DataFrame) -> DataFrame:
+    """Points in the 5 x 5 cells around their own, as (q, qx, qy, cx, cy)."""
+    away = F.array(*(F.lit(d).cast("long") for d in range(-2, 3)))
+    p = points.select(F.col("id").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), "cx", "cy").withColumn("dx", F.explode(away)).withColumn("dy", F.explode(away))
+    return p.select("q", "qx", "qy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+
+
+def _parts(points: DataFrame, level: int, side: str) -> DataFrame:
+    """Cells halved `level` times, each with the number of its points and the box around them.  side is a letter that names the columns."""
+    at = lambda c: F.floor(F.col(f"g{c}") * float(1 << level)).alias(f"{side}{c}")
+    ends = (f(c).alias(f"{side}{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max)))
+    return points.groupBy(at("x"), at("y")).agg(F.count("*").alias(f"{side}n"), *ends)
+
+
+def _bounds(pairs: DataFrame) -> DataFrame:
+    """Pairs of parts with the squares of the least and the largest distance that their boxes allow.
+
+    They are rounded as a distance of points is, and rounding keeps order, so they bound what is computed of points as well."""
+    gap = lambda c: f"greatest(a{c}0 - b{c}1, b{c}0 - a{c}1, 0D)"
+    span = lambda c: f"greatest(a{c}1 - b{c}0, b{c}1 - a{c}0)"
+    square = lambda f: F.expr(f"{f('x')} * {f('x')} + {f('y')} * {f('y')}")
+    return pairs.select("ax", "ay", "bx", "by", "an", "bn", square(gap).alias("least"), square(span).alias("most"))
+
+
+def linked_cells(points: DataFrame, radius: float, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(ax, ay, bx, by): pairs of neighbouring cells of points (gx, gy, x, y) that hold two points within the radius.
+
+    Boxes around the points decide most pairs; what they leave open is decided by halves of the cells, and by single points
+    where few are left, so the work follows the cells that are in use and not the pairs of points."""
+    steps = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
+    near = F.explode(F.array(*(F.struct(F.lit(dx).cast("long").alias("x"), F.lit(dy).cast("long").alias("y")) for dx, dy in steps)))
+    cells = kept(_parts(points, 0, "a"), "parts-0")
+    other = cells.select(*(F.col(c).alias("b" + c[1:]) for c in cells.columns))
+    meet = cells.withColumn("d", near).withColumns({"bx": F.col("ax") + F.col("d.x"), "by": F.col("ay") + F.col("d.y")}).drop("d").join(other, ["bx", "by"])
+    r2, found, compared = radius * radius, None, COMPARED * (cells.agg(F.sum("an")).first()[0] or 0)
+    for level in range(HALVINGS + 1):
+        pairs = kept(_bounds(meet).where(F.col("least") <= r2), f"pairs-{level}")
+        cell = [F.shiftright(c, level).alias(c) for c in ("ax", "ay", "bx", "by")]
+        sure = pairs.where(F.col("most") <= r2).select(*cell).distinct()
+        found = kept(sure if found is None else sure.unionByName(found), f"found-{level}")
+        keys = [F.shiftright(c, level).alias(f"_{c}") for c in ("ax", "ay", "bx", "by")]
+        told = found.select(*(F.col(c).alias(f"_{c}") for c in found.columns))
+        open_ = kept(pairs.select("ax", "ay", "bx", "by", "an", "bn", *keys).join(told, [f"_{c}" for c in found.columns], "left_anti").select("ax", "ay", "bx", "by", "an", "bn"), f"open-{level}")
+        left = open_.agg(F.sum(F.col("an").cast("double") * F.col("bn"))).first()[0] or 0.0
+        if not left:
+            return found
+        if left <= compared or level == HALVINGS:
+            break
+        half = kept(_parts(points, level + 1, "a"), f"parts-{level + 1}").withColumns({"_ax": F.shiftright("ax", 1), "_ay": F.shiftright("ay", 1)})
+        to = half.select(*(F.col(c).alias(c.replace("a", "b", 1)) for c in half.columns))
+        meet = open_.select(*(F.col(c).alias(f"_{c}") for c in ("ax", "ay", "bx", "by"))).join(half, ["_ax", "_ay"]).join(to, ["_bx", "_by"])
+    at = lambda side: [F.floor(F.col(f"g{c}") * float(1 << level)).alias(f"{side}{c}") for c in "xy"]
+    single = open_.select("ax", "ay", "bx", "by").join(points.select(*at("a"), "x", "y"), ["ax", "ay"]).join(points.select(*at("b"), F.col("x").alias("qx"), F.col("y").alias("qy")), ["bx", "by"])
+    return kept(found.unionByName(single.where(_within(radius)).select(*cell).distinct()), "found")
 
 
 def density_clusters(points: DataFrame, radius: float, min_samples: int, min_size: int) -> DataFrame:
@@ -102,15 +164,42 @@ def density_clusters(points: DataFrame, radius: float, min_samples: int, min_siz
 
     Dense points have min_samples others within the radius; linked ones form a cluster, to which points within the
     radius belong as well (of several clusters the least); clusters below min_size are noise.  core says whether a
-    point was assigned and not only snapped.  One fixed radius stands for the hierarchy of densities."""
-    pairs = near_pairs(points, radius)
-    dense = pairs.groupBy("a").count().where(f"count >= {min_samples}").select(F.col("a").alias("node"))
-    links = pairs.join(dense.select(F.col("node").alias("a")), "a", "left_semi").join(dense.select(F.col("node").alias("b")), "b", "left_semi")
-    found = components(dense, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    edge = pairs.join(found.withColumnRenamed("node", "b"), "b").join(dense.withColumnRenamed("node", "a"), "a", "left_anti").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
-    member = found.unionByName(edge)
+    point was assigned and not only snapped.  One fixed radius stands for the hierarchy of densities.
+
+    Points lie in cells no wider than the radius.  All points of a cell with enough of them are dense and all dense points of a
+    cell are linked, so only points of cells that hold few are compared with those around, and cells are linked, not points.
+    Rows of one id are one point in several places; rows without an id or a finite place link with nothing."""
+    spark = points.sparkSession
+    base = f"{store.folder(spark)}/clusters-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    finite = points.where("id IS NOT NULL AND abs(x) < double('Infinity') AND abs(y) < double('Infinity')")
+    number = lambda c: F.when(F.abs(c) < FAR * radius * SIDE, F.col(c) / (radius * SIDE)).otherwise(F.raise_error(F.lit(f"{c} is more than {FAR:.0f} cells from 0")).cast("double"))
+    placed = kept(finite.select("id", "x", "y", number("x").alias("gx"), number("y").alias("gy")).withColumns({"cx": F.floor("gx"), "cy": F.floor("gy")}), "placed")
+    full = placed.groupBy("cx", "cy", "id").count().groupBy("cx", "cy").agg((F.sum("count") - F.max("count")).alias("others")).where(F.col("others") >= min_samples).select("cx", "cy")
+    full = kept(full, "full")
+    few = placed.join(full, ["cx", "cy"], "left_anti")
+    counted = placed.join(_around(few), ["cx", "cy"]).where((F.col("id") != F.col("q")) & _within(radius)).groupBy("q").count().where(F.col("count") >= min_samples).select(F.col("q").alias("id"))
+    ids = kept(placed.join(full, ["cx", "cy"], "left_semi").select("id").unionByName(counted).distinct(), "ids")
+    dense = kept(placed.join(ids, "id", "left_semi"), "dense")
+    cells = kept(dense.groupBy("cx", "cy").agg(F.min("id").alias("node")), "cells")
+    pairs = linked_cells(dense, radius, kept)
+    names = [cells.select(F.col("cx").alias(f"{s}x"), F.col("cy").alias(f"{s}y"), F.col("node").alias(n)) for s, n in (("a", "u"), ("b", "v"))]
+    links = pairs.join(names[0], ["ax", "ay"]).join(names[1], ["bx", "by"]).select("u", "v")
+    own = dense.select("id", "cx", "cy").join(cells, ["cx", "cy"]).select("id", "node")
+    apart = own.groupBy("id").agg(F.min("node").alias("u"), F.collect_set("node").alias("v")).where("size(v) > 1").select("u", F.explode("v").alias("v"))
+    found = components(cells.select("node"), links.unionByName(apart))
+    dense = kept(dense.join(cells.join(found, "node"), ["cx", "cy"]).select("id", "x", "y", "cx", "cy", "component"), "found-of-points")
+    edge = dense.select("x", "y", "cx", "cy", "component").join(_around(few.join(ids, "id", "left_anti")), ["cx", "cy"]).where(_within(radius)).groupBy(F.col("q").alias("id")).agg(F.min("component").alias("component"))
+    member = dense.select("id", "component").distinct().unionByName(edge)
     large = member.groupBy("component").count().where(f"count >= {min_size}").select("component")
-    member = member.join(large, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    member = kept(member.join(large, "component").select("id", F.col("component").alias("cluster")), "member")
+    for name in store.names(spark, base):
+        if name != "member":
+            store.delete(spark, f"{base}/{name}")
     marked = points.join(member, "id", "left")
     centres = marked.where("cluster IS NOT NULL").groupBy("cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     noise = marked.where("cluster IS NULL").select("id", "x", "y").crossJoin(centres.withColumnRenamed("cluster", "near"))
