@@ -1,16 +1,19 @@
 """A search index of segments: batches append small sorted segments, reads merge them, compaction rewrites them.
 
-A segment holds rows (what hits are filtered and scored by, and the row's distinct words), blocks of postings, a
-dictionary of how many rows hold a word or a beginning of words, and `gone`, the uris whose earlier rows it hides.
+A segment holds rows (what hits are filtered and scored by, and the row's words in order as one string), blocks of
+postings, which name a row by its number, a dictionary of how many rows hold a word or a beginning of words, and `gone`,
+the uris whose earlier rows it hides.
 Dictionary entries are differences: a batch subtracts what it hides, so sums over the segments are exact and a query of
 the segments equals one of an index built anew.  What a batch writes follows from the batch alone.  A manifest names the
 segments; it is created, never overwritten, so of two writers one fails and readers keep the version they opened.
 
 Postings are cut into blocks where their rows are: a task takes a run of them, orders those of a word by what they can
 come to in a score, the word's weight less the row's prior (its age), and cuts blocks with bounds: the largest count, the
-shortest row, the least prior.  A batch moves texts once and no postings; a compaction moves postings once.  A query for the best K first reads
-the best blocks, which bounds the K-th score, and then only blocks with a row that could reach it.  A row of a block that
-is passed over cannot be among the best, whatever it holds elsewhere, so the result is exact."""
+shortest row, the least prior.  A batch moves texts once, and neither it nor a compaction moves postings: a compaction
+cuts them anew from the words of the rows that are left, where these lie.  What it needs to know of hidden rows are their
+numbers.  A query for the best K first reads the best blocks, which bounds the K-th score, and then only blocks with a
+row that could reach it.  A row of a block that is passed over cannot be among the best, whatever it holds elsewhere, so
+the result is exact."""
 
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.query_text import Parsed, parse_query
 from ..sources import store
-from .postings import K1, SearchIndex, inverted, token_words, tokens
+from .postings import K1, SearchIndex, inverted, spaced, token_words
 from .postings import B as DAMP
 
 #: Postings of a block.
@@ -41,10 +44,18 @@ HOT = 1_000_000
 BEGIN = 24
 #: Rows of a query's words up to which all of them are read at once.
 FEW = 4_096
+#: Rows of a segment have numbers below 2 to this power; above it is the place of the segment.
+SEG = 52
 
 
-def blocked(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of the postings (term, uri, dl, prior, tf, at) of a task, in runs sorted by term."""
+def listed(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Batches with their words, `t`, as a list."""
+    for b in batches:
+        yield b.set_column(b.schema.get_field_index("t"), name, pc.split_pattern(b["t"], " "))
+
+
+def blocked(block: int, most: int, kept: tuple[str, ...] = ("uri", "dl", "tf", "at")) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the postings (term, kept, dl, prior, tf) of a task, in runs sorted by term."""
 
     def run(t: pa.Table, name: str) -> Iterator[pa.RecordBatch]:
         terms = t["term"].combine_chunks().dictionary_encode()
@@ -60,11 +71,10 @@ def blocked(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
         first = np.flatnonzero(place % block == 0)
-        posts = pa.StructArray.from_arrays([t[c].combine_chunks().take(pa.array(order)) for c in ("uri", "dl", "tf", "at")], ["uri", "dl", "tf", "at"])
+        posts = pa.StructArray.from_arrays([t[c].combine_chunks().take(pa.array(order)) for c in kept], kept)
         out = pa.table({
             "term": terms.dictionary.take(pa.array(word[first])),
             "block": pa.array([f"{name}-{i}" for i in (place[first] // block).tolist()]),
-            "top": top[order][first],
             "max_tf": np.maximum.reduceat(tf[order], first).astype(np.int32),
             "min_dl": np.minimum.reduceat(dl[order], first).astype(np.int32),
             "min_prior": np.minimum.reduceat(prior[order], first),
@@ -89,39 +99,70 @@ def blocked(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return task
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, begins, df): how many rows (terms, by) hold a word, or a beginning of words, each weighed by `by`.
-
-    Of a row's sorted words, each begins in those ways new to the row that are longer than what it shares with the word before."""
+def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, shared, n) by text: how many rows (terms, by) hold a word, each weighed by `by`, where `shared` is how many letters the
+    word has in common with the one before it among the row's words in order, up to BEGIN."""
     for b in batches:
         words = pc.list_flatten(b["terms"]).dictionary_encode()
         if not len(words):
             continue
-        texts = words.dictionary.take(pc.sort_indices(words.dictionary))
+        by_text = pc.sort_indices(words.dictionary)
+        texts = words.dictionary.take(by_text)
         place = np.empty(len(texts), np.int64)
-        place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(texts))
-        texts = texts.to_pylist()
-        letters = np.array([w[:BEGIN] for w in texts], f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
+        place[by_text.to_numpy()] = np.arange(len(texts))
+        letters = np.array([w[:BEGIN] for w in texts.to_pylist()], f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
         size = pc.list_value_length(b["terms"]).to_numpy(zero_copy_only=False).astype(np.int64)
         pair = np.sort(np.repeat(np.arange(len(size)), size) * len(texts) + place[words.indices.to_numpy()])
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
         row, word = pair // len(texts), pair % len(texts)
-        by = b["by"].to_numpy().astype(np.float64)[row]
         shared = np.zeros(len(pair), np.int64)
         for lo in range(1, len(pair), 200_000):
             at = np.arange(lo, min(lo + 200_000, len(pair)))
-            differs = letters[word[at]] != letters[word[at - 1]]
-            same = np.where(differs.any(axis=1), differs.argmax(axis=1), BEGIN)
-            shared[at] = np.where(row[at] == row[at - 1], same, 0)
-        new = np.bincount(word * (BEGIN + 1) + shared, weights=by, minlength=len(texts) * (BEGIN + 1)).reshape(len(texts), BEGIN + 1).cumsum(axis=1).astype(np.int64)
-        of: dict[str, int] = {}
-        for w, n in zip(texts, new.tolist(), strict=True):
-            for k in range(1, min(BEGIN, len(w)) + 1):
-                of[w[:k]] = of.get(w[:k], 0) + n[k - 1]
-        df = np.r_[np.bincount(word, weights=by, minlength=len(texts)).astype(np.int64), np.fromiter(of.values(), np.int64, len(of))]
-        yield pa.record_batch({"text": pa.array(texts + list(of), pa.string()), "begins": pa.array(np.r_[np.zeros(len(texts), bool), np.ones(len(of), bool)]), "df": pa.array(df)})
+            shared[at] = np.where(row[at] == row[at - 1], alike(letters[word[at]], letters[word[at - 1]]), 0)
+        key = word * (BEGIN + 1) + shared
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.add.reduceat(b["by"].to_numpy().astype(np.int64)[row[order]], first)
+        yield pa.record_batch({"text": texts.take(pa.array(key[first] // (BEGIN + 1))), "shared": pa.array((key[first] % (BEGIN + 1)).astype(np.int32)), "n": pa.array(n)})
+
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first letters two words of each row have in common."""
+    differs = a != b
+    return np.where(differs.any(axis=1), differs.argmax(axis=1), BEGIN)
 
-_BLOCKS = "term string, block string, top double, max_tf int, min_dl int, min_prior double, rows long, posts array<struct<uri: string, dl: int, tf: int, at: array<int>>>"
+
+def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, begins, df) of (text, shared, n) by text: how many rows hold a word, or a beginning of words.
+
+    A word begins in those ways new to its row that are longer than what it shares.  What spans batches comes in parts."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        words = b["text"].dictionary_encode()
+        texts = words.dictionary.to_pylist()
+        at = words.indices.to_numpy().astype(np.int64) * (BEGIN + 1) + b["shared"].to_numpy()
+        new = np.bincount(at, weights=b["n"].to_numpy().astype(np.float64), minlength=len(texts) * (BEGIN + 1)).reshape(len(texts), BEGIN + 1).cumsum(axis=1).astype(np.int64)
+        letters = np.array([w[:BEGIN] for w in texts], f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
+        same, size = np.r_[0, alike(letters[1:], letters[:-1])], np.array([len(w) for w in texts])
+        out, df = list(texts), [new[:, BEGIN]]
+        for k in range(1, BEGIN + 1):
+            some = np.flatnonzero(size >= k)
+            if not len(some):
+                break
+            first = np.flatnonzero(np.r_[True, same[some[1:]] < k])
+            out += [texts[i][:k] for i in some[first].tolist()]
+            df.append(np.add.reduceat(new[some, k - 1], first))
+        yield pa.record_batch({"text": pa.array(out, pa.string()), "begins": pa.array(np.arange(len(out)) >= len(texts)), "df": pa.array(np.concatenate(df))})
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, begins, df) of each batch of rows (terms, by)."""
+    return begun(shares(batches))
+
+
+_BLOCKS = "term string, block string, max_tf int, min_dl int, min_prior double, rows long, posts array<struct<doc: long, tf: int, at: array<int>>>"
 
 
 @dataclass
@@ -154,13 +195,16 @@ def commit(spark: SparkSession, path: str, m: Manifest) -> None:
     out.close()
 
 
+def numbered(doc: str) -> Column:
+    """The number of a row of a segment as one among all segments."""
+    return F.shiftleft(F.col("seg").cast("long"), SEG) + F.col(doc)
+
+
 class SegmentIndex(SearchIndex):
     """The index in a folder, at the version that was latest when it was opened.
 
     text is the indexed expression, columns the further ones of rows, prior an expression that is added to scores."""
 
-    key = "uri"
-
     def __init__(self, spark: SparkSession, path: str, text: str, columns: list[str], prior: str = "0D"):
         self.spark, self.path, self.text, self.columns, self.prior = spark, path, text, columns, prior
         self.open()
@@ -171,9 +215,9 @@ class SegmentIndex(SearchIndex):
             read = lambda name: [(i, self.spark.read.parquet(f"{self.path}/{s['folder']}/{name}")) for i, s in enumerate(self.manifest.segments)]
             union = lambda parts: reduce(DataFrame.unionByName, [df.withColumn("seg", F.lit(i)) for i, df in parts])
             self._rows, self.blocks, self.words, self.gone = (union(read(x)) for x in ("rows", "blocks", "words", "gone"))
-            self.rows = self.live(self._rows).drop("seg", "terms")
-            posts = self.blocks.select("seg", "term", F.explode("posts").alias("p")).select("seg", "term", "p.uri", "p.dl", "p.tf", "p.at")
-            self.postings = self.live(posts).drop("seg")
+            self._rows = self._rows.withColumn("doc", numbered("doc"))
+            self.rows = self.live(self._rows).drop("seg", "t")
+            self.postings = self.posted(self.blocks, "tf", "at").join(self.rows.select("doc", "dl"), "doc")
             mean = self.manifest.dl / self.manifest.n if self.manifest.n else None
             self.stats = self.spark.range(1).select(F.lit(self.manifest.n).cast("long").alias("n"), F.lit(mean).cast("double").alias("a"))
         return self
@@ -185,6 +229,16 @@ class SegmentIndex(SearchIndex):
         last = self.gone.groupBy("uri").agg(F.max("seg").alias("hidden"))
         return df.join(last, "uri", "left").where("hidden IS NULL OR hidden <= seg").drop("hidden")
 
+    def dead(self, first: int) -> DataFrame:
+        """(doc) of the rows of the segments from `first` on that a later segment hides."""
+        last = self.gone.groupBy("uri").agg(F.max("seg").alias("hidden"))
+        return self._rows.where(F.col("seg") >= first).select("seg", "uri", "doc").join(last, "uri").where("hidden > seg").select("doc")
+
+    def posted(self, blocks: DataFrame, *columns: str) -> DataFrame:
+        """(term, doc, columns) of the postings of some blocks, those of hidden rows included."""
+        posts = blocks.select("seg", "term", F.explode("posts").alias("p"))
+        return posts.select("term", numbered("p.doc").alias("doc"), *[f"p.{c}" for c in columns])
+
     # ---- writing
 
     def apply(self, batch: str, docs: DataFrame, deleted: DataFrame | None = None) -> SegmentIndex:
@@ -197,24 +251,24 @@ class SegmentIndex(SearchIndex):
         at = f"{self.path}/{folder}"
         own = [c for c in self.columns if c != "uri"]
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        said = docs.select("uri", *own, F.expr(self.prior).cast("double").alias("prior"), F.expr(self.text).alias("_s")).repartition(n, "uri")  # a table may be one large file
-        said.withColumn("_t", tokens("coalesce(_s, '')")).drop("_s").write.parquet(f"{at}/said")
-        said = self.spark.read.parquet(f"{at}/said").withColumn("dl", F.size("_t"))
-        said.select("uri", *own, "prior", "dl", F.array_distinct("_t").alias("terms")).write.parquet(f"{at}/rows")
-        gone = said.select("uri") if deleted is None else said.select("uri").unionByName(deleted.select("uri")).distinct()
+        said = docs.select("uri", *own, F.expr(self.prior).cast("double").alias("prior"), F.expr(self.text).alias("_s"))
+        if len(docs.inputFiles()) < 2 * self.spark.sparkContext.defaultParallelism:  # a table may be one large file; many are read where they lie
+            said = said.repartition(n, "uri")
+        dl = F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1)
+        self._write_rows(at, said.withColumn("t", spaced("coalesce(_s, '')")).drop("_s").withColumn("dl", dl))
+        rows = self.spark.read.parquet(f"{at}/rows")
+        gone = rows.select("uri") if deleted is None else rows.select("uri").unionByName(deleted.select("uri")).distinct()
         gone.sortWithinPartitions("uri").write.parquet(f"{at}/gone")
-        gone, rows = self.spark.read.parquet(f"{at}/gone"), self.spark.read.parquet(f"{at}/rows")
         if self.manifest.segments:
-            self.live(self._rows.select("seg", "uri", "dl", "terms").join(gone, "uri", "left_semi")).select("dl", "terms").write.parquet(f"{at}/hidden")
-            hidden = self.spark.read.parquet(f"{at}/hidden")
+            gone = self.spark.read.parquet(f"{at}/gone")
+            hides = self.live(self._rows.select("seg", "uri", "doc")).join(gone, "uri", "left_semi")
+            hidden = self._rows.join(self._listed(at, "hidden", hides), "doc", "left_semi").select("dl", "t")
         else:
-            hidden = rows.limit(0).select("dl", "terms")
+            hidden = rows.limit(0).select("dl", "t")
         self._write_words(at, rows, hidden)
-        invert, cut = inverted(["uri", "dl", "prior"]), blocked(BLOCK, HOT)
-        self._write_blocks(at, said.select("uri", "dl", "prior", "_t").mapInArrow(lambda b: cut(invert(b)), _BLOCKS))
+        self._write_blocks(at)
         counts = [F.count_if(F.col("dl") > 0), F.coalesce(F.sum("dl"), F.lit(0).cast("long")), F.count("*")]
         plus, minus = rows.agg(*counts).first(), hidden.agg(*counts).first()
-        store.delete(self.spark, f"{at}/said")
         store.delete(self.spark, f"{at}/hidden")
         self._commit(m, [*m.segments, {"folder": folder, "rows": plus[2]}], [*m.batches, batch], m.n + plus[0] - minus[0], m.dl + plus[1] - minus[1])
         return self.open()
@@ -222,14 +276,30 @@ class SegmentIndex(SearchIndex):
     def _commit(self, m: Manifest, segments: list[dict], batches: list[str], n: int, dl: int) -> None:
         commit(self.spark, self.path, Manifest(m.version + 1, segments, batches, n, dl))
 
+    def _listed(self, at: str, name: str, docs: DataFrame) -> DataFrame:
+        """Numbers of rows as a table of their own: it is small, and what is joined with it need not move."""
+        docs.select("doc").sortWithinPartitions("doc").write.option("compression", "zstd").parquet(f"{at}/{name}")
+        return self.spark.read.parquet(f"{at}/{name}")
+
+    def _write_rows(self, at: str, rows: DataFrame) -> None:
+        """(doc, uri, columns, prior, t, dl): rows with numbers."""
+        rows.select(F.monotonically_increasing_id().alias("doc"), *rows.columns).write.option("compression", "zstd").parquet(f"{at}/rows")
+
     def _write_words(self, at: str, rows: DataFrame, hidden: DataFrame) -> None:
         """(text, begins, df): in how many more rows a word, or a beginning of words, stands than before."""
-        both = rows.select("terms", F.lit(1).alias("by")).unionByName(hidden.select("terms", F.lit(-1).alias("by")))
-        words = both.mapInArrow(counted, "text string, begins boolean, df long").groupBy("text", "begins").agg(F.sum("df").alias("df")).where("df <> 0")
-        words.repartitionByRange("text", "begins").sortWithinPartitions("text").write.option("parquet.page.row.count.limit", 2000).parquet(f"{at}/words")
+        both = rows.where("dl > 0").select("t", F.lit(1).alias("by")).unionByName(hidden.where("dl > 0").select("t", F.lit(-1).alias("by")))
+        words = both.mapInArrow(lambda b: shares(listed(b, "terms")), "text string, shared int, n long").groupBy("text", "shared").agg(F.sum("n").alias("n")).where("n <> 0")
+        words = words.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(begun, "text string, begins boolean, df long")
+        self._store_words(at, words.where("df <> 0"))
+
+    def _store_words(self, at: str, words: DataFrame) -> None:
+        words.sortWithinPartitions("text").write.option("parquet.page.row.count.limit", 2000).option("compression", "zstd").parquet(f"{at}/words")
 
-    def _write_blocks(self, at: str, blocks: DataFrame) -> None:
-        blocks.write.option("parquet.page.row.count.limit", 64).parquet(f"{at}/blocks")
+    def _write_blocks(self, at: str) -> None:
+        invert, cut = inverted(["doc", "dl", "prior"]), blocked(BLOCK, HOT, ("doc", "tf", "at"))
+        rows = self.spark.read.parquet(f"{at}/rows").where("dl > 0").select("doc", "dl", "prior", "t")
+        blocks = rows.mapInArrow(lambda b: cut(invert(listed(b, "_t"))), _BLOCKS)
+        blocks.write.option("parquet.page.row.count.limit", 512).option("compression", "zstd").parquet(f"{at}/blocks")
 
     def compact(self, first: int = 0) -> SegmentIndex:
         """The segments from `first` on as one; folders that only older versions name stay until `vacuum`."""
@@ -239,16 +309,14 @@ class SegmentIndex(SearchIndex):
             return self
         folder = f"seg-{uuid.uuid4().hex}"
         at, late = f"{self.path}/{folder}", F.col("seg") >= first
-        rows = self.live(self._rows.where(late)).drop("seg")
-        rows.write.parquet(f"{at}/rows")
+        rows = self._rows.where(late).join(self._listed(at, "hidden", self.dead(first)), "doc", "left_anti")
+        self._write_rows(at, rows.drop("doc", "seg"))
+        store.delete(self.spark, f"{at}/hidden")
         gone = self.gone.where(late).select("uri").distinct() if first else self.gone.limit(0).select("uri")
         gone.sortWithinPartitions("uri").write.parquet(f"{at}/gone")
-        words = self.words.where(late).groupBy("text", "begins").agg(F.sum("df").alias("df")).where("df <> 0")
-        words.repartitionByRange("text", "begins").sortWithinPartitions("text").write.option("parquet.page.row.count.limit", 2000).parquet(f"{at}/words")
-        posts = self.blocks.where(late).select("seg", "term", F.explode("posts").alias("p")).select("seg", "term", "p.uri", "p.dl", "p.tf", "p.at")
-        alive = self.live(self._rows.where(late).select("seg", "uri", "prior"))
-        posts = posts.join(alive, ["seg", "uri"]).select("term", "uri", "dl", "prior", "tf", "at")
-        self._write_blocks(at, posts.mapInArrow(blocked(BLOCK, HOT), _BLOCKS))
+        words = self.words.where(late).select("text", "begins", "df").repartitionByRange("text").groupBy("text", "begins").agg(F.sum("df").alias("df"))
+        self._store_words(at, words.where("df <> 0"))
+        self._write_blocks(at)
         kept = self.spark.read.parquet(f"{at}/rows").count()
         self._commit(m, [*m.segments[:first], {"folder": folder, "rows": kept}], m.batches, m.n, m.dl)
         return self.open()
@@ -297,14 +365,13 @@ class SegmentIndex(SearchIndex):
             out = F.least(out, F.when(hit, best))
         return out
 
-    def _ranks(self, blocks: DataFrame, groups: list[tuple[str, bool]], weights: list[float], mean: float) -> DataFrame:
-        """(uri, seg, rank) of the live rows of some blocks, by what those blocks hold."""
-        posts = blocks.select("seg", "term", F.explode("posts").alias("p")).select("seg", "term", "p.uri", "p.dl", "p.tf")
+    def _ranked(self, rows: DataFrame, blocks: DataFrame, groups: list[tuple[str, bool]], weights: list[float], mean: float) -> DataFrame:
+        """Those of some rows that some blocks name, with their rank by what these blocks hold."""
         sums = [F.sum(F.when(F.col("term").startswith(w) if p else F.col("term") == w, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, (w, p) in enumerate(groups)]
-        found = posts.groupBy("seg", "uri", "dl").agg(*sums)
+        found = self.posted(blocks, "tf").groupBy("doc").agg(*sums)
         part = lambda i: f"CASE WHEN f{i} > 0 THEN {weights[i]!r}D * f{i} * {K1 + 1}D / (f{i} + {K1}D * ({1 - DAMP}D + {DAMP}D * dl / {mean!r}D)) ELSE 0D END"
         rank = "round(-(" + " + ".join(part(i) for i in range(len(groups))) + "), 6)"
-        return self.live(found.select("seg", "uri", F.expr(rank).alias("rank"))).drop("seg")
+        return rows.join(found, "doc").withColumn("rank", F.expr(rank)).drop(*(f"f{i}" for i in range(len(groups))))
 
     def candidates(self, query: str | Parsed, k: int, kept: Column | None = None, tags: DataFrame | None = None) -> DataFrame:
         """(rows' columns, rank) among which are the best k by rank + prior, of the rows that `kept` keeps.
@@ -322,7 +389,7 @@ class SegmentIndex(SearchIndex):
             bound = self._kth(held, rows, groups, weights, mean, k)
             if bound is not None:
                 held = held.where(self._reach(groups, weights, mean) <= bound + 1e-5)
-        return rows.join(self._ranks(held, groups, weights, mean), "uri")
+        return self._ranked(rows, held, groups, weights, mean)
 
     def terms_of(self, groups: list[tuple[str, bool]]) -> DataFrame:
         return self.blocks.where(reduce(lambda a, b: a | b, [F.col("term").startswith(w) if p else F.col("term") == w for w, p in groups]))
@@ -334,7 +401,7 @@ class SegmentIndex(SearchIndex):
         if not first:
             return None
         at = reduce(lambda a, b: a | b, [(F.col("seg") == r.seg) & (F.col("term") == r.term) & (F.col("block") == r.block) for r in first])
-        best = rows.join(self._ranks(held.where(at), groups, weights, mean), "uri")
+        best = self._ranked(rows, held.where(at), groups, weights, mean)
         top = best.select((F.col("rank") + F.col("prior")).alias("score")).orderBy("score").limit(k).agg(F.max("score").alias("s"), F.count("*").alias("n")).first()
         return top.s if top.n == k else None
 

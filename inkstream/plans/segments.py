@@ -19,7 +19,7 @@ BATCHES = 3
 
 def index(c: Corpus) -> SegmentIndex:
     """The index after the snapshot and all batches; what is applied already, by any application, is not applied again."""
-    at = f"{store.shared(c.spark)}/segments-{c.state()}"
+    at = f"{store.shared(c.spark)}/segments-docs-{c.state()}"
     out = SegmentIndex(c.spark, at, "concat(title, ' ', content)", COLUMNS, AGE)
     wanted = ["snapshot", *(f"batch-{i}" for i in range(BATCHES))]
     if "snapshot" not in out.manifest.batches:

@@ -5,8 +5,8 @@ import random
 import pyarrow as pa
 
 from inkstream.operators import postings
-from inkstream.operators.postings import SearchIndex, inverted
-from inkstream.operators.segments import blocked, counted
+from inkstream.operators.postings import SearchIndex, inverted, spaced, tokens
+from inkstream.operators.segments import begun, blocked, counted, shares
 
 
 def test_runs_hold_every_posting(monkeypatch):
@@ -56,3 +56,26 @@ def test_blocks_hold_every_posting_and_bound_it():
         own = [at[p["uri"]] for p in b["posts"]]
         assert b["rows"] == len(own) <= 16 and all(x["term"] == b["term"] and [p["tf"], p["dl"], p["at"]] == [x["tf"], x["dl"], x["at"]] for x, p in zip(own, b["posts"], strict=True))
         assert (b["max_tf"], b["min_dl"], b["min_prior"]) == (max(x["tf"] for x in own), min(x["dl"] for x in own), min(x["prior"] for x in own))
+
+
+def test_spaced_words_are_the_tokens(spark):
+    texts = ["", " ", None, "One-two  THREE", "café — Ünï\u0308 ﬁn", "\n a\tb\u00a0c\u2003d ", "日本 x\ue000y 𝒳1", "...", "I\u0307stanbul ß"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(tokens("s").alias("a"), spaced("s").alias("b")).collect()
+    assert [r.a for r in rows] == [None if r.b is None else [w for w in r.b.split(" ") if w] for r in rows]
+    assert all(r.b is None or r.b == " ".join(r.a) for r in rows)
+
+
+def test_dictionary_in_parts_sums_to_the_whole():
+    r = random.Random(5)
+    rows = [[r.choice("ab") * r.randint(1, 3) + r.choice(["", "c", "cd", "x" * 30]) for _ in range(r.randint(0, 8))] for _ in range(100)]
+    batch = pa.record_batch({"terms": pa.array(rows, pa.list_(pa.string())), "by": pa.array([1] * 100, pa.int32())})
+    (whole,) = shares(iter([batch]))
+    got = {}
+    for b in begun(whole.slice(lo, 3) for lo in range(0, whole.num_rows, 3)):
+        for p in b.to_pylist():
+            got[p["text"], p["begins"]] = got.get((p["text"], p["begins"]), 0) + p["df"]
+    want = {}
+    for words in rows:
+        for key in {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(1, min(24, len(w)) + 1)}:
+            want[key] = want.get(key, 0) + 1
+    assert got == want
