@@ -66,7 +66,8 @@ def blocked(block: int, most: int, kept: tuple[str, ...] = ("uri", "dl", "tf", "
         top = (K1 + 1) * tf / (tf + K1 * (1 - DAMP + DAMP * dl / max(dl.mean(), 1.0))) * weight - prior
         by_text = np.empty(len(df), np.int64)
         by_text[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(df))
-        order = np.lexsort((-top, by_text[word]))
+        best = (-top).astype(np.float32).view(np.int32).astype(np.int64)
+        order = np.argsort((by_text[word] << 32) + np.where(best < 0, -(best & 0x7FFFFFFF), best))
         word = word[order]
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
@@ -110,27 +111,30 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = words.dictionary.take(by_text)
         place = np.empty(len(texts), np.int64)
         place[by_text.to_numpy()] = np.arange(len(texts))
-        letters = np.array([w[:BEGIN] for w in texts.to_pylist()], f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
         size = pc.list_value_length(b["terms"]).to_numpy(zero_copy_only=False).astype(np.int64)
         pair = np.sort(np.repeat(np.arange(len(size)), size) * len(texts) + place[words.indices.to_numpy()])
         pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
-        row, word = pair // len(texts), pair % len(texts)
-        shared = np.zeros(len(pair), np.int64)
-        for lo in range(1, len(pair), 200_000):
-            at = np.arange(lo, min(lo + 200_000, len(pair)))
-            shared[at] = np.where(row[at] == row[at - 1], alike(letters[word[at]], letters[word[at - 1]]), 0)
-        key = word * (BEGIN + 1) + shared
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        row, word = np.divmod(pair, len(texts))
+        # Two words share the least of what the neighbours between them share: least[k] has it for 2 ** k neighbours on.
+        least = [alike(texts).astype(np.int8)]
+        while 2 ** len(least) < len(texts):
+            last, half = least[-1], 2 ** (len(least) - 1)
+            least.append(np.minimum(last, np.r_[last[half:], np.zeros(min(half, len(last)), np.int8)]))
+        shared, after = np.zeros(len(pair), np.int64), np.flatnonzero(row[1:] == row[:-1]) + 1
+        lo, hi = word[after - 1] + 1, word[after]
+        k = np.log2(hi - lo + 1).astype(np.int64)
+        shared[after] = np.minimum(np.stack(least)[k, lo], np.stack(least)[k, hi + 1 - (1 << k)])
+        key, row = np.divmod(np.sort((word * (BEGIN + 1) + shared) * len(size) + row), len(size))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.add.reduceat(b["by"].to_numpy().astype(np.int64)[row[order]], first)
+        n = np.add.reduceat(b["by"].to_numpy().astype(np.int64)[row], first)
         yield pa.record_batch({"text": texts.take(pa.array(key[first] // (BEGIN + 1))), "shared": pa.array((key[first] % (BEGIN + 1)).astype(np.int32)), "n": pa.array(n)})
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many first letters two words of each row have in common."""
-    differs = a != b
-    return np.where(differs.any(axis=1), differs.argmax(axis=1), BEGIN)
+def alike(words: pa.Array) -> np.ndarray:
+    """How many first letters, up to BEGIN, each word has in common with the one before it; 0 for the first."""
+    letters = words.to_numpy(zero_copy_only=False).astype(f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
+    differs = letters[1:] != letters[:-1]
+    return np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), BEGIN)]
 
 
 def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +145,10 @@ def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         words = b["text"].dictionary_encode()
-        texts = words.dictionary.to_pylist()
+        texts = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = words.indices.to_numpy().astype(np.int64) * (BEGIN + 1) + b["shared"].to_numpy()
         new = np.bincount(at, weights=b["n"].to_numpy().astype(np.float64), minlength=len(texts) * (BEGIN + 1)).reshape(len(texts), BEGIN + 1).cumsum(axis=1).astype(np.int64)
-        letters = np.array([w[:BEGIN] for w in texts], f"U{BEGIN}").view(np.uint32).reshape(-1, BEGIN)
-        same, size = np.r_[0, alike(letters[1:], letters[:-1])], np.array([len(w) for w in texts])
+        same, size = alike(words.dictionary), np.array([len(w) for w in texts])
         out, df = list(texts), [new[:, BEGIN]]
         for k in range(1, BEGIN + 1):
             some = np.flatnonzero(size >= k)
